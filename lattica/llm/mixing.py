@@ -52,7 +52,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 
 
 def copies(doc_id: Column, source_size: Column, target: Column, cap: int = CAP, seed: str = SEED) -> Column:
-    rate = F.coalesce(F.least(target / F.nullif(source_size, F.lit(0)), F.lit(float(cap))), F.lit(0.0))
+    rate = F.least(F.coalesce(target / F.nullif(source_size, F.lit(0)), F.lit(0.0)), F.lit(float(cap)))
     return (F.floor(rate) + F.when(draw(doc_id, seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 

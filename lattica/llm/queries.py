@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import exact_dedup, mixing
+from lattica.llm import exact_dedup, mixing, quality_rules, simhash
 from lattica.session import table
 
 
@@ -16,9 +16,19 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality_rules": op5_quality_rules,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL = {
