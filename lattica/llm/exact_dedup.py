@@ -73,7 +73,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     alone = runs.filter(~F.col("shared")).select("doc_id", F.col("run_id").alias("keep_id"), F.col("run_size").alias("group_size"), (F.col("place") == 1).alias("kept"), "text_sha256")
     parts = runs.filter(F.col("shared") & (F.col("place") == 1))
     rank = F.struct((-F.col("run_len")).alias("l"), F.col("run_id").isNull().alias("n"), F.col("run_id").alias("i"), F.col("range").alias("r"))
-    merged = parts.groupBy("text_sha256").agg(F.min(rank).alias("best"), F.sum("run_size").alias("group_size"))
+    merged = cut(parts.groupBy("text_sha256").agg(F.min(rank).alias("best"), F.sum("run_size").alias("group_size")))  # so that the join's hot side can be split
     joined = runs.filter("shared").select("doc_id", "place", "range", "text_sha256").join(merged, "text_sha256")
     split = joined.select("doc_id", F.col("best.i").alias("keep_id"), "group_size", ((F.col("place") == 1) & (F.col("range") == F.col("best.r"))).alias("kept"), "text_sha256")
     return alone.unionByName(split)
