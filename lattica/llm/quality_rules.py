@@ -4,10 +4,10 @@ Base rules look at one text: words, characters, symbols, repeated lines, words i
 normalised line is hashed and its distinct documents on its host are counted; lines above the limits are removed and a
 document that keeps too little of itself is rejected.
 
-Copies must not make their own lines look like boilerplate, so documents are told apart by a sketch that copies and
-near copies share (the least hash over 4-word windows), and a line counts as many documents as its sketches amount to:
-(sum of c)^2 / (sum of c^2) over the c documents of each sketch. A line in a thousand unrelated documents counts about
-a thousand, a line in a thousand edited copies of one text counts one or two.
+Copies must not make their own lines look like boilerplate. Exact copies on a host count once, and documents are told
+apart by a sketch that near copies mostly share (the least hash over 4-word windows): a line's distinct documents are its
+distinct sketches, and it is above the limits only if these are many and most of its documents differ in them. A line
+in a thousand unrelated documents has about a thousand sketches, one in a thousand edited copies of a text far fewer.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own; repeated rows get
 equal rows; an empty table gives an empty result; no column but the id, text and host is read.
@@ -24,9 +24,11 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: A line is above the limits on a host if it counts as more documents than both.
+#: A line is above the limits on a host if its distinct documents are more than LINE_DOCS and than LINE_SHARE of the
+#: host's, and at least LINE_DISTINCT of all texts that have it.
 LINE_DOCS = 50
 LINE_SHARE = 0.01
+LINE_DISTINCT = 0.5
 #: A document is depleted if less than this share of its word characters is left.
 MIN_LEFT = 0.2
 
@@ -63,7 +65,7 @@ def text_rules(docs: DataFrame) -> DataFrame:
     base = ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "line_hash", "line_chars"]
     d = d.select(*base, "text_hash", _pairs(F.col("h1"), 1).alias("h2"))
     d = d.select(*base, "text_hash", _pairs(F.col("h2"), 2).alias("h4"))
-    base = [*base, "sketch"]
+    base = [*base, "text_hash", "sketch"]
     d = d.select("*", F.coalesce(F.array_min("h4"), F.col("text_hash")).alias("sketch")).select(*base, _pairs(F.col("h4"), 4).alias("h8"))
     repeats = F.size(F.array_distinct("h8")) < F.size("h8")
     none = F.array().cast("array<struct<h:bigint,i:int>>")
@@ -80,11 +82,12 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     ruled = text_rules(own_columns(docs, doc_id=doc_id, host=host, text=text))
     d = cut(ruled.select(F.monotonically_increasing_id().alias("row"), "*", failed.alias("base_failed")))
-    per_sketch = d.select("host", "sketch", F.explode(F.array_distinct("line_hash")).alias("line")).groupBy("host", "line", "sketch").agg(F.count("*").alias("c"))
-    per_line = per_sketch.groupBy("host", "line").agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("n2"))
-    frequent = per_line.filter(F.col("n").cast("double") * F.col("n") > line_docs * F.col("n2"))
-    hosts = d.groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "_host")
-    above = frequent.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("n").cast("double") * F.col("n") > line_share * F.col("host_docs") * F.col("n2")).select("_host", F.col("line").alias("_line"))
+    texts = d.select("host", "text_hash", "sketch", "line_hash").dropDuplicates(["host", "text_hash"])
+    per_sketch = texts.select("host", "sketch", F.explode(F.array_distinct("line_hash")).alias("line")).groupBy("host", "line", "sketch").agg(F.count("*").alias("texts"))
+    per_line = per_sketch.groupBy("host", "line").agg(F.sum("texts").alias("texts"), F.count("*").alias("docs"))
+    frequent = per_line.filter((F.col("docs") > line_docs) & (F.col("docs") >= LINE_DISTINCT * F.col("texts")))
+    hosts = texts.groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "_host")
+    above = frequent.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("docs") > line_share * F.col("host_docs")).select("_host", F.col("line").alias("_line"))
     lines = d.filter("!base_failed").select("row", "host", F.explode(F.arrays_zip("line_hash", "line_chars")).alias("x")).select("row", "host", F.col("x.line_hash").alias("line"), F.col("x.line_chars").alias("chars"))
     hit = lines.join(above, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line"))).groupBy(F.col("row").alias("_row")).agg(F.sum("chars").alias("removed"))
     removed = F.coalesce("removed", F.lit(0)).cast("long")

@@ -140,8 +140,8 @@ def test_line_frequency(spark):
         return " ".join(f"w{i}x{j}" for j in range(n))
 
     common = " ".join(f"menu{j}" for j in range(34))
-    mostly = [(i, f"{common}\n{own(i, 3)}", "h") for i in range(80)]  # nothing else but three words
-    partly = [(100 + i, f"{common}\n{own(i + 500)}", "h") for i in range(80)]
+    mostly = [(i, f"{common}\n{own(i, 3)}", "h") for i in range(30)]  # nothing else but three words
+    partly = [(100 + i, f"{common}\n{own(i + 500, 120)}", "h") for i in range(100)]
     copied = [(200 + i, "\n".join(own(j + 1000, 20) for j in range(4)), "h") for i in range(200)]  # copies of one text
     edited = [(500 + i, "\n".join(own(j + 2000, 25) for j in range(5)) + f"\nedit {i}", "h") for i in range(200)]
     kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(frame(spark, mostly + partly + copied + edited)).collect()}
