@@ -73,3 +73,20 @@ def ranked(df: DataFrame, order: list[Column], sums: tuple[str, ...] = ()) -> Da
     offsets = parts.select("_part", nil(F.sum("_n").over(earlier)).alias("_o"), *[nil(F.sum(f"_t_{c}").over(earlier)).alias(f"_o_{c}") for c in sums])
     out = local.join(offsets, "_part")
     return out.select(*df.columns, (F.col("_o") + F.col("_at")).alias("row_index"), *[(F.col(f"_o_{c}") + F.col(f"_s_{c}")).alias(f"before_{c}") for c in sums])
+
+
+def text_key(text: Column) -> Column:
+    """With the id, what tells a document's row from others; equal rows share it."""
+    return F.xxhash64(text, F.lit(1))
+
+
+def joined_rows(docs: DataFrame, decisions: DataFrame, how: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` joined (left_semi or left_anti) with decisions (doc_id, text_key) on id and text, null ids included."""
+    keyed = decisions.select(F.col("doc_id").alias("_k_id"), F.col("text_key").alias("_k_text"))
+    return docs.join(keyed, F.col(f"`{doc_id}`").eqNullSafe(F.col("_k_id")) & (text_key(F.col(f"`{text}`")) == F.col("_k_text")), how)
+
+
+def one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of those that repeat id and text. It follows a join on both, whose partitioning it shares."""
+    same = Window.partitionBy(F.col(f"`{doc_id}`"), text_key(F.col(f"`{text}`"))).orderBy(F.lit(0))
+    return docs.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").drop("_nth")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, own_columns, shuffle_partitions, without_white
+from lattica.llm.common import cut, joined_rows, one_each, own_columns, shuffle_partitions, text_key, without_white
 
 #: Characters of a text that splitters hold.
 PREFIX = 48
@@ -48,7 +48,7 @@ def _range_of(prefix: Column, salt: Column, bounds: list[tuple[str, int]]) -> Co
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, text_key (of the text, a null one as empty).
 
     Of equal texts the one with the most code points before normalisation stays, then the smallest id.
     """
@@ -57,7 +57,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     base = own_columns(docs, doc_id=doc_id, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("salt"))
     head = F.substring(without_white(F.substring("text", 1, 3 * PREFIX)), 1, PREFIX)
     bounds = _splitters(base.select(head.alias("prefix"), "salt"), n)
-    keyed = base.select("doc_id", "salt", F.char_length("text").alias("len"), without_white(F.col("text")).alias("norm")).withColumn("prefix", F.substring("norm", 1, PREFIX))
+    keyed = base.select("doc_id", "salt", text_key(F.col("text")).alias("text_key"), F.char_length("text").alias("len"), without_white(F.col("text")).alias("norm")).withColumn("prefix", F.substring("norm", 1, PREFIX))
     ranged = keyed.withColumn("range", _range_of(F.col("prefix"), F.col("salt"), bounds).cast("int")).drop("salt")
     sorted_ = ranged.repartitionById(n, F.col("range"))
     best = [F.col("len").desc(), F.col("doc_id").asc_nulls_last()]
@@ -66,14 +66,20 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     cut_through = F.col("prefix").isin(sorted({p for p, _ in bounds})) if bounds else F.lit(False)
     runs = cut(
         sorted_.select(
-            "doc_id", "len", F.row_number().over(run).alias("place"), F.first("len").over(whole).alias("run_len"), F.first("doc_id").over(whole).alias("run_id"),
+            "doc_id", "text_key", "len", F.row_number().over(run).alias("place"), F.first("len").over(whole).alias("run_len"), F.first("doc_id").over(whole).alias("run_id"),
             F.count("*").over(whole).alias("run_size"), "range", cut_through.alias("shared"), F.col("norm"),
-        ).select("doc_id", "place", "run_len", "run_id", "run_size", "range", "shared", F.sha2("norm", 256).alias("text_sha256"))
+        ).select("doc_id", "text_key", "place", "run_len", "run_id", "run_size", "range", "shared", F.sha2("norm", 256).alias("text_sha256"))
     )
-    alone = runs.filter(~F.col("shared")).select("doc_id", F.col("run_id").alias("keep_id"), F.col("run_size").alias("group_size"), (F.col("place") == 1).alias("kept"), "text_sha256")
+    alone = runs.filter(~F.col("shared")).select("doc_id", F.col("run_id").alias("keep_id"), F.col("run_size").alias("group_size"), (F.col("place") == 1).alias("kept"), "text_sha256", "text_key")
     parts = runs.filter(F.col("shared") & (F.col("place") == 1))
     rank = F.struct((-F.col("run_len")).alias("l"), F.col("run_id").isNull().alias("n"), F.col("run_id").alias("i"), F.col("range").alias("r"))
     merged = cut(parts.groupBy("text_sha256").agg(F.min(rank).alias("best"), F.sum("run_size").alias("group_size")))  # so that the join's hot side can be split
-    joined = runs.filter("shared").select("doc_id", "place", "range", "text_sha256").join(merged, "text_sha256")
-    split = joined.select("doc_id", F.col("best.i").alias("keep_id"), "group_size", ((F.col("place") == 1) & (F.col("range") == F.col("best.r"))).alias("kept"), "text_sha256")
+    joined = runs.filter("shared").select("doc_id", "text_key", "place", "range", "text_sha256").join(merged, "text_sha256")
+    split = joined.select("doc_id", F.col("best.i").alias("keep_id"), "group_size", ((F.col("place") == 1) & (F.col("range") == F.col("best.r"))).alias("kept"), "text_sha256", "text_key")
     return alone.unionByName(split)
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
+    """The rows of `docs` that stay, one of each group of equal texts."""
+    kept = exact_groups(docs, doc_id, text, ranges).filter("kept")
+    return one_each(joined_rows(docs, kept, "left_semi", doc_id, text), doc_id, text)

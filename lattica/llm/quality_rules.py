@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import WORD, cut, own_columns, without_white
+from lattica.llm.common import WORD, cut, joined_rows, own_columns, text_key, without_white
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -60,7 +60,7 @@ def text_rules(docs: DataFrame) -> DataFrame:
         "doc_id", "host", F.size("words").cast("long").alias("n_words"), F.char_length(without_white(F.col("text"))).cast("long").alias("word_chars"),
         (F.char_length("text") - F.char_length(stripped)).cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("lines", lambda x: F.xxhash64(F.lower(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " "))))).alias("line_hash"), F.transform("lines", lambda x: F.char_length(without_white(x))).alias("line_chars"),
-        F.xxhash64("text").alias("text_hash"), F.transform("words", lambda w: F.xxhash64(w)).alias("h1"),
+        text_key(F.col("text")).alias("text_hash"), F.transform("words", lambda w: F.xxhash64(w)).alias("h1"),
     )
     base = ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "line_hash", "line_chars"]
     d = d.select(*base, "text_hash", _pairs(F.col("h1"), 1).alias("h2"))
@@ -78,7 +78,7 @@ def text_rules(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """One row per document: doc_id, the base columns, removed_chars, base_failed, kept."""
+    """One row per document: doc_id, the base columns, removed_chars, base_failed, kept, text_key (of the text, a null one as empty)."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     ruled = text_rules(own_columns(docs, doc_id=doc_id, host=host, text=text))
     d = cut(ruled.select(F.monotonically_increasing_id().alias("row"), "*", failed.alias("base_failed")))
@@ -92,4 +92,10 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     hit = lines.join(above, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line"))).groupBy(F.col("row").alias("_row")).agg(F.sum("chars").alias("removed"))
     removed = F.coalesce("removed", F.lit(0)).cast("long")
     kept = ~F.col("base_failed") & (F.col("word_chars") - removed >= min_left * F.col("word_chars"))
-    return d.join(hit, F.col("row") == F.col("_row"), "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", removed.alias("removed_chars"), "base_failed", kept.alias("kept"))
+    return d.join(hit, F.col("row") == F.col("_row"), "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", removed.alias("removed_chars"), "base_failed", kept.alias("kept"), F.col("text_hash").alias("text_key"))
+
+
+def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", **limits: float) -> DataFrame:
+    """The rows of `docs` that the rules keep. A row is told by its id and text: rows that repeat both on several hosts stay if one does."""
+    decided = quality_rules(docs, doc_id, text, host, **limits)
+    return joined_rows(docs, decided.filter("kept").select("doc_id", "text_key"), "left_semi", doc_id, text)

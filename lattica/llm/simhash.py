@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, own_columns
+from lattica.llm.common import cut, joined_rows, one_each, own_columns, text_key
 from lattica.llm.components import components
 
 SHINGLE = 3
@@ -54,15 +54,15 @@ def fingerprint(text: bytes | None, k: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed long."""
-    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
+    """(doc_id, text_key, fp): the 64 bits as a signed long."""
+    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_key(F.col(f"`{text}`")).alias("text_key"), F.col(f"`{text}`").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprint(x.as_py(), k) for x in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
+            fps = pa.array([fingerprint(x.as_py(), k) for x in batch.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["doc_id", "text_key", "fp"])
 
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, text_key bigint, fp bigint")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -168,16 +168,27 @@ def links(fps: DataFrame, parts: int = PARTITIONS, bucket: int = BUCKET) -> Data
     return verified.union(stars)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, parts: int = PARTITIONS, bucket: int = BUCKET) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (the least id it reaches)."""
+def clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, parts: int = PARTITIONS, bucket: int = BUCKET) -> DataFrame:
+    """One row per document: doc_id, text_key, fp, root (the least fingerprint it reaches), component_id (the least id)."""
     own = cut(fingerprints(own_columns(docs, doc_id=doc_id, text=text), k=k))
     fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(fps.select("fp"), parts, bucket))
     rooted = cut(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select(F.col("fp").alias("_fp"), "component_id")
-    joined: DataFrame = own.join(by_fp, F.col("fp") == F.col("_fp"))
-    return joined.select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
+    by_fp = cut(rooted.join(named, "root").select(F.col("fp").alias("_fp"), "root", "component_id"))
+    return own.join(by_fp, F.col("fp") == F.col("_fp")).drop("_fp")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, parts: int = PARTITIONS, bucket: int = BUCKET) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (the least id it reaches)."""
+    return clusters(docs, doc_id, text, k, parts, bucket).select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, parts: int = PARTITIONS, bucket: int = BUCKET) -> DataFrame:
+    """The rows of `docs` that stay, one of each component: the one with the least id."""
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    first = clusters(docs, doc_id, text, k, parts, bucket).groupBy("root").agg(F.min(least).alias("x")).select("x.doc_id", "x.text_key")
+    return one_each(joined_rows(docs, first, "left_semi", doc_id, text), doc_id, text)
 
 
 def _hex(fp: Column) -> Column:

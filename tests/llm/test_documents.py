@@ -109,7 +109,7 @@ def same_text(rows):
 def test_exact_groups_by_hand(spark, texts, ranges):
     hot = [(100 + i, "hot text" + " " * (i % 3), "s1") for i in range(300)]
     for rows in (ODD, hot + ODD, texts):
-        got = Counter(tuple(r) for r in exact_dedup.exact_groups(frame(spark, rows), ranges=ranges).collect())
+        got = Counter(tuple(r) for r in exact_dedup.exact_groups(frame(spark, rows), ranges=ranges).drop("text_key").collect())
         assert got == same_text(rows)
 
 
