@@ -71,17 +71,18 @@ def sentences(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?])\s+|\n", text) if s]
 
 
-def _codes(words: list[str], width: int, pad: int) -> np.ndarray:
-    out = np.full((len(words), width), pad, np.int32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = [ord(c) for c in w]
+def _codes(words: list[str], width: int) -> np.ndarray:
+    """Code points, a row a word; -1 fills rows up."""
+    data = "".join(words) if len(words[0]) == width and len({*map(len, words)}) == 1 else "".join(w.ljust(width, "\0") for w in words)
+    out = np.frombuffer(data.encode("utf-32-le", "surrogatepass"), np.int32).reshape(len(words), width).copy()
+    out[out == 0] = -1
     return out
 
 
 def _kernel(words: list[str], others: list[str], paired: bool) -> np.ndarray:
     """Gap-weighted kernel of length 3 between words of one length: each with each of `others`, or paired with its own."""
-    s = _codes(words, len(words[0]), -1)
-    t = _codes(others, max(map(len, others)), -2)
+    s, t = _codes(words, len(words[0])), _codes(others, max(map(len, others)))
+    t[t < 0] = -2  # fillers match nothing
     n, m = s.shape[1], t.shape[1]
     shape = (len(words),) if paired else (len(words), len(others))
     lam, lam2 = np.float32(DECAY), np.float32(DECAY**2)
@@ -112,6 +113,11 @@ class Kernel:
         self.landmarks = landmarks
         self.norm = np.sqrt(self._self(landmarks))
 
+    def part(self, chosen: np.ndarray) -> "Kernel":
+        out = Kernel([])
+        out.landmarks, out.norm = [m for m, c in zip(self.landmarks, chosen, strict=True) if c], self.norm[chosen]
+        return out
+
     @staticmethod
     def _self(words: list[str]) -> np.ndarray:
         out = np.zeros(len(words), np.float32)
@@ -122,6 +128,8 @@ class Kernel:
 
     def values(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
+        if not self.landmarks:
+            return out
         for at in _by_length(words):
             own = [words[i] for i in at]
             out[at] = _kernel(own, self.landmarks, False)
@@ -146,7 +154,17 @@ class Model:
         return self.__dict__ | {"cache": {}}
 
     def margins(self, words: list[str]) -> np.ndarray:
-        return self.kernel.values(words) @ self.weights + self.bias
+        """Margins, exact where they reach FLOOR; below, a bound that doesn't reach it either.
+
+        Kernel values aren't negative, so landmarks of positive weight bound a margin from above; the others are only
+        computed for the few words whose bound reaches FLOOR.
+        """
+        for_it = self.weights > 0
+        out = self.kernel.part(for_it).values(words) @ self.weights[for_it] + self.bias
+        close = np.flatnonzero(out >= FLOOR)
+        if len(close):
+            out[close] += self.kernel.part(~for_it).values([words[i] for i in close]) @ self.weights[~for_it]
+        return out
 
     def summaries(self, bags: list[set[str]]) -> np.ndarray:
         """Per bag of tokens: how far its three largest margins are above FLOOR (0 where none is), its size, products, a one."""
@@ -198,7 +216,7 @@ def _logistic(z: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-
 
 
 def _beginnings(token: str) -> set[str]:
-    return {token[:k] for k in range(5, 10) if len(token) >= k} if token[0] == "^" else set()
+    return {token[:k] for k in range(5, 9) if len(token) >= k} if token[0] == "^" else set()
 
 
 def _telling(a: int, n: int, b: int, m: int) -> float:
@@ -225,7 +243,7 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds:
     usual = sorted(w for w in cold if not _beginnings(w) & odds.keys())
     if not chosen or not usual:
         return None
-    marks = chosen + [str(w) for w in rng.choice(usual, min(landmarks - len(chosen), len(usual)), replace=False)]
+    marks = chosen + [str(w)[:8] for w in rng.choice(usual, min(landmarks - len(chosen), len(usual)), replace=False)]
     kernel = Kernel(marks)
     value, vector = np.linalg.eigh(kernel.values(marks).astype(np.float64))
     whiten = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
