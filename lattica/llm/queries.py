@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import exact_dedup, mixing, pieces, quality_model, quality_rules, simhash, toxicity, warc
+from lattica.llm import exact_dedup, mixing, pieces, quality_model, quality_rules, simhash, toxicity, training_order, warc
 from lattica.session import table
 
 
@@ -40,6 +40,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.training_order(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -49,6 +53,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_quality_model": op7_quality_model,
     "op9_simhash": op9_simhash,
+    "op10_training_order": op10_training_order,
 }
 
 ORACLE_SQL = {
