@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import exact_dedup, mixing, pieces, quality_model, quality_rules, simhash, toxicity, training_order, warc
+from lattica.llm import backoff, exact_dedup, mixing, pieces, quality_model, quality_rules, simhash, toxicity, training_order, warc
 from lattica.session import table
 
 
@@ -36,6 +36,10 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_warc": op6_warc,
     "op7_quality_model": op7_quality_model,
+    "op8_stupid_backoff": op8_stupid_backoff,
     "op9_simhash": op9_simhash,
     "op10_training_order": op10_training_order,
 }
