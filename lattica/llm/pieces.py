@@ -34,8 +34,8 @@ SEED = 17
 VARIANTS = 4
 #: Chunks of up to so many characters are encoded in arrays.
 SHORT = 24
-#: Distinct chunks that are kept between the parts of a partition, and characters in a part.
-KEPT = 400_000
+#: Distinct chunks that a worker keeps from part to part, and characters in a part.
+KEPT = 700_000
 PART_CHARS = 2_000_000
 
 SPACE = "▁"
@@ -87,8 +87,15 @@ class Codec:
                 if a is not None and b is not None:
                     pairs[a * n + b] = i
         self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[k] for k in self.keys], np.int32)
+        bits = max(4, (4 * len(pairs)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.slot_key, self.slot_merged = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        with np.errstate(over="ignore"):
+            slots = ((np.array(list(pairs), np.uint64) * _M1) >> self.shift).astype(np.int64).tolist()
+        for slot, (k, m) in zip(slots, pairs.items(), strict=True):
+            while self.slot_key[slot] >= 0:
+                slot = (slot + 1) & self.last
+            self.slot_key[slot], self.slot_merged[slot] = k, m
         self.chars = {p: i for p, i in self.ids.items() if len(p) == 1}
         self.table = np.full(0x110000, -1, np.int32)
         for p, i in self.chars.items():
@@ -158,65 +165,65 @@ class Codec:
     # --- many chunks of one length in arrays
 
     def _merge_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The merged symbol of each adjacent pair, or -1."""
+        """The merged symbol of each pair, or -1, from an open-addressed table; a negative symbol merges with nothing."""
         key = a.astype(np.int64) * self.n + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.merged[at], -1)
+        with np.errstate(over="ignore"):
+            at = ((key.astype(np.uint64) * _M1) >> self.shift).astype(np.intp)
+        out = np.where(self.slot_key[at] == key, self.slot_merged[at], np.int32(-1))
+        more = np.flatnonzero((self.slot_key[at] != key) & (self.slot_key[at] >= 0))
+        while len(more):  # the slot holds another pair: look at the next one
+            at[more] = (at[more] + 1) & self.last
+            found = self.slot_key[at[more]]
+            out[more] = np.where(found == key[more], self.slot_merged[at[more]], np.int32(-1))
+            more = more[(found != key[more]) & (found >= 0)]
+        out[(a < 0) | (b < 0)] = -1
+        return out
 
     def together(self, symbols: np.ndarray, keys: np.ndarray, rate: float) -> list[bytes]:
-        """As `agenda`, for rows of one length of two at least; ids as 32-bit integers in bytes."""
+        """As `agenda`, for rows of one length of two at least; ids as 32-bit integers in bytes.
+
+        Symbols stay where their first character is; `after` and `before` link those that are left.
+        """
         rows, n = symbols.shape
-        out: list = [None] * rows
         base = _chunk_key(symbols.astype(np.int64), keys)
-        sym, off = symbols.astype(np.int32).copy(), np.tile(np.arange(n, dtype=np.int32), (rows, 1))
-        made = self._merge_of(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(rows, n - 1)
+        sym = symbols.astype(np.int32).ravel()
+        after, before = np.tile(np.arange(1, n + 1, dtype=np.int32), rows), np.tile(np.arange(-1, n - 1, dtype=np.int32), rows)
+        left = np.ones(rows * n, bool)
+        made = np.full((rows, n), -1, np.int32)
+        grid = sym.reshape(rows, n)
+        made[:, :-1] = self._merge_of(grid[:, :-1].ravel(), grid[:, 1:].ravel()).reshape(rows, n - 1)
         rank = np.where(made >= 0, self.rank[made], NONE)
-        size, row = np.full(rows, n), np.arange(rows)
+        made, flat = made.ravel(), rank.ravel()
+        row = np.arange(rows)
         while len(row):
-            j = rank.argmin(1)
-            at = np.arange(len(row))
-            best = rank[at, j]
-            done = best == NONE
-            if done.any():
-                ready, at = sym[done].tobytes(), 0
-                for r, k in zip(row[done].tolist(), size[done].tolist(), strict=True):
-                    out[r] = ready[at : at + 4 * k]
-                    at += 4 * n
-                live = ~done
-                sym, off, made, rank, size, row, base, j = (x[live] for x in (sym, off, made, rank, size, row, base, j))
-                at = np.arange(len(row))
-                if not len(row):
-                    break
-            m = made[at, j]
-            skip = _skipped(base, off[at, j], m, rate) if rate else np.zeros(len(row), bool)
-            rank[at[skip], j[skip]] = NONE
-            go = np.flatnonzero(~skip)
-            if not len(go):
-                continue
-            jg = j[go]
-            sym[go, jg] = m[go]
-            last = sym.shape[1] - 1
-            move = np.arange(last)[None, :] > jg[:, None]  # columns after j take their right neighbour
-            for x, fill in ((sym, -1), (off, 0)):
-                g = x[go]
-                g[:, :-1] = np.where(move, g[:, 1:], g[:, :-1])
-                g[:, -1] = fill
-                x[go] = g
-            move = move[:, : last - 1]
-            for x, fill in ((made, -1), (rank, NONE)):
-                g = x[go]
-                g[:, :-1] = np.where(move, g[:, 1:], g[:, :-1])
-                g[:, -1] = fill
-                x[go] = g
-            size[go] -= 1
-            for where in (jg - 1, jg):
-                ok = (where >= 0) & (where + 1 < size[go])
-                r, w = go[ok], where[ok]
-                new = self._merge_of(sym[r, w], sym[r, w + 1])
-                made[r, w], rank[r, w] = new, np.where(new >= 0, self.rank[new], NONE)
-            gone = jg >= size[go] - 1  # the last symbol has no right neighbour
-            rank[go[gone], jg[gone]] = NONE
-        return out
+            j = (rank if len(row) == rows else rank[row]).argmin(1)
+            at = row * n + j
+            live = flat[at] != NONE
+            if not live.all():
+                row, at = row[live], at[live]
+            m = made[at]
+            if rate:
+                skip = _skipped(base[row], at - row * n, m, rate)
+                if skip.any():
+                    flat[at[skip]] = NONE
+                    at, m, start = at[~skip], m[~skip], row[~skip] * n
+                else:
+                    start = row * n
+            else:
+                start = row * n
+            gone = start + after[at]
+            following = after[gone]
+            sym[at], left[gone], flat[gone], flat[at], after[at] = m, False, NONE, NONE, following
+            inner = following < n
+            right = (start + following)[inner]
+            before[right] = (at - start)[inner]
+            has = before[at] >= 0
+            previous = (start + before[at])[has]
+            where = np.concatenate([at[inner], previous])
+            new = self._merge_of(np.concatenate([m[inner], sym[previous]]), np.concatenate([sym[right], m[has]]))
+            made[where], flat[where] = new, np.where(new >= 0, self.rank[new], NONE)
+        data, ends = sym[left].tobytes(), (4 * np.cumsum(left.reshape(rows, n).sum(1))).tolist()
+        return [data[i:k] for i, k in zip([0, *ends[:-1]], ends, strict=True)]
 
     def encode_chunks(self, chunks: list[str], key: int, rate: float) -> list[bytes]:
         out: list = [None] * len(chunks)
@@ -274,7 +281,7 @@ def codec(path: str | None = None) -> Codec:
 
 
 class Encoder:
-    """Texts of a partition to ids; holds what is known of distinct chunks within a bound."""
+    """Texts to ids; holds what is known of distinct chunks, the recently used ones, within a bound."""
 
     def __init__(self, own: Codec, seed: int = SEED, rate: float = DROPOUT, variants: int = VARIANTS):
         from xxhash import xxh64_intdigest
@@ -283,11 +290,20 @@ class Encoder:
         self.seed, self.variants = seed, variants if rate else 1
         self.keys = [xxh64_intdigest(f"{seed}/{v}") for v in range(self.variants)]
         self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+
+    def _learn(self, v: int, wanted: set[str]) -> dict[str, bytes]:
+        known, older = self.known[v], self.older[v]
+        todo = wanted.difference(known)
+        again = todo.intersection(older)
+        known.update((c, older[c]) for c in again)
+        todo = list(todo - again)
+        known.update(zip(todo, self.codec.encode_chunks(todo, self.keys[v], self.rate), strict=True))
+        return known
 
     def encode(self, doc_ids: list, texts: list[str | None]) -> list[np.ndarray | None]:
-        if sum(map(len, self.known)) > KEPT:
-            for d in self.known:
-                d.clear()
+        if sum(map(len, self.known)) > KEPT // 2:
+            self.known, self.older = [{} for _ in self.known], self.known
         chunked = [self.codec.chunks(t) if t else [] for t in texts]
         chosen = []
         for i in doc_ids:
@@ -297,18 +313,22 @@ class Encoder:
         for c, (a, b) in zip(chunked, chosen, strict=True):
             new[a].update(c[::2])
             new[b].update(c[1::2])
-        for v, wanted in enumerate(new):
-            todo = list(wanted.difference(self.known[v]))
-            self.known[v].update(zip(todo, self.codec.encode_chunks(todo, self.keys[v], self.rate), strict=True))
+        known = [self._learn(v, wanted) for v, wanted in enumerate(new)]
         out: list[np.ndarray | None] = []
         for t, c, (a, b) in zip(texts, chunked, chosen, strict=True):
             ids: list = [None] * len(c)
-            ids[::2] = map(self.known[a].__getitem__, c[::2])
-            ids[1::2] = map(self.known[b].__getitem__, c[1::2])
+            ids[::2] = map(known[a].__getitem__, c[::2])
+            ids[1::2] = map(known[b].__getitem__, c[1::2])
             out.append(None if t is None else np.frombuffer(b"".join(ids), np.int32))
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(model: str | None, seed: int, rate: float, variants: int) -> Encoder:
+    """One for each worker process, which keeps it from task to task; what it holds never changes a result."""
+    return Encoder(codec(model), seed, rate, variants)
+
+
 def _parts(texts: list[str | None], most: int = PART_CHARS) -> Iterator[tuple[int, int]]:
     start = held = 0
     for i, t in enumerate(texts):
@@ -325,13 +345,12 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: fl
     own = own_columns(docs, doc_id=doc_id, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
-        encoder = Encoder(c, seed, rate, variants)
+        c, own_encoder = codec(model), encoder(model, seed, rate, variants)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in _parts(texts):
                 part, own_keys = texts[a:b], keys.slice(a, b - a)
-                ids = encoder.encode(own_keys.to_pylist(), part)
+                ids = own_encoder.encode(own_keys.to_pylist(), part)
                 same = [None if t is None else c.decode(i.tolist()) == t for i, t in zip(ids, part, strict=True)]
                 counts = np.array([0 if i is None else len(i) for i in ids], np.int64)
                 values = np.concatenate([np.zeros(0, np.int32), *(i for i in ids if i is not None)])
