@@ -247,8 +247,8 @@ class Graph:
 
     def segment_index(self, cls: str) -> DataFrame:
         """(segment, s): the keys of all runs of segments of a class's names, to look labels up without a scan."""
-        own = self.name_index(cls).filter("kind = 'name'")
-        return own.select("s", F.explode(segment_keys(nfkc(F.col("value")))).alias("segment")).distinct()
+        own = self.name_index(cls).filter("kind = 'name'").select("s", nfkc(F.col("value")).alias("value"))
+        return own.select("s", F.explode(segment_keys(F.col("value"))).alias("segment")).distinct()
 
     def resolve(self, text: str, cls: str, partial: bool = False, suffixes: tuple[str, ...] = ("ETF", "ETN", "펀드", "채권")) -> Entity:
         """The entity that a text names, by the first level that finds any: equal, organisation form, key or segment,
