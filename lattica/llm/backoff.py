@@ -32,6 +32,8 @@ ORDER = 2
 ALPHA = 0.4
 #: Words of a block (a longer document is a block of its own).
 BLOCK_WORDS = 2_000_000
+#: Entries of the table that a task holds at most, on average; more words make more parts.
+PART_ENTRIES = 4_000_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -217,7 +219,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     blocks = cut(explode(own_columns(docs, doc_id=doc_id, text=text), block_words=block_words))
     kind = docs.schema[doc_id].dataType.simpleString()
     words_in_all = blocks.agg(F.sum("n")).first()[0] or 0
-    answers = counts(blocks, order).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "totals"))).alias("totals"))  # as large as a block at most
+    parts = max(shuffle_partitions(docs.sparkSession), -(-order * words_in_all // PART_ENTRIES))
+    answers = counts(blocks, order, parts).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "totals"))).alias("totals"))  # as large as a block at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,6 +11,8 @@ that repeat id and text belong to one group, in which exactly one row is kept; a
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ from lattica.llm.common import cut, joined_rows, one_each, own_columns, shuffle_
 #: Characters of a text that splitters hold.
 PREFIX = 48
 #: Sampled rows for each range, and the most ranges (so the driver holds at most RANGES * SAMPLES short strings).
-SAMPLES = 24
-RANGES = 4096
+SAMPLES = 16
+RANGES = 16384
 
 
 def _splitters(keys: DataFrame, ranges: int) -> list[tuple[str, int]]:
@@ -31,22 +33,34 @@ def _splitters(keys: DataFrame, ranges: int) -> list[tuple[str, int]]:
     return [(prefix.decode(), salt) for prefix, salt in sorted(bounds)]
 
 
+def _sorted_bounds(bounds: list[tuple[str, int]]) -> Column:
+    """The bounds as one constant array."""
+    return F.from_json(F.lit(json.dumps([{"p": p, "s": s} for p, s in bounds])), "array<struct<p:string,s:bigint>>")
+
+
 def _range_of(prefix: Column, salt: Column, bounds: list[tuple[str, int]]) -> Column:
     """How many of the sorted bounds lie below (prefix, salt), by binary search."""
     if not bounds:
         return F.lit(0)
-    array = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(s).cast("long").alias("s")) for p, s in bounds])
-    key = F.struct(prefix.alias("p"), salt.alias("s"))
+    array, key = _sorted_bounds(bounds), F.struct(prefix.alias("p"), salt.alias("s"))
 
     def step(at: Column, _: Column) -> Column:
         mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
-        below = (at["lo"] < at["hi"]) & (F.get(array, mid) < key)
-        return F.struct(F.when(below, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(below, at["hi"]).otherwise(F.when(at["lo"] < at["hi"], mid).otherwise(at["hi"])).alias("hi"))
+        open_, below = at["lo"] < at["hi"], F.get(array, mid) < key
+        return F.struct(F.when(open_ & below, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(open_ & ~below, mid).otherwise(at["hi"]).alias("hi"))
 
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, step)["lo"]
 
 
+def _cut_through(prefix: Column, range_: Column, bounds: list[tuple[str, int]]) -> Column:
+    """Whether a bound has this prefix; if one has, then one of the two next to the row."""
+    if not bounds:
+        return F.lit(False)
+    array = _sorted_bounds(bounds)
+    return F.coalesce(F.get(array, range_)["p"] == prefix, F.lit(False)) | F.coalesce(F.get(array, range_ - 1)["p"] == prefix, F.lit(False))
+
+
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, text_key (of the text, a null one as empty).
 
@@ -63,11 +77,10 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     best = [F.col("len").desc(), F.col("doc_id").asc_nulls_last()]
     run = Window.partitionBy("range", "norm").orderBy(*best)
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cut_through = F.col("prefix").isin(sorted({p for p, _ in bounds})) if bounds else F.lit(False)
     runs = cut(
         sorted_.select(
             "doc_id", "text_key", "len", F.row_number().over(run).alias("place"), F.first("len").over(whole).alias("run_len"), F.first("doc_id").over(whole).alias("run_id"),
-            F.count("*").over(whole).alias("run_size"), "range", cut_through.alias("shared"), F.col("norm"),
+            F.count("*").over(whole).alias("run_size"), "range", _cut_through(F.col("prefix"), F.col("range"), bounds).alias("shared"), F.col("norm"),
         ).select("doc_id", "text_key", "place", "run_len", "run_id", "run_size", "range", "shared", F.sha2("norm", 256).alias("text_sha256"))
     )
     alone = runs.filter(~F.col("shared")).select("doc_id", F.col("run_id").alias("keep_id"), F.col("run_size").alias("group_size"), (F.col("place") == 1).alias("kept"), "text_sha256", "text_key")

@@ -87,7 +87,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     per_line = per_sketch.groupBy("host", "line").agg(F.sum("texts").alias("texts"), F.count("*").alias("docs"))
     frequent = per_line.filter((F.col("docs") > line_docs) & (F.col("docs") >= LINE_DISTINCT * F.col("texts")))
     hosts = texts.groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "_host")
-    above = frequent.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("docs") > line_share * F.col("host_docs")).select("_host", F.col("line").alias("_line"))
+    above = cut(frequent.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("docs") > line_share * F.col("host_docs")).select("_host", F.col("line").alias("_line")))  # so that the join's hot side can be split
     lines = d.filter("!base_failed").select("row", "host", F.explode(F.arrays_zip("line_hash", "line_chars")).alias("x")).select("row", "host", F.col("x.line_hash").alias("line"), F.col("x.line_chars").alias("chars"))
     hit = lines.join(above, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line"))).groupBy(F.col("row").alias("_row")).agg(F.sum("chars").alias("removed"))
     removed = F.coalesce("removed", F.lit(0)).cast("long")

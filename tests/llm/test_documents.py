@@ -108,7 +108,8 @@ def same_text(rows):
 @pytest.mark.parametrize("ranges", [1, 5])
 def test_exact_groups_by_hand(spark, texts, ranges):
     hot = [(100 + i, "hot text" + " " * (i % 3), "s1") for i in range(300)]
-    for rows in (ODD, hot + ODD, texts):
+    odd = [(500 + i, 'q"\\\x01🙂\u2028' + "\t" * (i % 2), "s1") for i in range(200)] + hot[:40]
+    for rows in (ODD, hot + ODD, odd, texts):
         got = Counter(tuple(r) for r in exact_dedup.exact_groups(frame(spark, rows), ranges=ranges).drop("text_key").collect())
         assert got == same_text(rows)
 
