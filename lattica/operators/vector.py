@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.errors import RequestError
-from lattica.functions.text import unspaced
+from lattica.functions.text import excerpt, unspaced
 from lattica.functions.values import cosine
 from lattica.operators.federate import max_score
 from lattica.operators.joins import keyed, nested_sets
@@ -102,8 +102,9 @@ def sections_for(labels: list[str], hints: dict[str, str]) -> list[str]:
     return list(dict.fromkeys(s for x in labels for word, s in hints.items() if word in x))
 
 
-def quotes(hits: DataFrame, text: str, budget: int = 240) -> Column:
-    """How much of each hit may be quoted: the first 25 words, cut to so many characters."""
-    from lattica.functions.text import excerpt
-
-    return excerpt(F.col(text), 25, budget)
+def quotes(hits: DataFrame, text: str, budget: int = 240) -> DataFrame:
+    """`hits` with a quote of each: its first 25 words, as far as the characters that its document has left; best hits first."""
+    own = hits.withColumn("_q", excerpt(F.col(text), 25, budget))
+    earlier = Window.partitionBy("document_id").orderBy(F.desc("score"), "chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.greatest(F.lit(budget) - F.coalesce(F.sum(F.length("_q")).over(earlier), F.lit(0)), F.lit(0))
+    return own.withColumn("quote", F.substr(F.col("_q"), F.lit(1), left)).drop("_q")

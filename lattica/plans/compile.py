@@ -38,8 +38,8 @@ class Compiled:
 
 
 class Compiler:
-    def __init__(self, catalog: Catalog, tables: dict[str, DataFrame], described: dict[str, dict[str, str]] | None = None):
-        self.catalog, self.tables, self.described = catalog, tables, described or {}
+    def __init__(self, catalog: Catalog, tables: dict[str, DataFrame], described: dict[str, dict[str, str]] | None = None, ontology=None):
+        self.catalog, self.tables, self.described, self.ontology = catalog, tables, described or {}, ontology
 
     # --- columns
 
@@ -79,6 +79,8 @@ class Compiler:
         c = self.column(a)
         if value is None or (isinstance(value, (str, list, tuple)) and not value) or not str(value).strip():
             raise RequestError(f"{a.name}: a condition without a value")
+        if self.ontology and domain and operator in ("eq", "ne", "neq") and (labels := self._spellings(a, value, domain)):
+            return c.isin(labels) if operator == "eq" else ~c.isin(labels)
         if a.kind in ("flag", "boolean") or set(a.values) == {"Y", "N"}:
             if (found := self._flag(a, c, operator, value)) is not None:
                 return found
@@ -92,6 +94,9 @@ class Compiler:
             same = [v for v in a.values if squeeze(v) == squeeze(value)]
             if len(same) != 1:
                 raise RequestError(f"{a.name}: {value!r} is not one of {list(a.values)}")
+            mark = domain.subtype(same[0]) if domain else None
+            if mark and mark.operator == "contains" and mark.column == a.column:  # a mark within the title, not the title itself
+                return c.contains(mark.value) if operator == "eq" else ~c.contains(mark.value)
             return c == same[0] if operator == "eq" else c != same[0]
         if a.kind == "ordinal":
             labels = literals.on_scale(list(a.values), {"neq": "ne"}.get(operator, operator), value, upper)
@@ -125,6 +130,14 @@ class Compiler:
             raise RequestError(f"{a.name}: text has no order")
         raise RequestError(f"{a.name}: unknown operator {operator!r}")
 
+    def _spellings(self, a: Attribute, value: object, domain: Domain) -> list[str]:
+        """All source spellings of the one individual that a value names on the column's ontology axis; none if it names none."""
+        axis = next((x for v in domain.views.values() if v.kind == "classification" for c, x in v.axes if c == a.column), None)
+        try:
+            return self.ontology.source_values(axis, str(value)) if axis else []
+        except RequestError:
+            return []
+
     @staticmethod
     def _flag(a: Attribute, c: Column, operator: str, value: object) -> Column | None:
         """Equality with the stored code; `ne` asks for the other known code, so neither null nor a stray code is taken for it."""

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from lattica.errors import RequestError
 from lattica.functions import literals
-from lattica.operators import federate, vector
-from lattica.operators.graph import Entity, Graph, ready_plan
+from lattica.functions.values import guarded_number
+from lattica.operators import federate, joins, vector
+from lattica.operators.graph import Graph, ready_plan
 from lattica.plans.catalog import Catalog
-from lattica.plans.compile import Compiler
+from lattica.plans.compile import COMPARISONS, Compiler
 from lattica.plans.planner import Route, Step, plan, ready
 
 
@@ -63,7 +65,9 @@ class Engine:
 
     def _tables(self, step: Step, route: Route, done: dict[str, Outcome]) -> Outcome:
         if step.payload.get("lookup"):
-            return Outcome(step, "ok", None, None, notes=[f"lookup of {step.payload['entity']!r}"])
+            tables = {d.name: (self.compiler.tables[d.table], d.code, d.title) for d in self.catalog.domains.values() if d.table in self.compiler.tables}
+            found = joins.identity_probe(tables, [step.payload["entity"]])
+            return Outcome(step, "ok", None, found.select("code"), notes=[f"lookup of {step.payload['entity']!r}"])
         status, lists = self._upstream(step, route, done)
         if status != "ok":
             return Outcome(step, status)
@@ -86,21 +90,40 @@ class Engine:
         if self.graph is None:
             return Outcome(step, "unavailable")
         links = step.payload["relations"]
-        entity, tried = self.graph.seed([(links[0]["object_entity"], links[0].get("entity_role") or "product")])
+        role = links[0].get("entity_role") or "product"
+        known = [r.code for d in step.depends_on if done[d].codes is not None for r in done[d].codes.limit(2).collect()]  # a lookup's code is surer than a name
+        mentions = [known[0]] if len(known) == 1 else []
+        entity, tried = self.graph.seed([(x, role) for x in (*mentions, links[0]["object_entity"])])
         if entity.status != "resolved":
             return Outcome(step, "abstain_entity_" + entity.status, notes=[f"{t} as {c}: {s}" for t, c, s in tried])
         chosen = ready_plan([x["relation"] for x in links], str(links[-1].get("subject_domain") or ""), entity.cls)
         if chosen is None:
             return Outcome(step, "abstain_schema_unresolved")
         rows, evidence = self.graph.run(chosen, entity)
+        for c in step.payload.get("constraints", ()):
+            rows = rows.filter(self._constraint(c, rows))
         aliases = {x.alias for x in chosen.outputs if x.property == "productCode"}
         return Outcome(step, "ok", rows, self.graph.codes(chosen, rows) if aliases else None, notes=[f"evidence: {', '.join(evidence)}"])
 
+    @staticmethod
+    def _constraint(condition: dict, rows: DataFrame) -> Column:
+        """A condition on a relation, over the output or evidence column it names: numbers as numbers, else as text."""
+        name = condition["attribute"]
+        if name not in rows.columns:
+            raise RequestError(f"the relation has no {name!r}")
+        operator = COMPARISONS.get(condition.get("operator", "eq"))
+        if operator is None:
+            raise RequestError(f"unknown operator {condition.get('operator')!r}")
+        try:
+            return getattr(guarded_number(F.col(name)), operator)(F.lit(literals.number(condition["value"], "percent")))
+        except RequestError:
+            return getattr(F.col(name), operator)(str(condition["value"]))
+
     def _vectors(self, step: Step, route: Route, done: dict[str, Outcome]) -> Outcome:
         if self.chunks is None or self.embed is None:
             return Outcome(step, "abstain_vector_unavailable")
         chunks = self.chunks
-        codes = [o.codes for o in done.values() if o.codes is not None]
+        codes = [o.codes for o in done.values() if o.codes is not None and not o.step.payload.get("lookup")]
         if codes and self.bridge is not None:
             scope = federate.union_all(codes).withColumnRenamed("code", "product_id").distinct().limit(vector.MOST_IDS)
             chunks = vector.in_scope(chunks, self.bridge, scope)
@@ -108,5 +131,11 @@ class Engine:
         return Outcome(step, "ok" if hits.limit(1).count() else "topic_not_covered", hits)
 
 
-def entity_of(uri: str, cls: str) -> Entity:
-    return Entity("resolved", uri, cls, "given", [uri])
+def abstentions(route: Route, done: dict[str, Outcome]) -> list[str]:
+    """Why a request, or a part of it, has no answer: blockers first, then each step that gave none."""
+    return list(route.blockers) + [f"{o.step.id}: {o.status}" + (f" ({'; '.join(o.notes)})" if o.notes else "") for o in done.values() if o.status != "ok"]
+
+
+def rows_shown(steps: int, budget: int = 20) -> int:
+    """How many rows each of so many steps may show."""
+    return max(1, budget // max(steps, 1))

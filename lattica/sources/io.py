@@ -69,6 +69,29 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, s
     return spark.read.jdbc(url, table, properties=properties)
 
 
+def dsn_from_env(env: dict[str, str]) -> str | None:
+    """The JDBC address that the usual PostgreSQL variables name; None without a database, which means: registered views."""
+    if url := env.get("DATABASE_URL"):
+        return re.sub(r"^postgres(ql)?://(?:[^@/]*@)?", "jdbc:postgresql://", url)
+    if base := env.get("PGDATABASE"):
+        return f"jdbc:postgresql://{env.get('PGHOST', 'localhost')}:{env.get('PGPORT', '5432')}/{base}"
+    return None
+
+
+def with_retries(call, attempts: int = 4, first: float = 0.5, most: float = 30.0, transient=(ConnectionError, TimeoutError), sleep=time.sleep):
+    """What `call` returns, asked again after growing waits while it fails for passing reasons; other errors pass at once.
+
+    An error may carry `retry_after` (seconds), which is waited for up to `most`.
+    """
+    for i in range(attempts):
+        try:
+            return call()
+        except transient as e:
+            if i + 1 == attempts:
+                raise
+            sleep(min(most, getattr(e, "retry_after", None) or first * 2**i))
+
+
 def read_companies(spark: SparkSession, path: str) -> DataFrame:
     """The company master, from CSV with a header (a byte order mark is no part of the first name)."""
     df = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=False)

@@ -108,3 +108,14 @@ def test_a_stream_goes_through_the_same_compiler(spark, compiler, tmp_path):
     assert sorted(r.code for r in spark.table("sold").collect()) == ["K1", "K4"]
     with pytest.raises(RequestError):
         compile_stream(compiler.catalog, stream, {"domain": "etf", "entity": "x"})
+
+
+def test_marks_in_titles(spark):
+    names = sorted(PRODUCTS["채권"].columns())
+    rows = [tuple({"pd_no": "B1", "pd_nm": "가나 1(녹)"}.get(n) for n in names), tuple({"pd_no": "B2", "pd_nm": "다라 2"}.get(n) for n in names)]
+    compiler = Compiler(PRODUCTS, {"raw.prbd01n001": spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))})
+    ask = lambda **r: [x.code for x in compiler.compile({"domain": "채권", **r}).rows.collect()]
+    assert ask(conditions=[{"attribute": "ESG채권구분", "operator": "eq", "value": "녹색채권"}]) == ["B1"]
+    assert ask(subtypes=["녹색채권"]) == ["B1"] and ask(entity="다라2") == ["B2"]
+    with pytest.raises(RequestError):
+        ask(subtypes=["없는종류"])
