@@ -108,10 +108,10 @@ def tokenizer(path: str | None = None):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _pack(data: bytes) -> bytes:
+def _pack(data: bytes, level: int = 6) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def _unpack(data: bytes) -> bytes:
@@ -170,7 +170,7 @@ def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 
 
 def materialise(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = SEED, vocabulary: str | None = None) -> DataFrame:
-    """Writes the shards under `path` and returns their index: slot, shard, byte_offset, doc_id, n_tokens, crc32."""
+    """Writes the shards and their index under `path` and returns the index: slot, shard, byte_offset, doc_id, n_tokens, crc32."""
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     made = cut(blocks(docs, doc_id, text, length, vocabulary))
@@ -239,7 +239,8 @@ def materialise(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
 
     numbered = made.join(F.broadcast(offsets.select("part", "base")), "part").select((F.col("base") + F.col("start")).alias("start"), "n", "data", "docs")
     routed = numbered.mapInArrow(route, f"shard int, slots array<bigint>, docs array<{kind}>, data binary")
-    return cut(routed.repartitionById(shards, F.col("shard")).mapInArrow(write, index))
+    routed.repartitionById(shards, F.col("shard")).mapInArrow(write, index).write.mode("overwrite").parquet(f"{path}/index")
+    return spark.read.parquet(f"{path}/index")
 
 
 def _write(uri: str, data) -> None:
