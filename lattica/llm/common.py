@@ -82,8 +82,8 @@ def ranked(df: DataFrame, order: list[Column], sums: tuple[str, ...] = ()) -> Da
 
 
 def text_key(text: Column) -> Column:
-    """With the id, what tells a document's row from others; equal rows share it."""
-    return F.xxhash64(text, F.lit(1))
+    """With the id, what tells a document's row from others; equal rows share it, and a null text is an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.lit(1))
 
 
 def joined_rows(docs: DataFrame, decisions: DataFrame, how: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -114,6 +114,18 @@ def test_exact_groups_by_hand(spark, texts, ranges):
         assert got == same_text(rows)
 
 
+def test_what_stays(spark, texts):
+    columns = SCHEMA.replace(",", "").split()[::2]
+    for rows in (ODD, [(i + 1000, t, s) for i, t, s in texts] + ODD):
+        stay = exact_dedup.deduplicated(frame(spark, rows), ranges=4)
+        assert stay.columns == columns
+        assert Counter(r.doc_id for r in stay.collect()) == Counter(i for (i, _, _, kept, _), n in same_text(rows).items() for _ in range(n) if kept)
+        stay = simhash.survivors(frame(spark, rows))
+        assert stay.columns == columns
+        groups = {least for _, _, least in brute(rows)}
+        assert Counter(r.doc_id for r in stay.collect()) == Counter(groups)
+
+
 # --- quality rules
 
 
