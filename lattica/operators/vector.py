@@ -39,8 +39,8 @@ def top_k(chunks: DataFrame, query: list[float], k: int, sections: list[str] | N
     if not query:
         raise RequestError("an empty query vector")
     rows = chunks.filter(F.col(section).isin(sections)) if sections else chunks
-    scored = rows.withColumn("score", cosine(F.col(vector), query)).filter("score is not null")
-    return scored.orderBy(F.desc("score"), key).limit(max(1, min(k, MOST_HITS)))
+    scored = rows.withColumn("score", cosine(F.col(vector), query))  # once a row; what has no score comes last and goes
+    return scored.orderBy(F.col("score").desc_nulls_last(), key).limit(max(1, min(k, MOST_HITS))).filter("score is not null")
 
 
 def search(chunks: DataFrame, queries: list[list[float]], k: int, bridge: DataFrame | None = None, sections: list[str] | None = None, floor: float = FLOOR) -> DataFrame:
