@@ -12,6 +12,13 @@ from lattica.operators.joins import unique_hydration
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
+    """All rows by column name; a column that parts lack is null there, one whose types differ between parts becomes text."""
+    kinds: dict[str, set[str]] = {}
+    for p in parts:
+        for name, kind in p.dtypes:
+            kinds.setdefault(name, set()).add(kind)
+    mixed = {n for n, k in kinds.items() if len(k) > 1}
+    parts = [p.withColumns({n: F.col(f"`{n}`").cast("string") for n in p.columns if n in mixed}) if mixed & set(p.columns) else p for p in parts]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

@@ -106,6 +106,11 @@ def test_handoff_statuses(spark):
     assert evidence.counters(some, 2, 1) == {"retrieved_rows": 2, "displayed_rows": 1, "coverage_truncated": True}
 
 
+def test_unions_of_different_types(spark):
+    a, b = spark.createDataFrame([(1, 2.5)], "k int, v double"), spark.createDataFrame([("x", True)], "v string, w boolean")
+    assert {tuple(r) for r in federate.union_all([a, b]).collect()} == {(1, "2.5", None), (None, "x", True)}
+
+
 def test_previews_are_fair(spark):
     df = spark.createDataFrame([(d, i) for d, n in (("a", 100), ("b", 3), ("c", 1)) for i in range(n)], "d string, i int")
     got = federate.fair_preview(df, "d", [F.col("i")], 20).groupBy("d").count().collect()
