@@ -257,27 +257,26 @@ class Graph:
     def resolve(self, text: str, cls: str, partial: bool = False, suffixes: tuple[str, ...] = ("ETF", "ETN", "펀드", "채권")) -> Entity:
         """The entity that a text names, by the first level that finds any: equal, organisation form, key or segment,
         (if asked for) contained, and the same without a type word at the end. Several entities at a level are ambiguous."""
-        index = self.name_index(cls).cache()
-        try:
-            organisations = cls in ("Company", "Organization", "Issuer", "AssetManager")
-            for wanted in dict.fromkeys([text.strip(), *(text.strip().removesuffix(s).strip() for s in suffixes if text.strip().endswith(s))]):
-                if not wanted:
-                    continue
-                levels = [("exact", index.filter((F.col("value") == wanted) | (display_key(F.col("value")) == " ".join(wanted.split()).lower())))]
-                if organisations:
-                    levels.append(("organisation", index.filter((F.col("kind") == "name") & (organisation_key(F.col("value")) == organisation(wanted)))))
-                levels.append(("key", index.filter(key_of(F.col("value")) == key(wanted))))
-                levels.append(("segment", index.filter((F.col("kind") == "name") & F.array_contains(segment_keys(F.col("value")), key(wanted)))))
-                if partial:
-                    levels.append(("partial", index.filter((F.col("kind") == "name") & key_of(F.col("value")).contains(key(wanted)))))
-                for level, rows in levels:
-                    found = [r.s for r in rows.select("s").distinct().orderBy("s").limit(CANDIDATES + 1).collect()]
-                    if found:
-                        status = "resolved" if len(found) == 1 else "ambiguous"
-                        return Entity(status, found[0] if len(found) == 1 else None, cls, level, found[:CANDIDATES])
-            return Entity("not_found", cls=cls)
-        finally:
-            index.unpersist()
+        index, name = self.name_index(cls), F.col("kind") == "name"
+        text = " ".join(text.split())
+        for wanted in dict.fromkeys([text, *(text.removesuffix(x).strip() for x in suffixes if text.endswith(x))]):
+            if not wanted:
+                continue
+            value = F.col("value")
+            levels = {"exact": (value == wanted) | (display_key(value) == wanted.lower())}
+            if cls in ("Company", "Organization", "Issuer", "AssetManager"):
+                levels["organisation"] = name & (organisation_key(value) == organisation(wanted))
+            levels["key"] = key_of(value) == key(wanted)
+            levels["segment"] = name & F.array_contains(segment_keys(value), key(wanted))
+            if partial:
+                levels["partial"] = name & key_of(value).contains(key(wanted))
+            first = F.coalesce(*[F.when(c, i) for i, c in enumerate(levels.values())])
+            best = index.select("s", first.alias("level")).filter("level is not null").groupBy("s").agg(F.min("level").alias("level"))
+            rows = best.orderBy("level", "s").limit(CANDIDATES + 1).collect()
+            found = [r.s for r in rows if r.level == rows[0].level]
+            if found:
+                return Entity("resolved" if len(found) == 1 else "ambiguous", found[0] if len(found) == 1 else None, cls, list(levels)[rows[0].level], found[:CANDIDATES])
+        return Entity("not_found", cls=cls)
 
     def seed(self, mentions: list[tuple[str, str]]) -> tuple[Entity, list[tuple[str, str, str]]]:
         """The first of (text, role) mentions that resolves or is ambiguous in its role's classes, and what was tried."""
