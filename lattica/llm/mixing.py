@@ -42,13 +42,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     weighed = order.select("source", "source_size", weight.cast("long").alias("weight"))
     by_fill = ranked(weighed.withColumn("_fill", F.col("source_size") / F.col("weight")), [F.col("_fill"), F.col("source").asc_nulls_last()], ("source_size", "weight"))
     by_fill = cut(by_fill)
-    all_of = by_fill.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("heavy"))
-    left = F.col("total") - cap * F.col("before_source_size")
-    open_weight = F.col("heavy") - F.col("before_weight")
-    first = F.when(left * F.col("weight") <= cap * F.col("source_size") * open_weight, F.col("row_index"))
-    level = by_fill.join(F.broadcast(all_of)).agg(F.min_by(left / open_weight, first).alias("level"))  # one row each
-    share = F.least((cap * F.col("source_size")).cast("double"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight"))
-    return by_fill.join(F.broadcast(level)).select("source", "source_size", share.alias("target"))
+    total, heavy = by_fill.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = 0.0
+    if total:
+        left, open_weight = total - cap * F.col("before_source_size"), heavy - F.col("before_weight")
+        first = F.when(left * F.col("weight") <= cap * F.col("source_size") * open_weight, F.col("row_index"))
+        level = by_fill.agg(F.min_by(left / open_weight, first)).first()[0]
+    share = F.least((cap * F.col("source_size")).cast("double"), F.lit(float(level)) * F.col("weight"))
+    return by_fill.select("source", "source_size", share.alias("target"))
 
 
 def copies(doc_id: Column, source_size: Column, target: Column, cap: int = CAP, seed: str = SEED) -> Column:
