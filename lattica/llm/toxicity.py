@@ -38,7 +38,7 @@ from lattica.llm.labelled import fold, one_label, sampled
 FOLDS, HELD = 5, 0
 #: Documents to train on: toxic ones, others, and the longest in characters.
 TOXIC, CLEAN, LONGEST = 1500, 3000, 50_000
-LANDMARKS = 40
+LANDMARKS = 32
 DECAY = 0.7
 PIECE = 24
 #: Margins below it tell nothing about a document.
@@ -177,7 +177,9 @@ class Model:
             cache.update(zip(new, self.margins(new).tolist(), strict=True))
         out = np.empty((len(bags), 7))
         for i, b in enumerate(bags):
-            top = [max(0.0, min(x, 1.5) - FLOOR) for x in nlargest(3, map(cache.__getitem__, b))] + [0.0] * 3
+            found = list(map(cache.__getitem__, b))
+            best = nlargest(3, found) if found and max(found) > FLOOR else []
+            top = [max(0.0, min(x, 1.5) - FLOOR) for x in best] + [0.0] * 3
             size = math.log1p(len(b))
             out[i] = (*top[:3], size, top[0] * size, top[1] * size, 1.0)
         if len(cache) > CACHE:
@@ -189,16 +191,24 @@ class Model:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-2, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear machine by Newton steps on the examples inside the margin."""
-    z = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
-    w = np.zeros(z.shape[1])
+    """Squared-hinge linear machine by Newton steps on the examples inside the margin (only these are held in double)."""
+    w = np.zeros(x.shape[1] + 1)
     ridge = penalty * np.eye(len(w))
     ridge[-1, -1] = 1e-9
     for _ in range(rounds):
-        inside = y * (z @ w) < 1
-        a, c = z[inside], weight[inside]
-        new = np.linalg.solve((a * c[:, None]).T @ a + ridge, (a * c[:, None]).T @ y[inside])
-        if np.allclose(new, w, atol=1e-9):
+        inside = y * (x @ w[:-1].astype(np.float32) + np.float32(w[-1])) < 1
+        a = np.column_stack([x[inside], np.ones(np.count_nonzero(inside))]).astype(np.float64) if w.any() else None
+        if a is None:  # the first step takes all examples, in pieces
+            gram, target = np.zeros((len(w), len(w))), np.zeros(len(w))
+            for i in range(0, len(x), 1 << 15):
+                z = np.column_stack([x[i : i + (1 << 15)], np.ones(len(x[i : i + (1 << 15)]))]).astype(np.float64)
+                c = weight[i : i + (1 << 15)]
+                gram, target = gram + (z * c[:, None]).T @ z, target + (z * c[:, None]).T @ y[i : i + (1 << 15)]
+        else:
+            c = weight[inside]
+            gram, target = (a * c[:, None]).T @ a, (a * c[:, None]).T @ y[inside]
+        new = np.linalg.solve(gram + ridge, target)
+        if np.allclose(new, w, atol=1e-6):
             break
         w = new
     return w[:-1], float(w[-1])
@@ -246,7 +256,7 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds:
     marks = chosen + [str(w)[:8] for w in rng.choice(usual, min(landmarks - len(chosen), len(usual)), replace=False)]
     kernel = Kernel(marks)
     value, vector = np.linalg.eigh(kernel.values(marks).astype(np.float64))
-    whiten = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
+    whiten = ((vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T).astype(np.float32)
     negative, every = sorted(cold), sorted(hot)
     low, high = kernel.values(negative) @ whiten, kernel.values(every) @ whiten
     rates = np.array([cold[w] for w in negative]) / len(clean)
@@ -256,7 +266,7 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds:
         at = [place[w] for b in bags for s in b for w in s & positive]  # a sentence counts by its toxic tokens
         if not at:
             break
-        x, y = np.concatenate([high[at], low]), np.concatenate([np.ones(len(at)), -np.ones(len(low))])
+        x, y = np.concatenate([high[at], low]), np.concatenate([np.ones(len(at), np.float32), -np.ones(len(low), np.float32)])
         w, bias = _svm(x, y, np.concatenate([np.full(len(at), 1 / len(toxic)), rates]))
         model = Model(kernel, (whiten @ w).astype(np.float32), bias)
         margin = high @ w + bias
