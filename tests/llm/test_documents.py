@@ -162,6 +162,20 @@ def test_line_frequency(spark):
     assert all(kept[i] for i, _, _ in partly + copied + edited)
 
 
+@pytest.mark.parametrize("own", [3, 8, 15])
+def test_line_of_depleted_documents_only(spark, own):
+    """No other document of the host has the line, so nothing but the depleted ones can put it above the limits."""
+    words = lambda i, n: " ".join(f"o{i}x{j}" for j in range(n))
+    menu = " ".join(f"commonmenu{j}" for j in range(60))
+    rows = [(i, f"{menu}\n{words(i, own)}", "h") for i in range(120)]
+    rows += [(1000 + i, words(1000 + i, 80), "h") for i in range(60)]
+    two = [" ".join(f"{c}{j}" for j in range(35)) for c in ("commonhead", "commonfoot")]
+    rows += [(2000 + i, f"{two[0]}\n{words(2000 + i, 12)}\n{two[1]}", "two") for i in range(120)]
+    rows += [(3000 + i, menu, "copies") for i in range(120)]
+    kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(frame(spark, rows)).collect()}
+    assert all(kept[i] == (1000 <= i < 2000 or i >= 3000) for i in kept)
+
+
 # --- near duplicates
 
 
