@@ -14,7 +14,7 @@ from lattica.llm.common import fresh_path, remove_path
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, without their lines above the limits."""
     return quality_rules.kept_documents(docs)
 
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import WORD, cut, joined_rows, own_columns, text_key, without_white
+from lattica.llm.common import WORD, cut, own_columns, text_key, without_white
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -51,6 +51,11 @@ def _covered(starts: Column) -> Column:
     return F.when(F.size(starts) > 0, F.aggregate(steps, F.lit(WINDOW), lambda s, x: s + x)).otherwise(0)
 
 
+def _line_key(line: Column) -> Column:
+    """Hash of a normalised line: lower case, runs of white space as one space."""
+    return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))))
+
+
 def _least(windows: Column) -> Column:
     """The SKETCH least distinct hashes of sorted windows (h, line)."""
     return F.slice(F.array_distinct(F.transform(windows, lambda x: x["h"])), 1, SKETCH)
@@ -87,7 +92,7 @@ def text_rules(docs: DataFrame) -> DataFrame:
     d = d.select(
         "doc_id", "host", F.aggregate("l1", F.lit(0), lambda s, x: s + F.size(x)).cast("long").alias("n_words"), F.char_length(without_white(F.col("text"))).cast("long").alias("word_chars"),
         (F.char_length("text") - F.char_length(stripped)).cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("lines", lambda x: F.xxhash64(F.lower(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " "))))).alias("line_hash"), F.transform("lines", lambda x: F.char_length(without_white(x))).alias("line_chars"),
+        F.transform("lines", _line_key).alias("line_hash"), F.transform("lines", lambda x: F.char_length(without_white(x))).alias("line_chars"),
         text_key(F.col("text")).alias("text_hash"), "l1", F.flatten("l1").alias("h1"),
     )
     base = ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "line_hash", "line_chars", "text_hash"]
@@ -106,8 +111,8 @@ def text_rules(docs: DataFrame) -> DataFrame:
     return d.select(*base, _covered(F.col("starts")).cast("long").alias("n_repeat_words"))
 
 
-def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """One row per document: doc_id, the base columns, removed_chars, base_failed, kept, text_key (of the text, a null one as empty)."""
+def _decided(docs: DataFrame, doc_id: str, text: str, host: str, line_docs: int, line_share: float, min_left: float) -> DataFrame:
+    """What `quality_rules` returns, with host and gone: the keys of the document's lines above the limits, or null."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     ruled = text_rules(own_columns(docs, doc_id=doc_id, host=host, text=text))
     d = cut(ruled.select(F.monotonically_increasing_id().alias("row"), "*", failed.alias("base_failed")))
@@ -119,13 +124,29 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     hosts = texts.groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "_host")
     above = cut(frequent.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("docs") > line_share * F.col("host_docs")).select("_host", F.col("line").alias("_line")))  # so that the join's hot side can be split
     lines = d.filter("!base_failed").select("row", "host", F.explode(F.arrays_zip("line_hash", "line_chars")).alias("x")).select("row", "host", F.col("x.line_hash").alias("line"), F.col("x.line_chars").alias("chars"))
-    hit = lines.join(above, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line"))).groupBy(F.col("row").alias("_row")).agg(F.sum("chars").alias("removed"))
+    hit = lines.join(above, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line"))).groupBy(F.col("row").alias("_row")).agg(F.sum("chars").alias("removed"), F.collect_set("line").alias("gone"))  # a document's own lines at most
     removed = F.coalesce("removed", F.lit(0)).cast("long")
     kept = ~F.col("base_failed") & (F.col("word_chars") - removed >= min_left * F.col("word_chars"))
-    return d.join(hit, F.col("row") == F.col("_row"), "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", removed.alias("removed_chars"), "base_failed", kept.alias("kept"), F.col("text_hash").alias("text_key"))
+    return d.join(hit, F.col("row") == F.col("_row"), "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", removed.alias("removed_chars"), "base_failed", kept.alias("kept"), F.col("text_hash").alias("text_key"), "host", "gone")
+
+
+def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """One row per document: doc_id, the base columns, removed_chars, base_failed, kept, text_key (of the text, a null one as empty)."""
+    return _decided(docs, doc_id, text, host, line_docs, line_share, min_left).drop("host", "gone")
 
 
-def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", **limits: float) -> DataFrame:
-    """The rows of `docs` that the rules keep. A row is told by its id and text: rows that repeat both on several hosts stay if one does."""
-    decided = quality_rules(docs, doc_id, text, host, **limits)
-    return joined_rows(docs, decided.filter("kept").select("doc_id", "text_key"), "left_semi", doc_id, text)
+def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", n_chars: str = "n_chars", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """The rows of `docs` that the rules keep, their texts without the lines above the limits.
+
+    Where lines go, the column `n_chars` (if there is one) counts what is left; other texts stay as they are.
+    """
+    decided = _decided(docs, doc_id, text, host, line_docs, line_share, min_left).filter("kept")
+    one = decided.select(F.col("doc_id").alias("_k_id"), F.col("text_key").alias("_k_text"), F.col("host").alias("_k_host"), F.col("gone").alias("_k_gone")).dropDuplicates(["_k_id", "_k_text", "_k_host"])  # equal rows, equal decisions
+    own_id, own_text, own_host = (F.col(f"`{c}`") for c in (doc_id, text, host))
+    joined = docs.join(one, own_id.eqNullSafe(F.col("_k_id")) & (text_key(own_text) == F.col("_k_text")) & own_host.eqNullSafe(F.col("_k_host")))
+    left = F.array_join(F.filter(F.split(own_text, "\n"), lambda x: ~F.array_contains(F.col("_k_gone"), _line_key(x))), "\n")
+    joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "_k_gone", F.when(F.col("_k_gone").isNull(), own_text).otherwise(left).alias("_k_left"))
+    new = {text: F.col("_k_left")}
+    if n_chars in docs.columns:
+        new[n_chars] = F.when(F.col("_k_gone").isNull(), F.col(f"`{n_chars}`")).otherwise(F.char_length("_k_left").cast(docs.schema[n_chars].dataType))
+    return joined.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -64,3 +64,13 @@ def test_stages_keep_columns_and_take_odd_rows(spark, sf_dir):
         assert docs.count() >= (1 if rows else 0)
 
 
+def test_lines_above_the_limits_leave_the_texts(spark, sf_dir):
+    own = lambda i: " ".join(f"o{i}x{j}" for j in range(40))
+    rows = [(i, f"{own(i)}\n\nThe  Menu of this site\nend {i}" + "\nthe menu OF this site " * (i % 2), "h") for i in range(70)]
+    rows += [(100, f"{own(100)}\nthe menu of this site", "other"), (5, rows[5][1], "other"), (None, f"{own(101)}\nthe menu of this site", "h")]
+    docs = frame(spark, rows)
+    out = corpus_pipeline.keep_good(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    want = [(i, f"{own(i)}\n\nend {i}", "h") for i in range(70)] + [rows[70], rows[71], (None, own(101), "h")]
+    got = [(r.doc_id, r.text, r.source, r.n_chars) for r in out.collect()]
+    assert Counter(got) == Counter((i, t, s, len(t) if s == "h" else None) for i, t, s in want)
