@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import cut, own_columns, shuffle_partitions
 
-ORDER = 2
+ORDER = 3
 ALPHA = 0.4
 #: Words of a block (a longer document is a block of its own).
 BLOCK_WORDS = 2_000_000

@@ -51,6 +51,19 @@ def test_likely_texts_score_higher(spark):
     assert got[101] > got[100]
 
 
+def test_query_scores_trigrams(spark, tmp_path):
+    """Every bigram of the last text is seen, its trigrams are not: only an order over 2 backs off there."""
+    from lattica.llm.queries import QUERIES
+
+    rows = [(1, "a b c"), (2, "d b e"), (3, "a b e")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op8_stupid_backoff"](spark, str(tmp_path)).collect()}
+    want = {i: (log, backed) for i, _, log, backed in brute(rows, 3)}
+    assert got[3].n_backoff == 1
+    assert {i: r.n_backoff for i, r in got.items()} == {i: b for i, (_, b) in want.items()}
+    assert {i: r.log_prob for i, r in got.items()} == pytest.approx({i: x for i, (x, _) in want.items()})
+
+
 def test_empty(spark):
     assert backoff.score(spark.createDataFrame([], "doc_id string, text string")).count() == 0
     assert backoff.score(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()[0].log_prob == 0
