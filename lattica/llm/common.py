@@ -63,6 +63,15 @@ def own_columns(df: DataFrame, **of: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(k) for k, c in of.items()])
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Names made of `stems` that no column of `df` has, whatever its case."""
+    taken = "".join(sorted({c.lower() for c in df.columns}))
+    mark = "_"
+    while any(f"{mark}{s}" in taken for s in stems):
+        mark += "_"
+    return [f"{mark}{s}" for s in stems]
+
+
 def ranked(df: DataFrame, order: list[Column], sums: tuple[str, ...] = ()) -> DataFrame:
     """`df` with `row_index` (0-based place in the total order) and `before_<c>`: the sum of c over all earlier rows.
 
@@ -88,11 +97,13 @@ def text_key(text: Column) -> Column:
 
 def joined_rows(docs: DataFrame, decisions: DataFrame, how: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` joined (left_semi or left_anti) with decisions (doc_id, text_key) on id and text, null ids included."""
-    keyed = decisions.select(F.col("doc_id").alias("_k_id"), F.col("text_key").alias("_k_text"))
-    return docs.join(keyed, F.col(f"`{doc_id}`").eqNullSafe(F.col("_k_id")) & (text_key(F.col(f"`{text}`")) == F.col("_k_text")), how)
+    k_id, k_text = unused(docs, "id", "text")
+    keyed = decisions.select(F.col("doc_id").alias(k_id), F.col("text_key").alias(k_text))
+    return docs.join(keyed, F.col(f"`{doc_id}`").eqNullSafe(F.col(k_id)) & (text_key(F.col(f"`{text}`")) == F.col(k_text)), how)
 
 
 def one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of those that repeat id and text. It follows a join on both, whose partitioning it shares."""
+    (nth,) = unused(docs, "nth")
     same = Window.partitionBy(F.col(f"`{doc_id}`"), text_key(F.col(f"`{text}`"))).orderBy(F.lit(0))
-    return docs.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").drop("_nth")
+    return docs.withColumn(nth, F.row_number().over(same)).filter(F.col(nth) == 1).drop(nth)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import WORD, cut, own_columns, ranked
+from lattica.llm.common import WORD, cut, own_columns, ranked, unused
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -68,9 +68,10 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: rows of `docs`, each as often as it is taken, with the columns of `docs`."""
     slim = own_columns(docs, source=source, text=text).select("source", word_count(F.col("text")).alias("size"))
-    goal = targets(slim, weights, cap).select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_size"), F.col("target").alias("_mix_target"))
-    n = copies(F.col(f"`{doc_id}`"), F.col("_mix_size"), F.col("_mix_target"), cap, seed)
-    joined = docs.join(goal, F.col(f"`{source}`").eqNullSafe(F.col("_mix_source")))
+    m_source, m_size, m_target, m_n, m_k = unused(docs, "source", "size", "target", "n", "k")
+    goal = targets(slim, weights, cap).select(F.col("source").alias(m_source), F.col("source_size").alias(m_size), F.col("target").alias(m_target))
+    n = copies(F.col(f"`{doc_id}`"), F.col(m_size), F.col(m_target), cap, seed)
+    joined = docs.join(goal, F.col(f"`{source}`").eqNullSafe(F.col(m_source)))
     keep = [F.col(f"`{c}`") for c in docs.columns]
-    counted = joined.select(*keep, n.cast("int").alias("_mix_n")).filter("_mix_n > 0")
-    return counted.select(*keep, F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias("_mix_k")).drop("_mix_k")
+    counted = joined.select(*keep, n.cast("int").alias(m_n)).filter(F.col(m_n) > 0)
+    return counted.select(*keep, F.explode(F.sequence(F.lit(1), F.col(m_n))).alias(m_k)).drop(m_k)

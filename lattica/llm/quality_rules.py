@@ -2,15 +2,8 @@
 
 Base rules look at one text: words, characters, symbols, repeated lines, words in repeated 8-word windows. Then each
 normalised line is hashed and its distinct documents on its host are counted; lines above the limits are removed and a
-document that keeps too little of itself is rejected.
-
-Copies must not make their own lines look like boilerplate. Exact copies on a host count once. Near copies are told by
-what a document holds besides the line: its sketch for a line is the SKETCH least hashes over the 4-word windows of its
-other lines (a shorter line is one window), so words of the counted line never enter. A line's distinct documents are its
-distinct sketches, and it is above the limits only if these are many and most of its texts differ in them. Texts that
-share all but a ninth of their other windows (Jaccard about 0.8) mostly have one sketch: edited copies of a text, and
-just as well documents that are nothing but several common lines and a few words of their own; these two can't be told
-apart, and stay. Texts that are nothing but the line are one document.
+document that keeps too little of itself is rejected. Equal texts on a host are one document of it, so that exact copies
+don't make their own lines boilerplate; edited copies are documents of their own.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own; repeated rows get
 equal rows; an empty table gives an empty result; no column but the id, text and host is read.
@@ -21,19 +14,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import WORD, cut, own_columns, text_key, without_white
+from lattica.llm.common import WORD, cut, own_columns, text_key, unused, without_white
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: A line is above the limits on a host if its distinct documents are more than LINE_DOCS and than LINE_SHARE of the
-#: host's, and at least LINE_DISTINCT of all texts that have it.
+#: host's.
 LINE_DOCS = 50
 LINE_SHARE = 0.01
-LINE_DISTINCT = 0.5
-#: Hashes of a sketch: the share of shared windows at which two sketches are equal half the time is 0.5 ** (1 / SKETCH).
-SKETCH = 6
 #: A document is depleted if less than this share of its word characters is left.
 MIN_LEFT = 0.2
 
@@ -56,50 +46,24 @@ def _line_key(line: Column) -> Column:
     return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))))
 
 
-def _least(windows: Column) -> Column:
-    """The SKETCH least distinct hashes of sorted windows (h, line)."""
-    return F.slice(F.array_distinct(F.transform(windows, lambda x: x["h"])), 1, SKETCH)
-
-
-def _with_sketches(d: DataFrame, base: list[str]) -> DataFrame:
-    """`d` with line_sketch: for each of array_distinct(line_hash), the sketch of the other lines.
-
-    Only a line that alone holds one of the least hashes of all lines changes them by its absence: SKETCH lines at most.
-    """
-    least = F.transform("l4", lambda x, i: F.when(F.size(x) > 0, F.slice(F.sort_array(x), 1, SKETCH)).otherwise(F.array(F.get("line_hash", i))))
-    d = d.select(*base, least.alias("least"))
-    d = d.select(*base, F.sort_array(F.flatten(F.transform("least", lambda x, i: F.transform(x, lambda h: F.struct(h.alias("h"), F.get("line_hash", i).alias("line")))))).alias("windows"))
-    d = d.select(*base, "windows", _least(F.col("windows")).alias("top"))
-    owners = F.transform("top", lambda h: F.array_distinct(F.transform(F.filter("windows", lambda x: x["h"] == h), lambda x: x["line"])))
-    d = d.select(*base, "windows", F.xxhash64("top").alias("whole"), F.array_distinct(F.flatten(F.filter(owners, lambda x: F.size(x) == 1))).alias("sole"))
-    without = F.transform("sole", lambda own: F.xxhash64(_least(F.filter("windows", lambda x: x["line"] != own))))
-    d = d.select(*base, "whole", "sole", without.alias("without"))
-    at = lambda line: F.array_position("sole", line).cast("int")
-    return d.select(*base, F.transform(F.array_distinct("line_hash"), lambda x: F.coalesce(F.get("without", at(x) - 1), F.col("whole"))).alias("line_sketch"))
-
-
 def text_rules(docs: DataFrame) -> DataFrame:
-    """`docs` (doc_id, host, text) with the base columns and the arrays line_hash, line_chars and line_sketch.
+    """`docs` (doc_id, host, text) with the base columns and the arrays line_hash and line_chars.
 
     Arrays that a later step reads twice are columns of their own, so that each is computed once.
     """
     text = F.coalesce("text", F.lit(""))
     d = docs.select("doc_id", "host", text.alias("text")).select("doc_id", "host", "text", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
-    d = d.select("*", F.transform("lines", lambda x: F.transform(F.regexp_extract_all(x, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))).alias("l1"))
     stripped = F.col("text")
     for c in SYMBOLS:
         stripped = F.replace(stripped, F.lit(c), F.lit(""))
     d = d.select(
-        "doc_id", "host", F.aggregate("l1", F.lit(0), lambda s, x: s + F.size(x)).cast("long").alias("n_words"), F.char_length(without_white(F.col("text"))).cast("long").alias("word_chars"),
+        "doc_id", "host", F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)).alias("h1"), F.char_length(without_white(F.col("text"))).cast("long").alias("word_chars"),
         (F.char_length("text") - F.char_length(stripped)).cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("lines", _line_key).alias("line_hash"), F.transform("lines", lambda x: F.char_length(without_white(x))).alias("line_chars"),
-        text_key(F.col("text")).alias("text_hash"), "l1", F.flatten("l1").alias("h1"),
+        F.transform("lines", _line_key).alias("line_hash"), F.transform("lines", lambda x: F.char_length(without_white(x))).alias("line_chars"), text_key(F.col("text")).alias("text_hash"),
     )
     base = ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "line_hash", "line_chars", "text_hash"]
-    d = d.select(*base, _pairs(F.col("h1"), 1).alias("h2"), F.transform("l1", lambda x: _pairs(x, 1)).alias("l2"))
-    d = d.select(*base, _pairs(F.col("h2"), 2).alias("h4"), F.transform("l2", lambda x: _pairs(x, 2)).alias("l4"))
-    d = _with_sketches(d, [*base, "h4"])
-    base = [*base, "line_sketch"]
+    d = d.withColumn("n_words", F.size("h1").cast("long")).select(*base, _pairs(F.col("h1"), 1).alias("h2"))
+    d = d.select(*base, _pairs(F.col("h2"), 2).alias("h4"))
     d = d.select(*base, _pairs(F.col("h4"), 4).alias("h8"))
     repeats = F.size(F.array_distinct("h8")) < F.size("h8")
     none = F.array().cast("array<struct<h:bigint,i:int>>")
@@ -116,11 +80,9 @@ def _decided(docs: DataFrame, doc_id: str, text: str, host: str, line_docs: int,
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     ruled = text_rules(own_columns(docs, doc_id=doc_id, host=host, text=text))
     d = cut(ruled.select(F.monotonically_increasing_id().alias("row"), "*", failed.alias("base_failed")))
-    texts = d.select("host", "text_hash", "line_sketch", "line_hash").dropDuplicates(["host", "text_hash"])
-    once = F.arrays_zip(F.array_distinct("line_hash").alias("line"), F.col("line_sketch").alias("sketch"))
-    per_sketch = texts.select("host", F.explode(once).alias("x")).select("host", "x.line", "x.sketch").groupBy("host", "line", "sketch").agg(F.count("*").alias("texts"))
-    per_line = per_sketch.groupBy("host", "line").agg(F.sum("texts").alias("texts"), F.count("*").alias("docs"))
-    frequent = per_line.filter((F.col("docs") > line_docs) & (F.col("docs") >= LINE_DISTINCT * F.col("texts")))
+    texts = d.select("host", "text_hash", "line_hash").dropDuplicates(["host", "text_hash"])
+    per_line = texts.select("host", F.explode(F.array_distinct("line_hash")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs"))
+    frequent = per_line.filter(F.col("docs") > line_docs)
     hosts = texts.groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "_host")
     above = cut(frequent.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("docs") > line_share * F.col("host_docs")).select("_host", F.col("line").alias("_line")))  # so that the join's hot side can be split
     lines = d.filter("!base_failed").select("row", "host", F.explode(F.arrays_zip("line_hash", "line_chars")).alias("x")).select("row", "host", F.col("x.line_hash").alias("line"), F.col("x.line_chars").alias("chars"))
@@ -131,7 +93,10 @@ def _decided(docs: DataFrame, doc_id: str, text: str, host: str, line_docs: int,
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """One row per document: doc_id, the base columns, removed_chars, base_failed, kept, text_key (of the text, a null one as empty)."""
+    """One row per document: doc_id, the base columns, removed_chars, base_failed, kept, text_key (of the text, a null one as empty).
+
+    removed_chars counts the word characters of the lines above the limits; it is 0 where the base rules fail already.
+    """
     return _decided(docs, doc_id, text, host, line_docs, line_share, min_left).drop("host", "gone")
 
 
@@ -141,12 +106,13 @@ def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Where lines go, the column `n_chars` (if there is one) counts what is left; other texts stay as they are.
     """
     decided = _decided(docs, doc_id, text, host, line_docs, line_share, min_left).filter("kept")
-    one = decided.select(F.col("doc_id").alias("_k_id"), F.col("text_key").alias("_k_text"), F.col("host").alias("_k_host"), F.col("gone").alias("_k_gone")).dropDuplicates(["_k_id", "_k_text", "_k_host"])  # equal rows, equal decisions
+    k_id, k_text, k_host, k_gone, k_left = unused(docs, "id", "text", "host", "gone", "left")
+    one = decided.select(F.col("doc_id").alias(k_id), F.col("text_key").alias(k_text), F.col("host").alias(k_host), F.col("gone").alias(k_gone)).dropDuplicates([k_id, k_text, k_host])  # equal rows, equal decisions
     own_id, own_text, own_host = (F.col(f"`{c}`") for c in (doc_id, text, host))
-    joined = docs.join(one, own_id.eqNullSafe(F.col("_k_id")) & (text_key(own_text) == F.col("_k_text")) & own_host.eqNullSafe(F.col("_k_host")))
-    left = F.array_join(F.filter(F.split(own_text, "\n"), lambda x: ~F.array_contains(F.col("_k_gone"), _line_key(x))), "\n")
-    joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "_k_gone", F.when(F.col("_k_gone").isNull(), own_text).otherwise(left).alias("_k_left"))
-    new = {text: F.col("_k_left")}
+    joined = docs.join(one, own_id.eqNullSafe(F.col(k_id)) & (text_key(own_text) == F.col(k_text)) & own_host.eqNullSafe(F.col(k_host)))
+    left = F.array_join(F.filter(F.split(own_text, "\n"), lambda x: ~F.array_contains(F.col(k_gone), _line_key(x))), "\n")
+    joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], k_gone, F.when(F.col(k_gone).isNull(), own_text).otherwise(left).alias(k_left))
+    new = {text: F.col(k_left)}
     if n_chars in docs.columns:
-        new[n_chars] = F.when(F.col("_k_gone").isNull(), F.col(f"`{n_chars}`")).otherwise(F.char_length("_k_left").cast(docs.schema[n_chars].dataType))
+        new[n_chars] = F.when(F.col(k_gone).isNull(), F.col(f"`{n_chars}`")).otherwise(F.char_length(k_left).cast(docs.schema[n_chars].dataType))
     return joined.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -100,6 +100,35 @@ WITH base AS (
   FROM base
 )
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM placed
+""",
+    "op5_quality_rules": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), lines AS (
+  SELECT row, source, text, raw, lower(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line, length(regexp_replace(raw, '[\x20\x09-\x0D]', '', 'g')) AS chars
+  FROM (SELECT row, source, text, unnest(string_split(text, chr(10))) AS raw FROM docs) WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')
+), dups AS (
+  SELECT row, count(*) - count(DISTINCT raw) AS n_dup_lines FROM lines GROUP BY row
+), windows AS (
+  SELECT row, i, count(*) OVER (PARTITION BY row, array_to_string(words[i:i + 7], ' ')) AS n FROM (SELECT row, words, unnest(range(1, len(words) - 6)) AS i FROM docs WHERE len(words) >= 8)
+), repeats AS (
+  SELECT row, count(DISTINCT j) AS n_repeat_words FROM (SELECT row, unnest(range(i, i + 8)) AS j FROM windows WHERE n > 1) GROUP BY row
+), base AS (
+  SELECT d.row, d.doc_id, d.source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM docs d LEFT JOIN dups USING (row) LEFT JOIN repeats USING (row)
+), failed AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base
+), hosts AS (
+  SELECT source, count(DISTINCT text) AS host_docs FROM docs GROUP BY source
+), above AS (
+  SELECT l.source, l.line FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, l.line, h.host_docs HAVING count(DISTINCT l.text) > 50 AND count(DISTINCT l.text) > 0.01 * h.host_docs
+), removed AS (
+  SELECT l.row, sum(l.chars) AS removed_chars FROM lines l JOIN above a ON l.source IS NOT DISTINCT FROM a.source AND l.line = a.line GROUP BY l.row
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, CASE WHEN base_failed THEN 0 ELSE CAST(coalesce(removed_chars, 0) AS BIGINT) END AS removed_chars, base_failed,
+  NOT base_failed AND word_chars - coalesce(removed_chars, 0) >= 0.2 * word_chars AS kept
+FROM failed LEFT JOIN removed USING (row)
 """,
     "op6_warc": r"""
 WITH base AS (

@@ -13,12 +13,12 @@ from lattica.llm import exact_dedup, mixing, quality_rules, simhash
 from lattica.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, size long, fp string, line string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, size long, fp string, line string, _id string, _k_id string, _nth int, _mix_n int, _GONE int"
 
 
 def frame(spark, rows):
     """Rows (doc_id, text, source), with further columns whose names the operators use themselves."""
-    return spark.createDataFrame([(i, t, None, s, None, "x", 7, "y", "z") for i, t, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, None, s, None, "x", 7, "y", "z", "p", "q", 1, 2, 3) for i, t, s in rows], SCHEMA)
 
 
 ODD = [(1, "a b  c", "s1"), (1, "a b  c", "s1"), (2, "abc", "s1"), (3, None, "s2"), (4, "", None), (None, "a\tb c", "s2"), (5, "é a b \x0b", None), (6, " \n ", "s3"), (7, "word " * 3000, "s1"), (8, "One two\nOne two\nthree", "s2")]
@@ -148,7 +148,23 @@ def test_base_rules_by_hand(spark, texts):
     assert got == Counter((i, *base_rules(t)) for i, t, _ in rows)
 
 
-def test_line_frequency(spark):
+def verdicts(rows):
+    """(doc_id, removed_chars, kept) of each row by the rule's plain reading: a line's distinct texts on its host."""
+    lines = lambda t: [(" ".join(WORD.findall(x)).lower(), sum(map(len, WORD.findall(x)))) for x in (t or "").split("\n") if WORD.search(x)]
+    texts, seen = defaultdict(set), defaultdict(set)
+    for _, t, s in rows:
+        texts[s].add(t or "")
+        for x, _ in lines(t):
+            seen[s, x].add(t or "")
+    out = Counter()
+    for i, t, s in rows:
+        n, chars, *_, failed = base_rules(t)
+        gone = 0 if failed else sum(c for x, c in lines(t) if len(seen[s, x]) > quality_rules.LINE_DOCS and len(seen[s, x]) > quality_rules.LINE_SHARE * len(texts[s]))
+        out[i, gone, not failed and chars - gone >= quality_rules.MIN_LEFT * chars] += 1
+    return out
+
+
+def test_line_frequency(spark, texts):
     def own(i, n=30):
         return " ".join(f"w{i}x{j}" for j in range(n))
 
@@ -156,10 +172,21 @@ def test_line_frequency(spark):
     mostly = [(i, f"{common}\n{own(i, 3)}", "h") for i in range(30)]  # nothing else but three words
     partly = [(100 + i, f"{common}\n{own(i + 500, 120)}", "h") for i in range(100)]
     copied = [(200 + i, "\n".join(own(j + 1000, 20) for j in range(4)), "h") for i in range(200)]  # copies of one text
-    edited = [(500 + i, "\n".join(own(j + 2000, 25) for j in range(5)) + f"\nedit {i}", "h") for i in range(200)]
-    kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(frame(spark, mostly + partly + copied + edited)).collect()}
-    assert not any(kept[i] for i, _, _ in mostly)
-    assert all(kept[i] for i, _, _ in partly + copied + edited)
+    edited = [(500 + i, "\n".join(own(j + 2000, 25) for j in range(5)) + f"\nedit {i}", "h") for i in range(200)]  # documents of their own
+    spread = [(800 + i, f"{common}\n{own(i + 3000)}", f"h{i % 3}" if i % 4 else None) for i in range(240)]
+    rows = mostly + partly + copied + edited + spread + [(i if i is None else i + 10_000, t, s) for i, t, s in ODD + texts]
+    out = quality_rules.quality_rules(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.removed_chars, r.kept) for r in out) == verdicts(rows)
+    kept = {r.doc_id: r.kept for r in out}
+    assert not any(kept[i] for i, _, _ in mostly + edited)
+    assert all(kept[i] for i, _, _ in partly + copied)
+
+
+def test_depleted_documents_of_many_hosts(spark):
+    words = lambda c, n: " ".join(f"{c}{j}" for j in range(n))
+    rows = [(1000 * h + i, f"{words(f'menu{h}x', 50)}\n{words(f'own{h}x{i}x', 8)}", f"host{h}") for h in range(24) for i in range(150)]
+    out = quality_rules.quality_rules(frame(spark, rows)).collect()
+    assert len(out) == 3600 and not any(r.kept for r in out)
 
 
 @pytest.mark.parametrize("own", [3, 8, 15])
