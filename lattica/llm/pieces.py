@@ -1,14 +1,16 @@
 """SentencePiece encoding with seeded merge dropout, and decoding.
 
 The vocabulary is a SentencePiece BPE model with byte fallback. A text is encoded as the library does it: characters
-are merged by an agenda of adjacent pairs, best score first, then leftmost. With dropout, a candidate that comes up is
-skipped if a keyed hash of it (key, piece of text, place, merged symbol) falls below the rate; it is gone then unless a
-neighbouring merge makes a new candidate. Everything follows from the seed and the document's id, so runs agree; other
-documents and other seeds cut the same word elsewhere. Any such cut decodes to the exact text.
+are merged by an agenda of adjacent pairs, best score first, then leftmost. With dropout, the candidate that comes up in
+step t of a chunk is skipped if a keyed hash of (seed, document, place of the chunk in the text, t) falls below the rate;
+it is gone then unless a neighbouring merge makes a new candidate. Everything follows from the seed and the document's
+id, so runs agree, and each occurrence of a word is cut by draws of its own. Any such cut decodes to the exact text.
 
 No symbol reaches over certain borders (before a space, around characters that no symbol holds), so a text is encoded
-in chunks between them. Each distinct chunk of a batch is encoded once for each of VARIANTS keys: short chunks together
-in arrays, long ones by a heap. A document uses two of the keys in turn.
+in chunks between them. What a chunk gives depends on its skipped steps alone, so a worker remembers a tree for each
+distinct chunk: its root is the chunk without skips, a node's children are the next step that is skipped. An occurrence
+walks down by its own draws; nodes that aren't there yet are made for a whole batch together, in arrays. Chunks of over
+SHORT characters are merged one by one with a heap.
 
 Defined results: a null text has null ids and no tokens, an empty text has no tokens; a null id is a key like any other;
 repeated rows get equal rows; an empty table gives an empty result. Memory is bounded by the batch, not by the corpus.
@@ -31,12 +33,11 @@ from lattica.llm.common import own_columns
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 17
-VARIANTS = 4
-#: Chunks of up to so many characters are encoded in arrays.
-SHORT = 24
-#: Distinct chunks that a worker keeps from part to part, and characters in a part.
-KEPT = 700_000
-PART_CHARS = 2_000_000
+#: Chunks of up to so many characters are encoded in arrays; their steps, at most 3 (SHORT - 1), are bits of a number.
+SHORT = 21
+#: Nodes of chunks' trees that a worker keeps from part to part, and characters in a part.
+KEPT = 1_000_000
+PART_CHARS = 4_000_000
 
 SPACE = "▁"
 LITERAL = "\0▁"
@@ -135,9 +136,10 @@ class Codec:
     # --- one chunk by a heap
 
     def agenda(self, symbols: list[int], key: int, rate: float) -> list[int]:
-        n, ids = len(symbols), list(symbols)
+        """The merged symbols of a chunk whose occurrence has the key."""
+        n, ids, step = len(symbols), list(symbols), 0
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        base = _chunk_key(np.array([symbols], np.int64), key)[0] if rate else 0
+        skips = _skipped(key, np.arange(3 * n), rate).tolist() if rate else [False] * (3 * n)  # a merge makes two candidates at most
         heap: list[tuple[int, int, int, int, int]] = []
 
         def offer(a: int, b: int) -> None:
@@ -153,7 +155,8 @@ class Codec:
             b = after[a] if alive[a] else n
             if b >= n or ids[a] != left or ids[b] != right:
                 continue
-            if rate and _skipped(base, np.array([a]), np.array([m]), rate)[0]:
+            step += 1
+            if skips[step - 1]:
                 continue
             ids[a], alive[b], after[a] = m, False, after[b]
             if after[b] < n:
@@ -180,12 +183,16 @@ class Codec:
         return out
 
     def together(self, symbols: np.ndarray, keys: np.ndarray, rate: float) -> list[bytes]:
-        """As `agenda`, for rows of one length of two at least; ids as 32-bit integers in bytes.
+        """As `agenda`, for rows of one length of two at least; ids as 32-bit integers in bytes."""
+        return self.merged(symbols, (lambda row, step: _skipped(keys[row], step, rate)) if rate else None)[0]
+
+    def merged(self, symbols: np.ndarray, skipped) -> tuple[list[bytes], np.ndarray]:
+        """Ids of each row, and its steps; `skipped` says of rows and their steps which ones are skipped.
 
         Symbols stay where their first character is; `after` and `before` link those that are left.
         """
         rows, n = symbols.shape
-        base = _chunk_key(symbols.astype(np.int64), keys)
+        steps = np.zeros(rows, np.int64)
         sym = symbols.astype(np.int32).ravel()
         after, before = np.tile(np.arange(1, n + 1, dtype=np.int32), rows), np.tile(np.arange(-1, n - 1, dtype=np.int32), rows)
         left = np.ones(rows * n, bool)
@@ -202,8 +209,9 @@ class Codec:
             if not live.all():
                 row, at = row[live], at[live]
             m = made[at]
-            if rate:
-                skip = _skipped(base[row], at - row * n, m, rate)
+            steps[row] += 1
+            if skipped is not None:
+                skip = skipped(row, steps[row] - 1)
                 if skip.any():
                     flat[at[skip]] = NONE
                     at, m, start = at[~skip], m[~skip], row[~skip] * n
@@ -223,33 +231,21 @@ class Codec:
             new = self._merge_of(np.concatenate([m[inner], sym[previous]]), np.concatenate([sym[right], m[has]]))
             made[where], flat[where] = new, np.where(new >= 0, self.rank[new], NONE)
         data, ends = sym[left].tobytes(), (4 * np.cumsum(left.reshape(rows, n).sum(1))).tolist()
-        return [data[i:k] for i, k in zip([0, *ends[:-1]], ends, strict=True)]
+        return [data[i:k] for i, k in zip([0, *ends[:-1]], ends, strict=True)], steps
 
-    def encode_chunks(self, chunks: list[str], key: int, rate: float) -> list[bytes]:
-        out: list = [None] * len(chunks)
-        groups: dict[int, list[int]] = {}
-        for i, c in enumerate(chunks):
-            groups.setdefault(len(c), []).append(i)
-        for n, places in groups.items():
-            if n == 1 or n > SHORT:
-                for i in places:
-                    out[i] = _packed(self._spelled(self.agenda(self.symbols(chunks[i]), key, rate)))
-                continue
-            for k in range(0, len(places), 8192):
-                part = places[k : k + 8192]
-                points = np.frombuffer("".join([chunks[i] for i in part]).encode("utf-32-le"), np.uint32)
-                symbols = self.table[points].reshape(-1, n)  # longer chunks hold no character outside the vocabulary
-                for i, ids in zip(part, self.together(symbols, np.full(len(part), key, np.uint64), rate), strict=True):
-                    out[i] = ids
-        for i in groups.get(len(LITERAL), ()):
-            if chunks[i] == LITERAL:
-                out[i] = _packed(self._spelled(self.symbols(LITERAL)))
-        return out
+    def rows_of(self, chunks: list[str]) -> np.ndarray:
+        """Symbols of chunks of one length, of 2 to SHORT characters; these hold no character outside the vocabulary."""
+        return self.table[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)].reshape(len(chunks), -1)
+
+    def in_arrays(self, chunk: str) -> bool:
+        return 1 < len(chunk) <= SHORT and chunk != LITERAL
 
     # --- whole texts
 
     def encode(self, text: str, key: int = 0, rate: float = 0.0) -> list[int]:
-        return np.frombuffer(b"".join(self.encode_chunks(self.chunks(text), key, rate)), np.int32).tolist()
+        """Ids of one text whose document has the key, chunk by chunk."""
+        chunks = self.chunks(text)
+        return [i for c, k in zip(chunks, occurrence_keys(np.full(len(chunks), key, np.uint64), np.arange(len(chunks))), strict=True) for i in self._spelled(self.agenda(self.symbols(c), k, rate))]
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.bytes.__getitem__, ids))
@@ -260,18 +256,16 @@ def _packed(ids: list[int]) -> bytes:
     return np.array(ids, np.int32).tobytes()
 
 
-def _chunk_key(symbols: np.ndarray, key) -> np.ndarray:
-    h = np.full(len(symbols), 0, np.uint64) + np.asarray(key, np.uint64)
+def occurrence_keys(document: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The keys of chunks at places of texts whose documents have the keys `document`."""
     with np.errstate(over="ignore"):
-        for j in range(symbols.shape[1]):
-            h = (h ^ symbols[:, j].astype(np.uint64)) * _M1
-        return _mix(h)
+        return _mix(document ^ _mix((place.astype(np.uint64) + np.uint64(1)) * _M1))
 
 
-def _skipped(base, place: np.ndarray, merged: np.ndarray, rate: float) -> np.ndarray:
-    """Whether the keyed hash of a candidate falls below the rate."""
+def _skipped(key, step: np.ndarray, rate: float) -> np.ndarray:
+    """Whether the keyed hash of a step falls below the rate."""
     with np.errstate(over="ignore"):
-        h = _mix(np.asarray(base, np.uint64) ^ (place.astype(np.uint64) * _M1) ^ (merged.astype(np.uint64) * _M3))
+        h = _mix(np.asarray(key, np.uint64) + (step.astype(np.uint64) + np.uint64(1)) * _M1)
     return h <= np.uint64(min(int(rate * 2**64), 2**64 - 1))
 
 
@@ -281,52 +275,123 @@ def codec(path: str | None = None) -> Codec:
 
 
 class Encoder:
-    """Texts to ids; holds what is known of distinct chunks, the recently used ones, within a bound."""
+    """Texts to ids; holds the trees of distinct chunks, within a bound.
+
+    Node i gives the ids `out[i]` in `steps[i]` steps; `root[i]` is its chunk, `mask[i]` the steps skipped in it.
+    `child[64 * i + t]` is the node where step t is skipped too.
+    """
 
-    def __init__(self, own: Codec, seed: int = SEED, rate: float = DROPOUT, variants: int = VARIANTS):
+    def __init__(self, own: Codec, seed: int = SEED, rate: float = DROPOUT, kept: int = KEPT):
         from xxhash import xxh64_intdigest
 
-        self.codec, self.rate, self.hash = own, rate, xxh64_intdigest
-        self.seed, self.variants = seed, variants if rate else 1
-        self.keys = [xxh64_intdigest(f"{seed}/{v}") for v in range(self.variants)]
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def _learn(self, v: int, wanted: set[str]) -> dict[str, bytes]:
-        known, older = self.known[v], self.older[v]
-        todo = wanted.difference(known)
-        again = todo.intersection(older)
-        known.update((c, older[c]) for c in again)
-        todo = list(todo - again)
-        known.update(zip(todo, self.codec.encode_chunks(todo, self.keys[v], self.rate), strict=True))
-        return known
+        self.codec, self.seed, self.rate, self.kept, self.hash = own, seed, rate, kept, xxh64_intdigest
+        self._clear()
+
+    def _clear(self) -> None:
+        self.chunk: dict[str, int] = {}
+        self.child: dict[int, int] = {}
+        self.out: list[bytes] = []
+        self.root: list[str] = []
+        self.steps, self.mask = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint64)
+
+    def _nodes(self, roots: list[str], masks: np.ndarray) -> None:
+        """Adds nodes for chunks with the steps of their masks skipped."""
+        first = len(self.out)
+        while first + len(roots) > len(self.steps):
+            self.steps, self.mask = np.concatenate([self.steps, np.zeros_like(self.steps)]), np.concatenate([self.mask, np.zeros_like(self.mask)])
+        out: list = [None] * len(roots)
+        groups: dict[int, list[int]] = {}
+        for i, c in enumerate(roots):
+            groups.setdefault(len(c) if self.codec.in_arrays(c) else 0, []).append(i)
+        for n, places in groups.items():
+            if n:
+                for k in range(0, len(places), 8192):
+                    part = places[k : k + 8192]
+                    own = masks[part]
+                    ids, steps = self.codec.merged(self.codec.rows_of([roots[i] for i in part]), (lambda row, step, own=own: (own[row] >> step.astype(np.uint64)) & np.uint64(1) == 1) if own.any() else None)
+                    self.steps[first + np.array(part)] = steps
+                    for i, x in zip(part, ids, strict=True):
+                        out[i] = x
+            else:  # no skips here: longer chunks' occurrences are merged one by one
+                for i in places:
+                    symbols = self.codec.symbols(roots[i])
+                    found = self.codec.agenda(symbols, 0, 0.0)
+                    out[i], self.steps[first + i] = _packed(self.codec._spelled(found)), len(symbols) - len(found)
+        self.mask[first : first + len(roots)] = masks
+        self.out += out
+        self.root += roots
+
+    def _children(self, keys: list[int]) -> None:
+        """Adds the nodes of child keys."""
+        at = [k >> 6 for k in keys]
+        masks = self.mask[at] | (np.uint64(1) << (np.array(keys, np.uint64) & np.uint64(63)))
+        self.child.update(zip(keys, range(len(self.out), len(self.out) + len(keys)), strict=True))
+        self._nodes([self.root[i] for i in at], masks)
+
+    def _walked(self, node: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The nodes of occurrences of roots `node` by the draws of their keys."""
+        node, step = node.copy(), np.zeros(len(node), np.int64)
+        going = np.arange(len(node))
+        while len(going):
+            waiting: list[np.ndarray] = []
+            while len(going := going[step[going] < self.steps[node[going]]]):
+                skip = _skipped(keys[going], step[going], self.rate)
+                step[going] += 1
+                off = going[skip]
+                if len(off):
+                    wanted, place = np.unique(node[off] * 64 + step[off] - 1, return_inverse=True)
+                    found = np.fromiter((self.child.get(k, -1) for k in wanted.tolist()), np.int64, len(wanted))[place]
+                    there = found >= 0
+                    node[off[there]] = found[there]
+                    if not there.all():
+                        waiting.append(off[~there])
+                        left = np.ones(len(node), bool)
+                        left[off[~there]] = False
+                        going = going[left[going]]
+            going = np.concatenate(waiting) if waiting else going[:0]
+            if len(going):
+                wanted, place = np.unique(node[going] * 64 + step[going] - 1, return_inverse=True)
+                self._children(wanted.tolist())
+                node[going] = np.arange(len(self.out) - len(wanted), len(self.out))[place]
+        return node
 
     def encode(self, doc_ids: list, texts: list[str | None]) -> list[np.ndarray | None]:
-        if sum(map(len, self.known)) > KEPT // 2:
-            self.known, self.older = [{} for _ in self.known], self.known
+        if len(self.out) > self.kept:
+            self._clear()
         chunked = [self.codec.chunks(t) if t else [] for t in texts]
-        chosen = []
-        for i in doc_ids:
-            h = self.hash(f"{self.seed}:{i}")
-            chosen.append((h % self.variants, h // self.variants % self.variants))
-        new: list[set[str]] = [set() for _ in range(self.variants)]
-        for c, (a, b) in zip(chunked, chosen, strict=True):
-            new[a].update(c[::2])
-            new[b].update(c[1::2])
-        known = [self._learn(v, wanted) for v, wanted in enumerate(new)]
+        sizes = np.array([len(c) for c in chunked], np.int64)
+        flat = [x for c in chunked for x in c]
+        new = list(set(flat).difference(self.chunk))
+        self.chunk.update(zip(new, range(len(self.out), len(self.out) + len(new)), strict=True))
+        self._nodes(new, np.zeros(len(new), np.uint64))
+        node = np.fromiter(map(self.chunk.__getitem__, flat), np.int64, len(flat))
+        long: dict[int, bytes] = {}
+        if self.rate and len(flat):
+            document = np.repeat(np.array([self.hash(f"{self.seed}:{i}") for i in doc_ids], np.uint64), sizes)
+            ends = np.cumsum(sizes)
+            keys = occurrence_keys(document, np.arange(len(flat)) - np.repeat(ends - sizes, sizes))
+            some = np.flatnonzero(self.steps[node] > 0)
+            lengths = np.fromiter(map(len, flat), np.int64, len(flat))
+            for i in some[lengths[some] > SHORT].tolist():
+                if _skipped(keys[i], np.arange(self.steps[node[i]]), self.rate).any():
+                    long[i] = _packed(self.codec._spelled(self.codec.agenda(self.codec.symbols(flat[i]), keys[i], self.rate)))
+            some = some[lengths[some] <= SHORT]
+            node[some] = self._walked(node[some], keys[some])
+        pieces = list(map(self.out.__getitem__, node.tolist()))
+        for i, ids in long.items():
+            pieces[i] = ids
         out: list[np.ndarray | None] = []
-        for t, c, (a, b) in zip(texts, chunked, chosen, strict=True):
-            ids: list = [None] * len(c)
-            ids[::2] = map(known[a].__getitem__, c[::2])
-            ids[1::2] = map(known[b].__getitem__, c[1::2])
-            out.append(None if t is None else np.frombuffer(b"".join(ids), np.int32))
+        at = 0
+        for t, n in zip(texts, sizes.tolist(), strict=True):
+            out.append(None if t is None else np.frombuffer(b"".join(pieces[at : at + n]), np.int32))
+            at += n
         return out
 
 
 @lru_cache(maxsize=2)
-def encoder(model: str | None, seed: int, rate: float, variants: int) -> Encoder:
+def encoder(model: str | None, seed: int, rate: float) -> Encoder:
     """One for each worker process, which keeps it from task to task; what it holds never changes a result."""
-    return Encoder(codec(model), seed, rate, variants)
+    return Encoder(codec(model), seed, rate)
 
 
 def _parts(texts: list[str | None], most: int = PART_CHARS) -> Iterator[tuple[int, int]]:
@@ -340,12 +405,12 @@ def _parts(texts: list[str | None], most: int = PART_CHARS) -> Iterator[tuple[in
         yield start, len(texts)
 
 
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, model: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: float = DROPOUT, seed: int = SEED, model: str | None = None) -> DataFrame:
     """doc_id, ids (null for a null text), n_tokens, lossless (the ids decode to the very text; null for a null text)."""
     own = own_columns(docs, doc_id=doc_id, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, own_encoder = codec(model), encoder(model, seed, rate, variants)
+        c, own_encoder = codec(model), encoder(model, seed, rate)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in _parts(texts):

@@ -68,3 +68,23 @@ def test_encode_and_decode_frames(spark):
     assert sorted([(r.doc_id, r.text) for r in back], key=repr) == sorted(rows, key=repr)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, pieces.encode(df.repartition(3)).collect()))
     assert pieces.encode(df.limit(0)).count() == 0
+
+
+def test_each_occurrence_is_cut_by_its_own_draws(spark, codec, sf_dir):
+    """The trees of chunks against a plain reading of the rule; one word over many documents."""
+    from xxhash import xxh64_intdigest
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(25).collect()] + [(None, "null id"), (7, "a" * 60 + " " * 40 + "b"), (8, "pneumonoultramicroscopicsilicovolcanoconiosis")]
+    rows += [(1000 + i, "internationalisation and internationalisation") for i in range(2000)]
+    for rate in (0.1, 0.7):
+        own = pieces.Encoder(codec, rate=rate, kept=500)
+        got = []
+        for k in range(0, len(rows), 300):
+            part = rows[k : k + 300]
+            got += [x.tolist() for x in own.encode([i for i, _ in part], [t for _, t in part])]
+        for (i, t), ids in zip(rows[:300], got):
+            assert ids == codec.encode(t, xxh64_intdigest(f"{pieces.SEED}:{i}"), rate)
+        assert all(codec.decode(ids) == t for (_, t), ids in zip(rows, got))
+        if rate == 0.1:
+            words = [tuple(ids[: ids.index(next(i for i in ids if codec.pieces[i].startswith("▁and")))]) for ids in got[-2000:] if any(codec.pieces[i] == "▁and" for i in ids)]
+            assert len(set(words)) > 100
