@@ -3,13 +3,15 @@
 Reading plans partitions by files, takes predicates on record type and headers, parses a record's headers first and
 decodes its payload only if the predicates hold and payloads are asked for. Compressed archives hold one gzip member a
 record; the writer notes the member's length in the gzip header (extra field "sl"), so a reader passes over an unwanted
-payload without inflating it. Archives without that note are read too, by inflating.
+payload without inflating it. Archives without that note are read too, by inflating, however many records a member
+holds. What is inflated is held against its member's checksum; a record or member that is cut short is an error, never a
+shorter payload.
 
 Files are opened through pyarrow's file systems by URI on driver and executors alike. A write commits by one manifest
 that names its files; what failed attempts leave is never read.
 
-Defined results: a null payload is an empty one; a null url leaves out the header; a null id is kept as an empty id; a
-page whose payload nobody shares is a response; of equal payloads all rows with the least id are responses (normally
+Defined results: a null payload is an empty one; a null url leaves out the header; ids are kept percent-encoded, a null
+one under a name of its own; line ends in a url come back percent-encoded; a page whose payload nobody shares is a response; of equal payloads all rows with the least id are responses (normally
 one), and where all ids are null all are; an empty table gives archives without records.
 """
 
@@ -21,6 +23,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -124,7 +127,7 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 def _urn(page_id) -> str:
-    return f"<urn:x-page:{'' if page_id is None else page_id}>"
+    return "<urn:x-no-page>" if page_id is None else f"<urn:x-page:{quote(str(page_id), safe='')}>"
 
 
 class _Files(InputPartition):
@@ -175,7 +178,7 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         for path in partition.value:
             with fs.open_input_file(path) as f:
-                for row in self._records(_Buffer(f), path.endswith(".gz")):
+                for row in self._records((_Zipped if path.endswith(".gz") else _Plain)(_Buffer(f))):
                     rows.append(row)
                     held += len(row[-1] or b"")
                     if len(rows) >= 2000 or held > 8 << 20:
@@ -184,11 +187,8 @@ class WarcReader(DataSourceReader):
         if rows:
             yield _batch(rows)
 
-    def _records(self, f: "_Buffer", zipped: bool):
-        while True:
-            source = _Member.open(f) if zipped else _Plain.open(f)
-            if source is None:
-                return
+    def _records(self, source: "_Plain | _Zipped"):
+        while source.another():
             head = source.until(b"\r\n\r\n")
             lines = head.decode("utf-8", "replace").split("\r\n")
             headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
@@ -197,7 +197,7 @@ class WarcReader(DataSourceReader):
             if not all(own[c] is not None if among is None else own[c] in among for c, among in self.tests):
                 source.skip(length)
                 continue
-            size = payload = None
+            payload = None
             if headers.get("content-type", "").startswith("application/http"):
                 http = source.until(b"\r\n\r\n", length)
                 said = [x.partition(b":")[2] for x in http.split(b"\r\n") if x[:15].lower() == b"content-length:"]
@@ -208,7 +208,6 @@ class WarcReader(DataSourceReader):
                 size = length
             if self.payload and own["record_type"] != "revisit":
                 payload = source.read(left)
-                source.skip(0)
             else:
                 source.skip(left)
             yield (*own.values(), size, payload)
@@ -224,7 +223,7 @@ class _Buffer:
     """Sequential reads in large pieces; a long skip seeks."""
 
     def __init__(self, f, piece: int = 1 << 20):
-        self.f, self.piece, self.data, self.at = f, piece, b"", 0
+        self.f, self.piece, self.data, self.at, self.size = f, piece, b"", 0, f.size()
 
     def peek(self, n: int) -> bytes:
         if len(self.data) - self.at < n:
@@ -240,22 +239,27 @@ class _Buffer:
         have = len(self.data) - self.at
         if n <= have:
             self.at += n
-        else:
-            self.f.seek(n - have, 1)
-            self.data, self.at = b"", 0
+            return
+        end = self.f.tell() + n - have
+        if end > self.size:
+            raise ValueError("an archive ends inside a record")
+        self.f.seek(end)
+        self.data, self.at = b"", 0
+
+    def give_back(self, data: bytes) -> None:
+        self.data, self.at = data + self.data[self.at :], 0
 
 
 class _Plain:
-    """An uncompressed record."""
+    """Uncompressed records."""
 
     def __init__(self, f: _Buffer):
         self.f = f
 
-    @classmethod
-    def open(cls, f: _Buffer):
-        while f.peek(2) == b"\r\n":
-            f.skip(2)
-        return cls(f) if f.peek(1) else None
+    def another(self) -> bool:
+        while self.f.peek(2) == b"\r\n":
+            self.f.skip(2)
+        return bool(self.f.peek(1))
 
     def until(self, mark: bytes, most: int | None = None) -> bytes:
         n = HEAD
@@ -270,78 +274,111 @@ class _Plain:
             n *= 2
 
     def read(self, n: int) -> bytes:
-        return self.f.read(n)
+        out = self.f.read(n)
+        if len(out) < n:
+            raise ValueError("an archive ends inside a record")
+        return out
 
     def skip(self, n: int) -> None:
         self.f.skip(n)
 
 
-class _Member:
-    """A record in a gzip member of its own."""
+class _Zipped:
+    """Records in gzip members, one or several a member, or one over several members."""
 
-    def __init__(self, f: _Buffer, left: int | None):
-        self.f, self.left, self.z, self.data = f, left, zlib.decompressobj(-15), b""
+    def __init__(self, f: _Buffer):
+        self.f, self.z, self.data = f, None, b""
 
-    @classmethod
-    def open(cls, f: _Buffer):
-        head = f.peek(24)
+    def _open(self) -> bool:
+        """The next member, if there is one; `left`: its compressed bytes that aren't read yet, `size`: of its data, if noted."""
+        head = self.f.peek(24)
         if not head:
-            return None
-        if head[:2] != b"\x1f\x8b":
+            return False
+        if head[:3] != b"\x1f\x8b\x08":
             raise ValueError("not a gzip member")
+        self.left = self.size = None
         if head[3] == 4 and head[12:14] == b"sl":
-            total = struct.unpack("<I", head[16:20])[0]
-            f.skip(24)
-            return cls(f, total - 24 if total else None)
-        flags, at = head[3], 10
-        n = 1 << 16
-        data = f.peek(n)
-        if flags & 4:
-            at += 2 + struct.unpack("<H", data[at : at + 2])[0]
-        for flag in (8, 16):
-            if flags & flag:
-                at = data.index(b"\0", at) + 1
-        f.skip(at + 2 * bool(flags & 2))
-        return cls(f, None)
+            total, size = struct.unpack("<II", head[16:24])
+            at = 24
+            if total:
+                self.left, self.size = total - 24, size
+        else:
+            flags, at = head[3], 10
+            data = self.f.peek(1 << 17)
+            if flags & 4:
+                at += 2 + struct.unpack("<H", data[at : at + 2])[0]
+            for flag in (8, 16):
+                if flags & flag:
+                    at = data.index(b"\0", at) + 1
+            at += 2 * bool(flags & 2)
+        self.f.skip(at)
+        self.z, self.z_read, self.made, self.crc = zlib.decompressobj(-15), 0, 0, 0
+        return True
+
+    def _close(self) -> None:
+        """Past the end of an inflated member, whose checksum and length must be those of its data."""
+        self.f.give_back(self.z.unused_data)
+        end = self.f.read(8)
+        if len(end) < 8 or struct.unpack("<II", end) != (self.crc, self.made & 0xFFFFFFFF):
+            raise ValueError("a gzip member's data isn't what its checksum says")
+        self.z = None
 
     def _more(self, want: int) -> bool:
-        """Inflates until `want` bytes are there; False at the end of the member."""
-        while len(self.data) < want and not self.z.eof:
+        """Inflates until `want` bytes are there; False at the end of the file."""
+        made, have = [self.data], len(self.data)
+        while have < want:
+            if self.z is None and not self._open():
+                break
             piece = self.z.unconsumed_tail
             if not piece:
-                piece = self.f.read(HEAD if self.left is None else min(HEAD if want <= HEAD else 1 << 16, self.left))
-                if self.left is not None:
-                    self.left -= len(piece)
-                if not piece:
-                    raise ValueError("a gzip member has no end")
-            self.data += self.z.decompress(piece, max(want - len(self.data), HEAD))
-        return len(self.data) >= want
+                piece = self.f.read(HEAD if want <= HEAD else 1 << 16)
+                self.z_read += len(piece)
+            if not piece:
+                raise ValueError("a gzip member has no end")
+            new = self.z.decompress(piece, max(want - have, HEAD))
+            self.crc, self.made = zlib.crc32(new, self.crc), self.made + len(new)
+            made.append(new)
+            have += len(new)
+            if self.z.eof:
+                self._close()
+        self.data = b"".join(made)
+        return have >= want
+
+    def another(self) -> bool:
+        while self._more(2) and self.data[:2] == b"\r\n":
+            self.data = self.data[2:]
+        return bool(self.data)
 
     def until(self, mark: bytes, most: int | None = None) -> bytes:
-        n = 1
         while (at := self.data.find(mark)) < 0:
-            n = len(self.data) + 1
-            if not self._more(n):
+            if not self._more(len(self.data) + 1):
                 raise ValueError("a WARC header has no end")
         out, self.data = self.data[:at], self.data[at + len(mark) :]
         return out
 
     def read(self, n: int) -> bytes:
-        self._more(n)
+        if not self._more(n):
+            raise ValueError("an archive ends inside a record")
         out, self.data = self.data[:n], self.data[n:]
         return out
 
     def skip(self, n: int) -> None:
-        """To the end of the member, by its noted length if it has one."""
-        if self.left is not None:
-            self.f.skip(self.left)
-            return
-        while not self.z.eof:
+        """Past `n` bytes; the rest of a member that holds nothing else (a record ends in two line ends) isn't inflated."""
+        if self.z is not None and self.left is not None and n > len(self.data):
+            inside = self.made - len(self.data) + n
+            if self.made >= len(self.data) and self.size - 4 <= inside <= self.size:
+                tail = self.z.unconsumed_tail
+                read = self.z_read
+                self.f.give_back(tail)
+                self.f.skip(self.left - (read - len(tail)))
+                self.z, self.data = None, b""
+                return
+        while n > len(self.data):
+            n -= len(self.data)
             self.data = b""
-            self._more(1 << 16)
-        unused = self.z.unused_data  # what was read past the member goes back
-        self.f.data, self.f.at = unused + self.f.data[self.f.at :], 0
-        self.f.skip(8)
+            if not self._more(min(n, 1 << 16)):
+                raise ValueError("an archive ends inside a record")
+        self.data = self.data[n:]
 
 
 class WarcDataSource(DataSource):
@@ -389,12 +426,12 @@ def _base32(hex40):
 
 def deduplicated(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> DataFrame:
     """The writer's rows: each page with its payload's digest, and a revisit where a smaller id has an equal payload."""
-    base = own_columns(pages, page_id=page_id, url=url, html=html).select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("sha1", F.sha1("payload"))
-    slim = base.filter(F.octet_length("payload") >= min_bytes).select("page_id", F.col("sha1").alias("_sha1"))
-    shared = cut(slim.groupBy("_sha1").agg(F.count("*").alias("_n"), F.min("page_id").alias("_least")).filter("_n > 1"))
-    joined = base.join(shared, F.col("sha1") == F.col("_sha1"), "left")
-    revisit = F.coalesce(F.col("_least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_least")), F.lit(False)) & (F.octet_length("payload") >= min_bytes)
-    return joined.select("page_id", "url", "payload", _base32(F.col("sha1")).alias("payload_digest"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_least")).alias("refers_to"))
+    base = own_columns(pages, page_id=page_id, url=url, html=html).select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).select("*", F.sha2("payload", 256).alias("content"), F.octet_length("payload").alias("bytes"))
+    slim = base.filter(F.col("bytes") >= min_bytes).select("page_id", F.col("content").alias("_content"), F.col("bytes").alias("_bytes"))
+    shared = cut(slim.groupBy("_content", "_bytes").agg(F.count("*").alias("_n"), F.min("page_id").alias("_least")).filter("_n > 1"))
+    joined = base.join(shared, (F.col("content") == F.col("_content")) & (F.col("bytes") == F.col("_bytes")), "left")
+    revisit = F.coalesce(F.col("_least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_least")), F.lit(False)) & (F.col("bytes") >= min_bytes)
+    return joined.select("page_id", "url", "payload", _base32(F.sha1("payload")).alias("payload_digest"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_least")).alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, **options: str) -> None:
@@ -403,11 +440,17 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, **options: str)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Archives of all pages in the shared folder, read back by headers: page_id, url, payload_bytes, payload_digest, record_type, refers_to."""
+    """Archives of all pages in the shared folder, read back whole: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
+
+    Length and digest of a response are those of the payload that was read, which must be as its header says; a revisit
+    has no payload of its own, its headers say what it revisits.
+    """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_warc(pages, path, min_bytes)
     kind = pages.schema["page_id"].dataType
-    number = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:x-page:(.*)>$", 1), F.lit("")).cast(kind)
-    back = read_warc(spark, path, payload="false").filter(F.col("record_type").isin("response", "revisit"))
-    return back.select(number(F.col("record_id")).alias("page_id"), F.col("target_uri").alias("url"), "payload_bytes", F.substring("payload_digest", 6, 32).alias("payload_digest"), "record_type", number(F.col("refers_to")).alias("refers_to"))
+    named = lambda c: F.when(F.col(c).startswith("<urn:x-page:"), F.url_decode(F.regexp_extract(c, r"^<urn:x-page:(.*)>$", 1)).cast(kind))
+    said = F.substring("payload_digest", 6, 32)
+    back = read_warc(spark, path).filter(F.col("record_type").isin("response", "revisit")).select("*", said.alias("said"), F.when(F.col("payload").isNull(), said).otherwise(_base32(F.sha1("payload"))).alias("found"))
+    digest = F.when(F.col("found") == F.col("said"), F.col("found")).otherwise(F.raise_error(F.concat(F.lit("payload and digest differ in "), "record_id")))
+    return back.select(named("record_id").alias("page_id"), F.col("target_uri").alias("url"), F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", named("refers_to").alias("refers_to"))

@@ -80,3 +80,41 @@ def test_a_failed_write_leaves_nothing_to_read(spark):
         f.write(b"\x1f\x8b broken")
     warc.write_warc(frame(spark, PAGES), "file://" + path)
     assert warc.read_warc(spark, path, payload="false").count() == len(PAGES)
+
+
+def _records(n=5):
+    return [warc.record("response", [("WARC-Target-URI", f"http://x/{i}"), ("Content-Type", "application/http; msgtype=response")], b"HTTP/1.1 200 OK\r\n\r\n" + b"body%d" % i * (1 + 4000 * i)) for i in range(n)]
+
+
+@pytest.mark.parametrize("payload", ["true", "false"])
+def test_members_of_several_records_and_records_over_members(spark, payload):
+    folder, data = tempfile.mkdtemp(), b"".join(_records())
+    with open(f"{folder}/a.warc.gz", "wb") as f:
+        f.write(gzip.compress(data))
+    with open(f"{folder}/b.warc.gz", "wb") as f:
+        f.write(gzip.compress(data[:30_000]) + gzip.compress(data[30_000:]))
+    with open(f"{folder}/c.warc.gz", "wb") as f:
+        f.write(warc.member(data, 1) + warc.member(_records(1)[0], 6))
+    rows = warc.read_warc(spark, folder, payload=payload).collect()
+    assert Counter(r.payload_bytes for r in rows) == Counter([5 * (1 + 4000 * i) for i in range(5)] * 3 + [5])
+    if payload == "true":
+        assert all(bytes(r.payload) == b"body" + r.target_uri[-1].encode() + b"body%s" % r.target_uri[-1].encode() * (len(r.payload) // 5 - 1) for r in rows)
+    assert warc.read_warc(spark, folder, payload=payload).filter(F.col("target_uri") == "http://x/4").count() == 3
+
+
+@pytest.mark.parametrize("name, data", [
+    ("a.warc", _records()[2][:-20]), ("b.warc.gz", gzip.compress(b"".join(_records()))[:-30]), ("c.warc.gz", gzip.compress(_records()[2][:-50])),
+    ("d.warc.gz", gzip.compress(_records()[2])[:-8] + b"\0" * 8), ("e.warc.gz", warc.member(_records()[2], 1)[:-9]), ("f.warc.gz", warc.member(_records()[2], 1)[:-8] + b"\1" * 8),
+])
+def test_cut_and_damaged_archives_are_errors(spark, name, data):
+    folder = tempfile.mkdtemp()
+    with open(f"{folder}/{name}", "wb") as f:
+        f.write(data)
+    with pytest.raises(Exception, match="ends inside|no end|checksum|Error -"):
+        warc.read_warc(spark, folder).collect()
+
+
+def test_text_ids_come_back(spark):
+    rows = [("", "u", "p"), (None, "u", "p"), ("a b/%\r\n>é", "u", "q"), ("z+", "u", "q")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in got) == Counter([("", "response", None), (None, "revisit", ""), (rows[2][0], "response", None), ("z+", "revisit", rows[2][0])])
