@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,11 @@ from pyspark.sql import functions as F
 from lattica.llm.common import cut, fresh_path, own_columns
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Ids are 16 bits wide; the end mark is the first id after the vocabulary.
 END, PAD = 50256, 65535
+#: White space of the splitting pattern; runs of LONG characters or more are cut out before it, whose matcher they overrun.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG = 50_000
 LENGTH = 1024
 PER_SHARD = 8192
 SEED = 23
@@ -108,6 +113,32 @@ def tokenizer(path: str | None = None):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=1)
+def end_mark(path: str | None = None) -> int:
+    """The first id after the vocabulary; an error if ids don't fit in 16 bits."""
+    end = tokenizer(path).max_token_value + 1
+    if end >= PAD:
+        raise ValueError(f"ids up to {end} don't fit beside the filler {PAD} in 16 bits")
+    return end
+
+
+_RUN = re.compile(f"[{WHITE}]{{{LONG},}}")
+
+
+def encode(text: str, path: str | None = None) -> np.ndarray:
+    """The ids of a text of any length, white space of any length in it included.
+
+    The pattern takes a run of white space before other text less its last character as one piece; so does this.
+    """
+    own, out, at = tokenizer(path), [], 0
+    for run in _RUN.finditer(text):
+        last = run.end() if run.end() == len(text) else run.end() - 1
+        out += [own.encode_to_numpy(text[at : run.start()], disallowed_special=()), np.array(own._encode_single_piece(text[run.start() : last]), np.uint32)]
+        at = last
+    out.append(own.encode_to_numpy(text[at:], disallowed_special=()))
+    return np.concatenate(out).astype(np.uint16)
+
+
 def _pack(data: bytes, level: int = 6) -> bytes:
     import zstandard
 
@@ -127,7 +158,7 @@ def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = tokenizer(vocabulary).encode_to_numpy, TaskContext.get().partitionId()
+        end, part = end_mark(vocabulary), TaskContext.get().partitionId()
         rest, starts, size, at = [], [], 0, 0  # ids not yet handed on, where their documents begin
 
         def block(last: bool):
@@ -157,9 +188,9 @@ def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 starts.append((size, i))
                 if t:
-                    rest.append(encode(t).astype(np.uint16))
+                    rest.append(encode(t, vocabulary))
                     size += len(rest[-1])
-                rest.append(np.array([END], np.uint16))
+                rest.append(np.array([end], np.uint16))
                 size += 1
                 if size >= 4 * BLOCK * length and (made := list(block(False))):
                     yield rows(made)
@@ -178,9 +209,10 @@ def materialise(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     offsets = cut(made.groupBy("part").agg(F.sum("n").alias("m")).select("part", "m", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("base")))
     total = offsets.agg(F.sum("m")).first()[0] or 0
     shards, stride = -(-total // per_shard), 2 * length
-    _write(f"{path}/meta.json", json.dumps({"sequences": total, "length": length, "per_shard": per_shard, "seed": seed, "dtype": "uint16", "pad": PAD, "end": END}).encode())
+    meta = json.dumps({"sequences": total, "length": length, "per_shard": per_shard, "seed": seed, "dtype": "uint16", "pad": PAD, "end": end_mark(vocabulary)}).encode()
     index = f"slot bigint, shard int, byte_offset bigint, doc_id {kind}, n_tokens int, crc32 bigint"
     if not total:
+        _write(f"{path}/meta.json", meta)
         return spark.createDataFrame([], index)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +272,7 @@ def materialise(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     numbered = made.join(F.broadcast(offsets.select("part", "base")), "part").select((F.col("base") + F.col("start")).alias("start"), "n", "data", "docs")
     routed = numbered.mapInArrow(route, f"shard int, slots array<bigint>, docs array<{kind}>, data binary")
     routed.repartitionById(shards, F.col("shard")).mapInArrow(write, index).write.mode("overwrite").parquet(f"{path}/index")
+    _write(f"{path}/meta.json", meta)  # last: shards without it aren't whole
     return spark.read.parquet(f"{path}/index")
 
 

@@ -54,3 +54,44 @@ def test_empty(spark):
     none = spark.createDataFrame([], "doc_id string, text string, slot int")
     path = "file://" + tempfile.mkdtemp()
     assert t.materialise(none, path).count() == 0 and list(t.read_slots(path)) == []
+
+
+@pytest.mark.parametrize("gap", [" ", "\n", "\t \u3000", "\xa0"])
+def test_long_white_space_is_one_piece_as_in_the_pattern(monkeypatch, gap):
+    import re
+
+    monkeypatch.setattr(t, "_RUN", re.compile(f"[{t.WHITE}]{{3,}}"))
+    for text in ("a{}b", "{}b", "a{}", "{}", "a's {}!{}\n.{}7{} x", "a\x1c{}\x1db"):
+        text = text.replace("{}", gap * 4)
+        assert t.encode(text).tolist() == t.tokenizer().encode_to_numpy(text).tolist()
+
+
+def test_very_long_texts(spark):
+    texts = [" " * 5_000_000, "a" + " " * 1_500_000 + "b" + "\n" * 1_200_000, "x" * 1_000_000, "<|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = "file://" + tempfile.mkdtemp()
+    t.materialise(docs.coalesce(1), path)
+    ids = np.concatenate(list(t.read_slots(path)))
+    n = len(ids) // t.LENGTH
+    ordered = np.concatenate([ids.reshape(n, -1)[s] for s in t.slot_of(np.arange(n), n)])
+    ordered = ordered[ordered != t.PAD]
+    pieces = np.split(ordered, np.flatnonzero(ordered == t.END) + 1)[:-1]
+    assert [t.tokenizer().decode(p[:-1].tolist()) for p in pieces] == texts
+
+
+def test_ids_that_do_not_fit_are_an_error(tmp_path):
+    import base64
+
+    path = str(tmp_path / "big")
+    with open(path, "wb") as f:
+        f.write(b"".join(base64.b64encode(i.to_bytes(1, "big") if i < 256 else b"x" + i.to_bytes(3, "big")) + b" %d\n" % i for i in range(65_600)))
+    with pytest.raises(ValueError, match="16 bits"):
+        t.end_mark(path)
+    t.tokenizer.cache_clear()
+    t.end_mark.cache_clear()
+
+
+def test_a_run_that_died_does_not_look_whole(spark, tmp_path):
+    with pytest.raises(Exception):
+        t.materialise(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), f"file://{tmp_path}", vocabulary="/nowhere")
+    assert not (tmp_path / "meta.json").exists()
