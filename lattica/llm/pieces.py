@@ -22,6 +22,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -237,9 +238,6 @@ class Codec:
         """Symbols of chunks of one length, of 2 to SHORT characters; these hold no character outside the vocabulary."""
         return self.table[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)].reshape(len(chunks), -1)
 
-    def in_arrays(self, chunk: str) -> bool:
-        return 1 < len(chunk) <= SHORT and chunk != LITERAL
-
     # --- whole texts
 
     def encode(self, text: str, key: int = 0, rate: float = 0.0) -> list[int]:
@@ -300,23 +298,24 @@ class Encoder:
         while first + len(roots) > len(self.steps):
             self.steps, self.mask = np.concatenate([self.steps, np.zeros_like(self.steps)]), np.concatenate([self.mask, np.zeros_like(self.mask)])
         out: list = [None] * len(roots)
-        groups: dict[int, list[int]] = {}
-        for i, c in enumerate(roots):
-            groups.setdefault(len(c) if self.codec.in_arrays(c) else 0, []).append(i)
-        for n, places in groups.items():
-            if n:
-                for k in range(0, len(places), 8192):
-                    part = places[k : k + 8192]
-                    own = masks[part]
-                    ids, steps = self.codec.merged(self.codec.rows_of([roots[i] for i in part]), (lambda row, step, own=own: (own[row] >> step.astype(np.uint64)) & np.uint64(1) == 1) if own.any() else None)
-                    self.steps[first + np.array(part)] = steps
-                    for i, x in zip(part, ids, strict=True):
+        lengths = np.fromiter(map(len, roots), np.int64, len(roots))
+        for n in np.unique(lengths).tolist():
+            places = np.flatnonzero(lengths == n)
+            if n == len(LITERAL):
+                places = np.array([i for i in places.tolist() if roots[i] != LITERAL], np.int64)
+            for part in np.split(places, range(8192, len(places), 8192)) if 1 < n <= SHORT else ():
+                own = masks[part]
+                if len(part):
+                    skipped = (lambda row, step, own=own: (own[row] >> step.astype(np.uint64)) & np.uint64(1) == 1) if own.any() else None
+                    at = part.tolist()
+                    ids, self.steps[first + part] = self.codec.merged(self.codec.rows_of([roots[i] for i in at]), skipped)
+                    for i, x in zip(at, ids, strict=True):
                         out[i] = x
-            else:  # no skips here: longer chunks' occurrences are merged one by one
-                for i in places:
-                    symbols = self.codec.symbols(roots[i])
-                    found = self.codec.agenda(symbols, 0, 0.0)
-                    out[i], self.steps[first + i] = _packed(self.codec._spelled(found)), len(symbols) - len(found)
+        for i, x in enumerate(out):
+            if x is None:  # one character, or many: no skips here, occurrences of long chunks are merged one by one
+                symbols = self.codec.symbols(roots[i])
+                found = self.codec.agenda(symbols, 0, 0.0)
+                out[i], self.steps[first + i] = _packed(self.codec._spelled(found)), len(symbols) - len(found)
         self.mask[first : first + len(roots)] = masks
         self.out += out
         self.root += roots
@@ -340,7 +339,7 @@ class Encoder:
                 off = going[skip]
                 if len(off):
                     wanted, place = np.unique(node[off] * 64 + step[off] - 1, return_inverse=True)
-                    found = np.fromiter((self.child.get(k, -1) for k in wanted.tolist()), np.int64, len(wanted))[place]
+                    found = np.fromiter(map(self.child.get, wanted.tolist(), repeat(-1)), np.int64, len(wanted))[place]
                     there = found >= 0
                     node[off[there]] = found[there]
                     if not there.all():
@@ -361,10 +360,13 @@ class Encoder:
         chunked = [self.codec.chunks(t) if t else [] for t in texts]
         sizes = np.array([len(c) for c in chunked], np.int64)
         flat = [x for c in chunked for x in c]
-        new = list(set(flat).difference(self.chunk))
-        self.chunk.update(zip(new, range(len(self.out), len(self.out) + len(new)), strict=True))
-        self._nodes(new, np.zeros(len(new), np.uint64))
-        node = np.fromiter(map(self.chunk.__getitem__, flat), np.int64, len(flat))
+        node = np.fromiter(map(self.chunk.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(unknown := np.flatnonzero(node < 0)):
+            chunks = [flat[i] for i in unknown.tolist()]
+            new = list(dict.fromkeys(chunks))
+            self.chunk.update(zip(new, range(len(self.out), len(self.out) + len(new)), strict=True))
+            self._nodes(new, np.zeros(len(new), np.uint64))
+            node[unknown] = np.fromiter(map(self.chunk.__getitem__, chunks), np.int64, len(chunks))
         long: dict[int, bytes] = {}
         if self.rate and len(flat):
             document = np.repeat(np.array([self.hash(f"{self.seed}:{i}") for i in doc_ids], np.uint64), sizes)
