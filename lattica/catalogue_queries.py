@@ -6,6 +6,7 @@ line items for holdings, regions and nations for companies and their subsidiarie
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from lattica.operators.graph import Edge, Graph, Output, Plan
 from lattica.operators.ontology import Ontology
 from lattica.plans.catalog import Attribute, Catalog, Domain, Enrichment, Guard, OutputView, SalePolicy, Subtype
 from lattica.plans.compile import SORTED, TESTED, Compiler
-from lattica.session import table
+from lattica.session import shared_dir, table
 from lattica.sources.turtle import parse
 
 FLAGSHIP = "ordinal_sort_topk"
@@ -216,10 +217,10 @@ def eav_pivot(spark, d):
 
 
 @query("""
-SELECT c.c_custkey, m.value AS purchase FROM customer c LEFT JOIN (SELECT user_id, CASE WHEN value > 5 THEN value END AS value FROM events WHERE event_type = 'signup' AND event_id < 500) m ON m.user_id = c.c_custkey
+SELECT c.c_custkey, m.value AS purchase FROM customer c LEFT JOIN (SELECT user_id, CASE WHEN value > 5 THEN value END AS value FROM events WHERE event_type = 'signup') m ON m.user_id = c.c_custkey
 """)
 def metric_join(spark, d):
-    e = table(spark, d, "events").filter("event_id < 500").select(F.col("user_id").alias("product_id"), F.col("event_type").alias("metric_code"), "value", (F.col("value") > 5).alias("is_available"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("product_id"), F.col("event_type").alias("metric_code"), "value", (F.col("value") > 5).alias("is_available"))
     customers = table(spark, d, "customer").select("c_custkey")
     links = customers.select(F.col("c_custkey").alias("product_id"), F.col("c_custkey").alias("key"))
     metrics = joins.metric_table(links, e, "signup", "key", "purchase")
@@ -227,12 +228,12 @@ def metric_join(spark, d):
 
 
 @query("""
-SELECT a.doc_id, b.doc_id AS other FROM (SELECT doc_id, source, CASE WHEN n_chars > 2000 THEN lang END AS lang FROM documents WHERE doc_id < 200) a
-JOIN (SELECT doc_id, source, CASE WHEN n_chars > 2000 THEN lang END AS lang FROM documents WHERE doc_id < 200) b ON a.source = b.source AND a.lang IS NOT DISTINCT FROM b.lang
+SELECT a.doc_id, b.doc_id AS other FROM (SELECT doc_id, source, n_chars, CASE WHEN n_chars > 2000 THEN lang END AS lang FROM documents) a
+JOIN (SELECT doc_id, source, n_chars, CASE WHEN n_chars > 2000 THEN lang END AS lang FROM documents) b ON a.source = b.source AND a.n_chars = b.n_chars AND a.lang IS NOT DISTINCT FROM b.lang
 """)
 def nullsafe_join(spark, d):
-    a = table(spark, d, "documents").filter("doc_id < 200").select("doc_id", "source", F.when(F.col("n_chars") > 2000, F.col("lang")).alias("lang"))
-    return joins.keyed(a, a.withColumnRenamed("doc_id", "other"), ["source"], ["lang"]).select("doc_id", "other")
+    a = table(spark, d, "documents").select("doc_id", "source", "n_chars", F.when(F.col("n_chars") > 2000, F.col("lang")).alias("lang"))
+    return joins.keyed(a, a.withColumnRenamed("doc_id", "other"), ["source", "n_chars"], ["lang"]).select("doc_id", "other")
 
 
 @query("""
@@ -264,11 +265,19 @@ def cross_market(spark, d):
     return joins.cross_market(c, "k", s, "k2").select("c_custkey", "s_suppkey", "matched_key")
 
 
-@query("SELECT 'same' AS status, min(p_type) AS p_type FROM part WHERE p_partkey IN (SELECT min(p_partkey) FROM part WHERE p_type = 'PROMO')")
+@query("""
+WITH f AS (SELECT p_partkey, CASE p_partkey WHEN 1 THEN 'A' WHEN 2 THEN 'B' WHEN 3 THEN 'C' WHEN 4 THEN 'D' ELSE 'Z' END AS c, CASE p_partkey WHEN 1 THEN p_type WHEN 2 THEN (SELECT p_type FROM part WHERE p_partkey = 1) WHEN 3 THEN 'other' WHEN 4 THEN 'KR000' ELSE p_type END AS k FROM part),
+asked(pair, a, b) AS (VALUES ('AB', 'A', 'B'), ('AC', 'A', 'C'), ('AD', 'A', 'D'), ('AZ', 'A', 'Z')),
+found AS (SELECT pair, count(*) AS n, count(DISTINCT c) AS classes, count(DISTINCT k) AS keys, sum(CASE WHEN k = 'KR000' THEN 1 ELSE 0 END) AS bad, min(k) AS k FROM asked JOIN f ON f.c IN (a, b) GROUP BY pair)
+SELECT pair, CASE WHEN n <> 2 OR classes <> 2 THEN 'not_unique' WHEN bad > 0 THEN 'key_missing' WHEN keys = 1 THEN 'same' ELSE 'different' END AS status, CASE WHEN n = 2 AND classes = 2 AND bad = 0 AND keys = 1 THEN k END AS k FROM found
+""")
 def same_fund(spark, d):
-    p = table(spark, d, "part").filter("p_type = 'PROMO'").orderBy("p_partkey").limit(1)
-    funds = p.select("p_type", F.explode(F.array(F.lit("fund Class A"), F.lit("fund class C-e"), F.lit("fund"))).alias("title"))
-    return joins.same_fund(funds, "title", ["A", "C-e"], ["p_type"])
+    p = table(spark, d, "part")
+    code = F.coalesce(F.get(F.array(*map(F.lit, "ABCD")), (F.col("p_partkey") - 1).cast("int")), F.lit("Z"))
+    first = p.filter("p_partkey = 1").select(F.col("p_type").alias("first"))
+    key = F.when(F.col("p_partkey") == 2, F.lit(first.first()["first"])).when(F.col("p_partkey") == 3, "other").when(F.col("p_partkey") == 4, "KR000").otherwise(F.col("p_type"))
+    funds = p.select(F.concat(F.lit("fund Class "), code).alias("title"), key.alias("k"))
+    return federate.union_all([joins.same_fund(funds, "title", list(pair), ["k"]).select(F.lit(pair).alias("pair"), "status", "k") for pair in ("AB", "AC", "AD", "AZ")])
 
 
 @query("""
@@ -353,9 +362,9 @@ def first_wins(spark, d):
     return federate.first_wins(table(spark, d, "orders"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey")
 
 
-@query("SELECT 'c' AS _domain, 's1' AS _step_id, c_custkey AS code, c_mktsegment AS segment, NULL AS nation FROM customer WHERE c_custkey < 50 UNION ALL SELECT 's', 's2', s_suppkey, NULL, s_nationkey FROM supplier")
+@query("SELECT 'c' AS _domain, 's1' AS _step_id, c_custkey AS code, c_mktsegment AS segment, NULL AS nation FROM customer UNION ALL SELECT 's', 's2', s_suppkey, NULL, s_nationkey FROM supplier")
 def merge_tagged(spark, d):
-    c = table(spark, d, "customer").filter("c_custkey < 50").select(F.col("c_custkey").alias("code"), F.col("c_mktsegment").alias("segment"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("code"), F.col("c_mktsegment").alias("segment"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_nationkey").alias("nation"))
     return federate.union_all([federate.tagged(c, "c", "s1"), federate.tagged(s, "s", "s2")])
 
@@ -387,13 +396,13 @@ def cosine_topk(spark, d):
 @query(f"""
 WITH hits AS (SELECT * FROM (SELECT vec_id, {_COSINE} AS score FROM embeddings WHERE label IN (1, 2, 3) ORDER BY {_COSINE} DESC, vec_id LIMIT 20)
   UNION ALL SELECT * FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 3) AS DOUBLE[])) AS score FROM embeddings WHERE label IN (1, 2, 3) ORDER BY 2 DESC, vec_id LIMIT 20))
-SELECT h.vec_id AS chunk_id, round(max(h.score), 3) AS score, coalesce((SELECT list_sort(list(DISTINCT l_partkey)) FROM lineitem WHERE l_orderkey = h.vec_id), []) AS product_ids FROM hits h GROUP BY h.vec_id HAVING max(h.score) >= 0.25
+SELECT h.vec_id AS chunk_id, round(max(h.score), 3) AS score, CASE WHEN h.vec_id % 2 = 0 THEN (SELECT CAST(label AS VARCHAR) FROM embeddings e WHERE e.vec_id = h.vec_id) ELSE '' END AS title, coalesce((SELECT list_sort(list(DISTINCT l_partkey)) FROM lineitem WHERE l_orderkey = h.vec_id), []) AS product_ids FROM hits h GROUP BY h.vec_id HAVING max(h.score) >= 0.25
 """)
 def vector_search(spark, d):
     second = [float(x) for x in table(spark, d, "embeddings").filter("vec_id = 3").first().embedding]
     bridge = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_partkey").alias("product_id"))
     hits = vector.search(_chunks(spark, d), [QUERY_VECTOR, second], 20, bridge, ["1", "2", "3"], 0.25)
-    return vector.normalised(hits, []).select("chunk_id", "score", "product_ids")
+    return vector.normalised(hits.withColumn("title", F.when(F.col("chunk_id") % 2 == 0, F.col("section_type"))), ["title", "section_type"]).select("chunk_id", "score", "product_ids", "title")
 
 
 @query("SELECT vec_id AS chunk_id FROM embeddings WHERE vec_id IN (SELECT l_orderkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE CAST(p_partkey AS VARCHAR) IN ('1', '2') OR p_name = 'red widget' OR p_brand = 'red widget'))")
@@ -438,7 +447,7 @@ fp:issuedByCompany a owl:ObjectProperty ; rdfs:domain fp:Security ; rdfs:range f
 fp:hasSubsidiary a owl:ObjectProperty ; rdfs:domain fp:Company ; rdfs:range fp:SubsidiaryRelation .
 fp:subsidiaryCompany a owl:ObjectProperty ; rdfs:domain fp:SubsidiaryRelation ; rdfs:range fp:Company .
 fp:relatedToTheme a owl:ObjectProperty ; rdfs:domain fp:ETF ; rdfs:range fp:Theme .
-fp:organizationName a owl:DatatypeProperty ; rdfs:domain fp:Organization . fp:corpCode a owl:DatatypeProperty ; rdfs:domain fp:Company .
+fp:ceoName a owl:DatatypeProperty ; rdfs:domain fp:Company . fp:organizationName a owl:DatatypeProperty ; rdfs:domain fp:Organization . fp:corpCode a owl:DatatypeProperty ; rdfs:domain fp:Company .
 fp:productCode a owl:DatatypeProperty ; rdfs:domain fp:Product ; fp:sourceTable "orders" ; fp:sourceColumn "o_orderkey" .
 fp:productShortName a owl:DatatypeProperty ; rdfs:domain fp:Product . fp:weight a owl:DatatypeProperty ; rdfs:domain fp:Holding .
 fp:asOf a owl:DatatypeProperty . fp:sourceId a owl:DatatypeProperty . fp:securityCode a owl:DatatypeProperty ; rdfs:domain fp:Security .
@@ -448,7 +457,20 @@ NAMESPACE = "http://example.org/fx#"
 TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
 
+_STORES: dict[tuple[str, str], Graph] = {}
+
+
 def fixture_graph(spark: SparkSession, d: str) -> Graph:
+    """The stored graph of `fixture_triples`, written once a session and folder of tables."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORES:
+        path, ontology = f"{shared_dir(spark)}/lattica-graph-{uuid.uuid4().hex}", Ontology(parse(FIXTURE_TTL), NAMESPACE)
+        Graph(fixture_triples(spark, d), ontology).store(path)
+        _STORES[key] = Graph.stored(spark, path, ontology)
+    return _STORES[key]
+
+
+def fixture_triples(spark: SparkSession, d: str) -> DataFrame:
     """Orders as products holding line items (holdings) of suppliers (securities) of nations (companies), subsidiaries of regions; words of part names as themes."""
     parts = []
 
@@ -474,6 +496,8 @@ def fixture_graph(spark: SparkSession, d: str) -> Graph:
     add("organizationName", nation, node("nation", "n_nationkey"), F.col("n_name"))
     add("hasSubsidiary", nation, node("region", "n_regionkey"), node("owns", "n_nationkey"))
     add("subsidiaryCompany", nation, node("owns", "n_nationkey"), node("nation", "n_nationkey"))
+    add("corpCode", nation, node("nation", "n_nationkey"), F.col("n_nationkey"))
+    add("ownershipPct", nation, node("owns", "n_nationkey"), F.col("n_nationkey") + 50)
     add("asOf", nation, node("owns", "n_nationkey"), F.when(F.col("n_nationkey") % 4 > 0, "1997-01-01"))
     add("sourceId", nation, node("owns", "n_nationkey"), F.lit("register"))
     add("type", region, node("region", "r_regionkey"), F.lit(NAMESPACE + "Company"))
@@ -484,8 +508,7 @@ def fixture_graph(spark: SparkSession, d: str) -> Graph:
     add("type", words, node("theme", "word"), F.lit(NAMESPACE + "Theme"))
     add("productCode", part, node("part", "p_partkey"), F.concat(F.lit("P"), "p_partkey"))
     add("productShortName", part, node("part", "p_partkey"), F.col("p_name"))
-    triples = federate.union_all(parts).filter("o is not null")
-    return Graph(triples, Ontology(parse(FIXTURE_TTL), NAMESPACE))
+    return federate.union_all(parts).filter("o is not null")
 
 
 HOLDERS = Plan(
@@ -510,12 +533,12 @@ def holding_chain(spark, d):
 @query("""
 SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT etf_code) AS BIGINT) AS codes, CAST(count(weight) AS BIGINT) AS weights FROM (
   SELECT DISTINCT o_orderkey AS etf_code, o_orderpriority, l_extendedprice AS weight, l_shipdate, l_linestatus FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey
-  WHERE s_nationkey = 7 AND l_shipdate <= TIMESTAMP '1995-01-20')
+  WHERE s_nationkey = 7 AND l_shipdate <= TIMESTAMP '1997-01-20')
 """)
 def graph_plan(spark, d):
-    """The compiled plan (limit included) where it has fewer rows than its limit."""
+    """The compiled plan, whole."""
     g = fixture_graph(spark, d)
-    rows, _ = g.run(HOLDERS, g.resolve("NATION_7", "Company"), cutoff="1995-01-20")
+    rows, _ = g.run(HOLDERS, g.resolve("NATION_7", "Company"), cutoff="1997-01-20", capped=False)
     return rows.agg(F.count("*").alias("n"), F.countDistinct("etf_code").alias("codes"), F.count("weight").alias("weights"))
 
 
@@ -545,7 +568,7 @@ def evidence_gate(spark, d):
 SELECT DISTINCT 'P' || p_partkey AS code, p_name AS name FROM part WHERE list_contains(string_split(p_name, ' '), 'red') AND list_contains(string_split(p_name, ' '), 'widget')
 """)
 def theme_facets(spark, d):
-    return fixture_graph(spark, d).theme_members(["red", "widget"], limit=10_000).select("code", "name")
+    return fixture_graph(spark, d).theme_members(["red", "widget"]).select("code", "name")
 
 
 @query("SELECT 'region/' || r_regionkey || '-' AS uri, CAST(r_regionkey AS INTEGER) AS k FROM region WHERE r_name = 'AMERICA'")
@@ -555,21 +578,21 @@ def entity_resolution(spark, d):
 
 
 @query("""
-WITH t(label) AS (VALUES ('a/b c/d'), ('x_y'), ('a/b c/d/')), parts AS (SELECT label, regexp_split_to_array(label, '/') AS p FROM t)
-SELECT DISTINCT label, segment FROM (VALUES ('a/b c/d', 'a'), ('a/b c/d', 'bc'), ('a/b c/d', 'd'), ('a/b c/d', 'a/bc'), ('a/b c/d', 'bc/d'), ('a/b c/d', 'a/bc/d'), ('x_y', 'xy'), ('a/b c/d/', 'a'), ('a/b c/d/', 'bc'), ('a/b c/d/', 'd'), ('a/b c/d/', 'a/bc'), ('a/b c/d/', 'bc/d'), ('a/b c/d/', 'a/bc/d')) x(label, segment)
+WITH t AS (SELECT p_partkey, string_split(lower(p_name), ' ')[1] AS a, string_split(lower(p_name), ' ')[2] AS b, lower(p_brand) AS c FROM part)
+SELECT DISTINCT p_partkey, unnest([a, b, c, a || '/' || b, b || '/' || c, a || '/' || b || '/' || c]) AS segment FROM t
 """)
 def segment_index(spark, d):
-    df = spark.createDataFrame([("a/b c/d",), ("x_y",), ("a/b c/d/",)], "label string")
-    return df.select("label", F.explode(t.segment_keys(F.col("label"))).alias("segment"))
+    label = F.concat(F.replace("p_name", F.lit(" "), F.lit("/ ")), F.lit("/"), "p_brand", F.lit("/"))
+    return table(spark, d, "part").select("p_partkey", F.explode(t.segment_keys(label)).alias("segment"))
 
 
 @query("""
-WITH RECURSIVE up(a, b) AS (SELECT n, n FROM (SELECT s_suppkey AS n FROM supplier WHERE s_suppkey < 64 UNION SELECT s_suppkey // 2 FROM supplier WHERE s_suppkey BETWEEN 1 AND 63) UNION SELECT u.a, u.b // 2 FROM up u WHERE u.b > 0) SELECT DISTINCT a, b FROM up
+WITH RECURSIVE up(a, b) AS (SELECT n, n FROM (SELECT s_suppkey AS n FROM supplier UNION SELECT s_suppkey // 2 FROM supplier) UNION SELECT u.a, u.b // 2 FROM up u WHERE u.b > 0) SELECT DISTINCT a, b FROM up
 """)
 def closure(spark, d):
     from lattica.operators.ontology import closure_by_rounds
 
-    s = table(spark, d, "supplier").filter("s_suppkey between 1 and 63").select(F.col("s_suppkey").alias("a"), F.expr("s_suppkey div 2").alias("b"))
+    s = table(spark, d, "supplier").filter("s_suppkey > 0").select(F.col("s_suppkey").alias("a"), F.expr("s_suppkey div 2").alias("b"))
     return closure_by_rounds(s)
 
 
@@ -625,10 +648,9 @@ def field_contract(spark, d):
 
 
 @query("""
-SELECT o_orderkey, coalesce(list_sort((SELECT list({'l_quantity': l_quantity, 'day': strftime(l_shipdate, '%Y%m%d')}) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber <= 2)), NULL) IS NOT NULL AS has_evidence FROM orders
+SELECT o_orderkey, (SELECT string_agg(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || '@' || strftime(l_shipdate, '%Y%m%d'), ' ' ORDER BY l_quantity, strftime(l_shipdate, '%Y%m%d')) FROM lineitem WHERE l_orderkey = o_orderkey) AS evidence FROM orders
 """)
 def graph_evidence(spark, d):
-    line = table(spark, d, "lineitem").filter("l_linenumber <= 2").select("l_orderkey", "l_quantity", F.date_format("l_shipdate", "yyyyMMdd").alias("day"))
-    return evidence.with_graph_evidence(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", line, "l_orderkey", ["l_quantity", "day"]).select("o_orderkey", F.col("evidence").isNotNull().alias("has_evidence"))
-
-
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_quantity", F.date_format("l_shipdate", "yyyyMMdd").alias("day"))
+    rows = evidence.with_graph_evidence(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", line, "l_orderkey", ["l_quantity", "day"])
+    return rows.select("o_orderkey", F.array_join(F.transform("evidence", lambda x: F.concat(x["l_quantity"].cast("int"), F.lit("@"), x["day"])), " ").alias("evidence"))

@@ -11,3 +11,7 @@ class ContractError(RuntimeError):
 
 class Truncated(RuntimeError):
     """A result has more rows than its cap."""
+
+
+class Unavailable(RuntimeError):
+    """No store that could answer can be reached; that is not an empty answer."""

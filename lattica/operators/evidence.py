@@ -33,7 +33,7 @@ def field_status(c: Column, kind: str, rule: str = "") -> Column:
 def contract(rows: DataFrame, key: str, fields: list[dict]) -> DataFrame:
     """(key, field, value, status, column, unit): one row for each row and requested field.
 
-    A field is {field, column (one in `rows`, or None), rule, unit}; a field of two columns or none is unmapped, one
+    A field is {field, column (one in `rows`, or None), rule, unit}, or {field, view} for an output view; a field of two columns or none is unmapped, one
     whose column isn't in `rows` not_selected. Equal fields but for white space and case are asked once.
     """
     kinds, seen, items = dict(rows.dtypes), set(), []
@@ -43,13 +43,16 @@ def contract(rows: DataFrame, key: str, fields: list[dict]) -> DataFrame:
             continue
         seen.add(label)
         column = f.get("column")
-        if column is None or isinstance(column, (list, tuple)):
+        if view := f.get("view"):  # a derived field carries its own status
+            value, status = F.col(f"`{view}`.value"), F.col(f"`{view}`.status")
+        elif column is None or isinstance(column, (list, tuple)):
             value, status, column = F.lit(None), F.lit("unmapped"), None
         elif column not in kinds:
             value, status = F.lit(None), F.lit("not_selected")
         else:
-            status = field_status(F.col(column), kinds[column], f.get("rule", ""))
-            value = F.when(status != "invalid", F.col(column).cast("string"))
+            own = F.col(f"`{column}`")
+            status = field_status(own, kinds[column], f.get("rule", ""))
+            value = F.when(status != "invalid", own.cast("string"))
         items.append(F.struct(F.lit(f["field"]).alias("field"), value.cast("string").alias("value"), status.alias("status"), F.lit(column).cast("string").alias("column"), F.lit(f.get("unit", "")).alias("unit")))
     return rows.select(key, F.explode(F.array(*items)).alias("x")).select(key, "x.*")
 
@@ -93,6 +96,11 @@ def rendered(long: DataFrame, key: str) -> DataFrame:
     return long.groupBy(key).agg(F.array_join(F.transform(lines, lambda x: x["l"]), "\n").alias("text"))
 
 
+def line(rows: DataFrame, row) -> str:
+    """One shown row as "column: value" parts; nulls are left out."""
+    return " · ".join(f"{c}: {row[c]}" for c in rows.columns if row[c] is not None)
+
+
 def context(steps: list[dict]) -> str:
     """What was retrieved, a line a step: dataset, day, number of rows or why there are none."""
     return "\n".join(f"{s['dataset']} · {s.get('as_of') or 'no date'} · {s['rows'] if s.get('status', 'ok') == 'ok' else s['status']}" for s in steps)

@@ -59,7 +59,7 @@ def handoff(rows: DataFrame, on: Column | str, groups: list[list[DataFrame]], ke
     value = F.col(on) if isinstance(on, str) else on
     out = rows.withColumn("_handoff", value)
     for lists in groups:
-        keys = reduce(DataFrame.union, [x.select(F.col(key).alias("_key")) for x in lists]).filter("_key is not null").distinct()
+        keys = reduce(DataFrame.union, [x.select(F.col(key).alias("_key")) for x in lists]).filter("_key is not null")
         out = out.join(keys, F.col("_handoff") == F.col("_key"), "left_semi")
     return out.drop("_handoff")
 
@@ -79,7 +79,7 @@ def handoff_status(lists: list[DataFrame], any_group: bool, ranked: bool, limit:
 
 def intersection(parts: list[DataFrame], key: str) -> DataFrame:
     """Rows of the first part whose key is in all others."""
-    return reduce(lambda a, b: a.join(b.select(key).distinct(), key, "left_semi"), parts[1:], parts[0])
+    return reduce(lambda a, b: a.join(b.select(key), key, "left_semi"), parts[1:], parts[0])
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -107,15 +107,19 @@ def public(rows: DataFrame) -> DataFrame:
 def fair_preview(rows: DataFrame, domain: str, order: list[Column], budget: int = 20) -> DataFrame:
     """Up to `budget` rows, an even share of each domain first, what is left over filled in domain order.
 
-    A window keeps `budget` rows a domain (a bounded top, computed before the shuffle's merge); only those meet.
+    A window keeps `budget` rows a domain (a bounded top, computed before the shuffle's merge); only those meet, and the
+    shares follow from them in the same plan.
     """
     place = F.row_number().over(Window.partitionBy(domain).orderBy(*order))
     top = rows.withColumn("_n", place).filter(F.col("_n") <= budget)
-    n = top.select(domain).distinct().count()
-    share = max(1, budget // max(n, 1))
-    late = F.col("_n") > share
-    whole = Window.orderBy(late, F.col(domain), F.col("_n"))  # at most budget rows of each domain are left
-    return top.withColumn("_place", F.row_number().over(whole)).filter(F.col("_place") <= max(budget, n if share == 1 else 0)).drop("_n", "_place")
+    every = Window.partitionBy()  # at most budget rows of each domain are left
+    n = F.sum(F.when(F.col("_n") == 1, 1).otherwise(0)).over(every)
+    share = F.greatest(F.floor(F.lit(budget) / n), F.lit(1))
+    late = F.col("_n") > F.col("_share")
+    whole = Window.orderBy(late, F.col(domain), F.col("_n"))
+    placed = top.withColumn("_share", share).withColumn("_domains", n).withColumn("_place", F.row_number().over(whole))
+    most = F.greatest(F.lit(budget), F.when(F.col("_share") == 1, F.col("_domains")).otherwise(0))
+    return placed.filter(F.col("_place") <= most).drop("_n", "_place", "_share", "_domains")
 
 
 def fold_entities(rows: DataFrame, uri: str, names: str, codes: str) -> DataFrame:

@@ -1,22 +1,24 @@
 """Graph plans as joins: typed plans are validated against the ontology and folded into joins from a seed.
 
 Triples are a DataFrame (s, p, o); each edge of a plan filters one predicate, so a store partitioned by predicate reads
-just what the plan names. Directions of predicates are never flipped.
+just what the plan names. Names are normalised once, when a graph is stored, into an index by level and key, so that an
+entity is looked up by equality in one bucket of it. Directions of predicates are never flipped.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.errors import RequestError
-from lattica.functions.text import display_key, key, key_of, nfkc, organisation_key, organisation, segment_keys
-from lattica.operators.federate import first_wins, intersection
-from lattica.operators.ontology import LABEL, Fragment, Ontology
+from lattica.functions.text import display_key, key, key_of, nfkc, organisation, organisation_key, segment_keys
+from lattica.operators.ontology import LABEL, SKOS, Fragment, Ontology
+from lattica.sources.io import write_triples
 from lattica.sources.turtle import RDF
 
 TYPE = RDF + "type"
@@ -45,6 +47,10 @@ ROLES = {
     "index": ("Security",),
 }
 ANY_ROLE = ("Product", "Company")
+ORGANISATIONS = ("Company", "Organization", "Issuer", "AssetManager")
+SUFFIXES = ("ETF", "ETN", "펀드", "채권")
+#: Levels at which a name is looked up, surest first, and the buckets of the index.
+LEVELS, PARTIAL, BUCKETS = ("exact", "organisation", "key", "segment"), "partial", 16
 # Securities known under several codes, by the names they are asked for.
 REVIEWED_SECURITIES = {
     ("캠브리콘", "cambricon"): ("cambricon", ("688256 C1 EQUITY", "688256 C1 Equity", "688256 CH", "688256 CH Equity", "CNE1000041R8")),
@@ -87,10 +93,29 @@ class Entity:
     candidates: list[str] = field(default_factory=list)
 
 
+def _leveled(keys: Column, level: str) -> Column:
+    return F.transform(keys, lambda x: F.struct(F.lit(level).alias("level"), x.alias("key")))
+
+
 class Graph:
-    def __init__(self, triples: DataFrame, ontology: Ontology):
+    def __init__(self, triples: DataFrame, ontology: Ontology, index: DataFrame | None = None, counts: dict[str, int] | None = None):
         self.triples, self.ontology = triples, ontology
-        self._filled: dict[str, bool] = {}
+        self._index, self._counts = index, counts
+
+    # --- the store
+
+    def store(self, path: str) -> None:
+        """Triples by predicate, names by level and bucket of their keys, and how many triples each predicate has."""
+        write_triples(self.triples, f"{path}/triples")
+        stored = Graph(self.triples.sparkSession.read.parquet(f"{path}/triples"), self.ontology)
+        stored.index().write.mode("overwrite").partitionBy("level", "bucket").parquet(f"{path}/names")
+        stored.triples.groupBy("p").agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
+
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str, ontology: Ontology) -> "Graph":
+        """A graph that `store` wrote."""
+        counts = {r.p: r.n for r in spark.read.parquet(f"{path}/counts").collect()}  # a row a predicate
+        return cls(spark.read.parquet(f"{path}/triples"), ontology, spark.read.parquet(f"{path}/names"), counts)
 
     def uri(self, name: str) -> str:
         return self.ontology.expand(name if ":" in name else f"{self.ontology.prefix}:{name}")
@@ -100,22 +125,29 @@ class Graph:
         wanted = [self.uri(p) for p in predicate.split("|")]
         return self.triples.filter(F.col("p").isin(wanted) if len(wanted) > 1 else F.col("p") == wanted[0]).select("s", "o")
 
+    def below(self, cls: str) -> list[str]:
+        """A class and those below it."""
+        return sorted(self.ontology.descendants(self.uri(cls)) | {self.uri(cls)})
+
     def members(self, cls: str) -> DataFrame:
-        """Nodes of a class or one below it."""
-        below = sorted(self.ontology.descendants(self.uri(cls)) | {self.uri(cls)})
-        return self.triples.filter((F.col("p") == TYPE) & F.col("o").isin(below)).select("s").distinct()
+        """Nodes of a class or one below it; a node of several such classes comes several times."""
+        return self.triples.filter((F.col("p") == TYPE) & F.col("o").isin(self.below(cls))).select("s")
 
     def count(self) -> int:
-        return self.triples.count()
+        return sum(self.counts().values())
+
+    def counts(self) -> dict[str, int]:
+        """How many triples each predicate has: one job for all, none where the store knows."""
+        if self._counts is None:
+            self._counts = {r.p: r.n for r in self.triples.groupBy("p").agg(F.count("*").alias("n")).collect()}  # a row a predicate
+        return self._counts
 
     def filled(self, predicate: str) -> bool:
-        """Whether any triple has the predicate (asked once)."""
-        if predicate not in self._filled:
-            self._filled[predicate] = self.edges(predicate).limit(1).count() > 0
-        return self._filled[predicate]
+        """Whether any triple has the predicate."""
+        return any(self.counts().get(self.uri(p)) for p in predicate.split("|"))
 
     def exists(self, uri: str, cls: str) -> bool:
-        return self.members(cls).filter(F.col("s") == uri).limit(1).count() > 0
+        return bool(self.members(cls).filter(F.col("s") == uri).take(1))
 
     # --- plans
 
@@ -186,8 +218,12 @@ class Graph:
             out.append(f"{name} doesn't lead to {o.compact(target)}")
         return out
 
-    def run(self, plan: Plan, entity: Entity, fragment: Fragment | None = None, evidence: bool = True, cutoff: str = CUTOFF, capped: bool = True) -> tuple[DataFrame, list[str]]:
-        """Rows of a valid plan (distinct outputs and evidence, limit + 1 rows at most, so that a cut shows; all of them without `capped`), and the evidence columns."""
+    def run(self, plan: Plan, entity: Entity, fragment: Fragment | None = None, evidence: bool = True, cutoff: str = CUTOFF, capped: bool = True, where=None) -> tuple[DataFrame, list[str]]:
+        """Rows of a valid plan (distinct outputs and evidence) and the evidence columns.
+
+        `where` (rows to a condition) holds before anything is cut. With `capped` the first limit + 1 rows in the order of
+        their outputs, so that a cut shows; else all of them.
+        """
         if bad := self.problems(plan, entity, fragment):
             raise RequestError("; ".join(bad))
         rows = self.triples.sparkSession.createDataFrame([(entity.uri,)], "seed string")
@@ -210,16 +246,35 @@ class Graph:
             rows = rows.join(values, x.node, "left" if x.optional else "inner")
         held = []
         for n, c in plan.nodes.items() if evidence else ():
-            if self.uri(c) not in map(self.uri, EVIDENCE_CLASSES):
-                continue
-            for label, p in EVIDENCE.items():
-                owner = n if label in ("as_of", "source", "document") else f"{n}_document"
-                column = f"{n}_{label}"
-                rows = rows.join(self.edges(p).toDF(owner, column), owner, "left")
-                held.append(column)
-            rows = rows.filter(F.col(f"{n}_as_of").isNull() | (F.col(f"{n}_as_of") <= cutoff))
-        found = rows.select(*[x.alias for x in plan.outputs], *held).distinct()
-        return found.limit(plan.limit + 1) if capped else found, held
+            if self.uri(c) in map(self.uri, EVIDENCE_CLASSES):
+                rows, held = self._with_evidence(rows, n, cutoff), [*held, *[f"{n}_{label}" for label in EVIDENCE]]
+        names = [x.alias for x in plan.outputs]
+        found = rows.select(*names, *held)
+        found = (found if where is None else found.filter(where(found))).distinct()
+        return found.orderBy(*names, *held).limit(plan.limit + 1) if capped else found, held
+
+    def _with_evidence(self, rows: DataFrame, node: str, cutoff: str) -> DataFrame:
+        """`rows` with the evidence of a node: one scan of the properties that the store has, one of those of documents.
+
+        Of several values the largest counts; a node all of whose days are after the cut-off loses its rows.
+        """
+        own = {label: p for label, p in EVIDENCE.items() if not label.startswith("document_")}
+        documents = {label: p for label, p in EVIDENCE.items() if label not in own}
+        day = F.col("_p") == self.uri(EVIDENCE["as_of"])
+        late = (F.count(F.when(day, 1)) > 0) & (F.count(F.when(day & (F.col("_o") <= cutoff), 1)) == 0)
+        rows = self._pivoted(rows, node, {f"{node}_{label}": p for label, p in own.items()}, ~day | (F.col("_o") <= cutoff), late).filter("not _late").drop("_late")
+        return self._pivoted(rows, f"{node}_document", {f"{node}_{label}": p for label, p in documents.items()})
+
+    def _pivoted(self, rows: DataFrame, owner: str, wanted: dict[str, str], taken: Column | None = None, late: Column | None = None) -> DataFrame:
+        """`rows` (each once) with a column for each wanted property of a node: the largest value that `taken` allows."""
+        there = [self.uri(p) for p in wanted.values() if self.filled(p)]
+        if not there:
+            return rows.withColumns({c: F.lit(None).cast("string") for c in wanted} | ({"_late": F.lit(False)} if late is not None else {}))
+        facts = self.triples.filter(F.col("p").isin(there)).select(F.col("s").alias("_s"), F.col("p").alias("_p"), F.col("o").alias("_o"))
+        joined = rows.join(facts, F.col(owner) == F.col("_s"), "left")
+        value = F.col("_o") if taken is None else F.when(taken, F.col("_o"))
+        columns = [F.max(F.when(F.col("_p") == self.uri(p), value)).alias(c) for c, p in wanted.items()]
+        return joined.groupBy(*rows.columns).agg(*columns, *([late.alias("_late")] if late is not None else []))
 
     def sources(self, plan: Plan) -> list[tuple[str, str, str]]:
         """(property, table, column) that the ontology notes for what a plan reads, for plans without evidence nodes."""
@@ -243,65 +298,121 @@ class Graph:
 
     def name_index(self, cls: str) -> DataFrame:
         """(s, value, kind) of a class: names, labels, alternative labels and codes of its members, each once."""
+        return self._named(cls).join(self.members(cls), "s", "left_semi").distinct()
+
+    def _named(self, cls: str) -> DataFrame:
         names, code = self.names(cls)
-        alternative = "http://www.w3.org/2004/02/skos/core#altLabel"
-        by_name = self.edges(names).union(self.edges("rdfs:label")).union(self.triples.filter(F.col("p") == alternative).select("s", "o"))
-        every = by_name.withColumn("kind", F.lit("name")).union(self.edges(code).withColumn("kind", F.lit("code")))
-        return every.join(self.members(cls), "s", "left_semi").withColumnRenamed("o", "value").distinct()
+        by_name = self.edges("|".join(dict.fromkeys([*names.split("|"), "rdfs:label", SKOS + "altLabel"])))
+        return by_name.withColumn("kind", F.lit("name")).union(self.edges(code).withColumn("kind", F.lit("code"))).withColumnRenamed("o", "value")
 
     def segment_index(self, cls: str) -> DataFrame:
         """(segment, s): the keys of all runs of segments of a class's names, to look labels up without a scan."""
         own = self.name_index(cls).filter("kind = 'name'").select("s", nfkc(F.col("value")).alias("value"))
         return own.select("s", F.explode(segment_keys(F.col("value"))).alias("segment")).distinct()
 
-    def resolve(self, text: str, cls: str, partial: bool = False, suffixes: tuple[str, ...] = ("ETF", "ETN", "펀드", "채권")) -> Entity:
+    def index(self) -> DataFrame:
+        """(family, level, bucket, key, s, path): all names under each level's key; a name's single segments lead to its path.
+
+        A family is a line of NAMES. Linear in the names: a run of segments is found by its first and checked in the path.
+        """
+        if self._index is not None:
+            return self._index
+        parts = []
+        for family, classes in enumerate(NAMES):
+            own = self._named(classes[0]).select("s", "value", "kind", nfkc(F.col("value")).alias("form"))
+            path = F.concat(F.lit("/"), F.array_join(F.filter(F.transform(F.split("form", "/"), key_of), lambda x: x != ""), "/"), F.lit("/"))
+            keys = {"exact": F.array(F.col("value"), display_key(F.col("form"))), "key": F.array(key_of(F.col("value")))}
+            by_name = {"segment": F.filter(F.split(path, "/"), lambda x: x != "")} | ({"organisation": F.array(organisation_key(F.col("form")))} if classes[0] in ORGANISATIONS else {})
+            every = [_leveled(k, n) for n, k in keys.items()]
+            named = [F.when(F.col("kind") == "name", _leveled(k, n)).otherwise(F.array().cast("array<struct<level:string,key:string>>")) for n, k in by_name.items()]
+            parts.append(own.select(F.lit(family).alias("family"), "s", path.alias("path"), F.explode(F.concat(*every, *named)).alias("x")).select("family", "x.level", "x.key", "s", "path"))
+        return reduce(DataFrame.union, parts).filter("key is not null").distinct().withColumn("bucket", (F.crc32(F.col("key").cast("binary")) % BUCKETS).cast("int"))
+
+    def _probes(self, texts: list[tuple[int, str, str]], partial: bool, suffixes: tuple[str, ...]) -> list[tuple]:
+        """(place, number, cls, family, level, key, run) in order of preference for texts (number, text, cls): as they are, then without a type word."""
+        out: list[tuple] = []
+        for number, text, cls in texts:
+            self.names(cls)
+            family = next(i for i, classes in enumerate(NAMES) if cls in classes)
+            text = " ".join(text.split())
+            for wanted in dict.fromkeys([text, *(text.removesuffix(x).strip() for x in suffixes if text.endswith(x))]):
+                if not wanted:
+                    continue
+                run = key(wanted).strip("/")
+                levels = [("exact", wanted, None), ("exact", wanted.lower(), None), ("organisation", organisation(wanted), None), ("key", key(wanted), None), ("segment", run.split("/")[0], f"/{run}/"), *([(PARTIAL, None, key(wanted))] if partial else [])]
+                for level, k, r in levels:
+                    if level != "organisation" or cls in ORGANISATIONS:
+                        same = level == "exact" and k != wanted  # both forms of a level count alike
+                        out.append((out[-1][0] if same else len(out), number, cls, family, level, k, r))
+        return out
+
+    def matches(self, texts: list[tuple[int, str, str]], partial: bool = False, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[DataFrame, list[tuple]]:
+        """(number, place, s): the nodes that the texts (number, text, cls) name, and the probes that places stand for."""
+        probes = self._probes(texts, partial, suffixes)
+        index, asked = self.index(), self.triples.sparkSession.createDataFrame(probes, "place int, number int, cls string, family int, level string, wanted string, run string")
+        keys = sorted({p[5] for p in probes if p[5] is not None})
+        buckets = sorted({zlib.crc32(k.encode()) % BUCKETS for k in keys})
+        equal = index.filter(F.col("level").isin(sorted({p[4] for p in probes} - {PARTIAL})) & F.col("bucket").isin(buckets) & F.col("key").isin(keys)).withColumnRenamed("level", "_level").withColumnRenamed("family", "_family")
+        found = equal.join(F.broadcast(asked), (F.col("_family") == F.col("family")) & (F.col("_level") == F.col("level")) & (F.col("key") == F.col("wanted")) & (F.col("run").isNull() | F.col("path").contains(F.col("run")))).select("number", "place", "cls", "s")
+        for place, number, cls, family, level, _, run in probes:  # containment needs all keys of the family
+            if level == PARTIAL:
+                inside = index.filter((F.col("level") == "key") & (F.col("family") == family) & F.col("key").contains(run))
+                found = found.union(inside.select(F.lit(number).alias("number"), F.lit(place).alias("place"), F.lit(cls).alias("cls"), "s"))
+        classes = [(c, o) for c in sorted({p[2] for p in probes}) for o in self.below(c)]
+        types = self.triples.filter((F.col("p") == TYPE) & F.col("o").isin(sorted({o for _, o in classes}))).select(F.col("s").alias("_s"), "o")
+        kinds = self.triples.sparkSession.createDataFrame(classes, "_cls string, _o string")
+        typed = found.join(types, F.col("s") == F.col("_s")).join(F.broadcast(kinds), (F.col("cls") == F.col("_cls")) & (F.col("o") == F.col("_o")))
+        return typed.select("number", "place", "s").distinct(), probes
+
+    def resolved(self, texts: list[tuple[int, str, str]], partial: bool = False, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+        """(number, level, uri, entities) for each text (number, text, cls) that names anything: the first level that finds
+        any, how many entities it finds, and the one if it is one. One plan for all texts."""
+        found, probes = self.matches(texts, partial, suffixes)
+        levels = F.create_map(*[x for place, level in {p[0]: p[4] for p in probes}.items() for x in (F.lit(place), F.lit(level))])
+        first = found.withColumn("_first", F.min("place").over(Window.partitionBy("number"))).filter("place = _first")
+        every = first.groupBy("number", "place").agg(F.count("*").alias("entities"), F.min("s").alias("uri"))
+        return every.select("number", levels[F.col("place")].alias("level"), F.when(F.col("entities") == 1, F.col("uri")).alias("uri"), "entities")
+
+    def resolve(self, text: str, cls: str, partial: bool = False, suffixes: tuple[str, ...] = SUFFIXES) -> Entity:
         """The entity that a text names, by the first level that finds any: equal, organisation form, key or segment,
         (if asked for) contained, and the same without a type word at the end. Several entities at a level are ambiguous."""
-        index, name = self.name_index(cls), F.col("kind") == "name"
-        text = " ".join(text.split())
-        for wanted in dict.fromkeys([text, *(text.removesuffix(x).strip() for x in suffixes if text.endswith(x))]):
-            if not wanted:
-                continue
-            value = F.col("value")
-            levels = {"exact": (value == wanted) | (display_key(value) == wanted.lower())}
-            if cls in ("Company", "Organization", "Issuer", "AssetManager"):
-                levels["organisation"] = name & (organisation_key(value) == organisation(wanted))
-            levels["key"] = key_of(value) == key(wanted)
-            levels["segment"] = name & F.array_contains(segment_keys(value), key(wanted))
-            if partial:
-                levels["partial"] = name & key_of(value).contains(key(wanted))
-            first = F.coalesce(*[F.when(c, i) for i, c in enumerate(levels.values())])
-            best = index.select("s", first.alias("level")).filter("level is not null").groupBy("s").agg(F.min("level").alias("level"))
-            rows = best.orderBy("level", "s").limit(CANDIDATES + 1).collect()
-            found = [r.s for r in rows if r.level == rows[0].level]
-            if found:
-                return Entity("resolved" if len(found) == 1 else "ambiguous", found[0] if len(found) == 1 else None, cls, list(levels)[rows[0].level], found[:CANDIDATES])
-        return Entity("not_found", cls=cls)
+        return self._first([(0, text, cls)], partial, suffixes)[0]
+
+    def _first(self, texts: list[tuple[int, str, str]], partial: bool = False, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Entity, int | None]:
+        """What the first of the texts that names anything names, and its number: one job for all of them."""
+        texts = [t for t in texts if t[1].strip()]
+        if not texts:
+            return Entity("not_found"), None
+        found, probes = self.matches(texts, partial, suffixes)
+        rows = found.orderBy("place", "s").limit(CANDIDATES + 1).collect()
+        if not rows:
+            return Entity("not_found", cls=texts[-1][2]), None
+        best = [r.s for r in rows if r.place == rows[0].place]
+        _, number, cls, _, level, _, _ = next(p for p in probes if p[0] == rows[0].place)
+        return Entity("resolved" if len(best) == 1 else "ambiguous", best[0] if len(best) == 1 else None, cls, level, best[:CANDIDATES]), number
 
     def seed(self, mentions: list[tuple[str, str]]) -> tuple[Entity, list[tuple[str, str, str]]]:
         """The first of (text, role) mentions that resolves or is ambiguous in its role's classes, and what was tried."""
-        tried = []
-        for text, role in mentions:
-            for cls in ROLES.get(role, ANY_ROLE):
-                found = self.resolve(text, cls)
-                tried.append((text, cls, found.status))
-                if found.status != "not_found":
-                    return found, tried
-        return Entity("not_found"), tried
+        pairs = [(text, cls) for text, role in mentions for cls in ROLES.get(role, ANY_ROLE)]
+        found, number = self._first([(i, text, cls) for i, (text, cls) in enumerate(pairs)])
+        last = len(pairs) if number is None else number + 1
+        return found, [(text, cls, found.status if i == number else "not_found") for i, (text, cls) in enumerate(pairs[:last])]
 
     # --- themes
 
-    def theme_members(self, facets: list[str], limit: int = MOST_ROWS) -> DataFrame:
-        """(code, name, matched_theme) of products with every facet: the theme of that very name, else all that contain it."""
-        parts = []
-        for facet in facets:
-            found = self.resolve(facet, "Theme", partial=True)
-            themes = found.candidates
-            linked = self.edges("relatedToTheme").filter(F.col("o").isin(themes or [""]))
-            named = linked.join(self.edges("themeName").toDF("o", "matched_theme"), "o", "left")
-            rows = named.join(self.edges("productCode").toDF("s", "code"), "s").join(self.edges("productShortName").toDF("s", "name"), "s", "left").select("code", "name", "matched_theme")
-            parts.append(first_wins(rows, ["code"], [F.col("matched_theme")]))
-        return intersection(parts, "code").orderBy("code").limit(limit)
+    def theme_members(self, facets: list[str], limit: int | None = None) -> DataFrame:
+        """(code, name, matched_theme) of products with every facet: the theme of that very name, else all that contain it.
+
+        One plan: facets to themes by the surest level that finds any, themes to products, products counted by facet.
+        The theme is the first facet's.
+        """
+        found, _ = self.matches([(i, x, "Theme") for i, x in enumerate(facets)], partial=True)
+        surest = found.withColumn("_first", F.min("place").over(Window.partitionBy("number"))).filter("place = _first").select("number", F.col("s").alias("o"))
+        linked = self.edges("relatedToTheme").join(surest, "o").join(self.edges("themeName").toDF("o", "theme"), "o", "left")
+        every = linked.groupBy("s").agg(F.countDistinct("number").alias("_n"), F.min(F.when(F.col("number") == 0, F.col("theme"))).alias("matched_theme")).filter(F.col("_n") == len(facets))
+        rows = every.join(self.edges("productCode").toDF("s", "code"), "s").join(self.edges("productShortName").toDF("s", "name"), "s", "left")
+        one = rows.groupBy("code").agg(F.min(F.struct(F.coalesce("matched_theme", F.lit("")).alias("matched_theme"), "name")).alias("x")).select("code", "x.name", "x.matched_theme")
+        return one.orderBy("code").limit(limit) if limit else one
 
     def holders_of(self, codes: tuple[str, ...], label_part: str = "") -> DataFrame:
         """(etf_code, security_code) of products holding securities under any of several reviewed codes, each pair once."""
@@ -322,46 +433,60 @@ def reviewed_security(text: str) -> tuple[str, tuple[str, ...]] | None:
 # --- plans that need no generator
 
 
-def _plan(nodes: str, edges: str, outputs: str, limit: int) -> Plan:
-    split = lambda text: [x.split() for x in text.split(",")]
-    return Plan(dict(x.split(":") for x in nodes.split()), tuple(Edge(*x) for x in split(edges)), tuple(Output(*x[:3], optional=len(x) > 3) for x in split(outputs)), min(max(limit, 1), MOST_ROWS))
+def _within(limit: int) -> int:
+    return min(max(limit, 1), MOST_ROWS)
+
+
+# The classes, properties and output names of the plans below.
+CHILD_OF_SEED = (Edge("seed", "hasSubsidiary", "relation"), Edge("relation", "subsidiaryCompany", "child"))
+HELD_SECURITY = (Edge("holding", "holdingSecurity", "security"), Edge("etf", "hasHolding", "holding"))
+PRODUCT = (Output("etf", "productCode", "etf_code"), Output("etf", "productShortName", "etf_name"))
+WEIGHT = Output("holding", "weight", "weight", optional=True)
+CHILD_NAME = Output("child", "organizationName", "child_name")
 
 
 def subsidiaries(limit: int = 100) -> Plan:
-    return _plan("seed:Company relation:SubsidiaryRelation child:Company", "seed hasSubsidiary relation, relation subsidiaryCompany child", "child organizationName child_name, child corpCode child_corp_code ?, relation ownershipPct ownership_pct ?", limit)
+    outputs = (CHILD_NAME, Output("child", "corpCode", "child_corp_code", optional=True), Output("relation", "ownershipPct", "ownership_pct", optional=True))
+    return Plan({"seed": "Company", "relation": "SubsidiaryRelation", "child": "Company"}, CHILD_OF_SEED, outputs, _within(limit))
 
 
 def holders(limit: int = MOST_ROWS, target: str = "ETF", security_seed: bool = False) -> Plan:
     """Products that hold securities of a company, or a security itself."""
     if security_seed:
-        return _plan(f"seed:Security holding:Holding etf:{target}", "holding holdingSecurity seed, etf hasHolding holding", "etf productCode etf_code, etf productShortName etf_name, holding weight weight ?", limit)
-    return _plan(f"seed:Company security:Security holding:Holding etf:{target}", "security issuedByCompany seed, holding holdingSecurity security, etf hasHolding holding", "etf productCode etf_code, etf productShortName etf_name, holding weight weight ?", limit)
+        return Plan({"seed": "Security", "holding": "Holding", "etf": target}, (Edge("holding", "holdingSecurity", "seed"), HELD_SECURITY[1]), (*PRODUCT, WEIGHT), _within(limit))
+    nodes = {"seed": "Company", "security": "Security", "holding": "Holding", "etf": target}
+    return Plan(nodes, (Edge("security", "issuedByCompany", "seed"), *HELD_SECURITY), (*PRODUCT, WEIGHT), _within(limit))
 
 
 def subsidiary_holders(limit: int = MOST_ROWS) -> Plan:
-    return _plan("seed:Company relation:SubsidiaryRelation child:Company security:Security holding:Holding etf:ETF", "seed hasSubsidiary relation, relation subsidiaryCompany child, security issuedByCompany child, holding holdingSecurity security, etf hasHolding holding", "child organizationName child_name, etf productCode etf_code, etf productShortName etf_name, holding weight weight ?", limit)
+    nodes = {"seed": "Company", "relation": "SubsidiaryRelation", "child": "Company", "security": "Security", "holding": "Holding", "etf": "ETF"}
+    return Plan(nodes, (*CHILD_OF_SEED, Edge("security", "issuedByCompany", "child"), *HELD_SECURITY), (CHILD_NAME, *PRODUCT, WEIGHT), _within(limit))
 
 
 def theme_products(limit: int = MOST_ROWS) -> Plan:
-    return _plan("seed:Theme etf:ETF", "etf relatedToTheme seed", "etf productCode etf_code, etf productShortName etf_name", limit)
+    return Plan({"seed": "Theme", "etf": "ETF"}, (Edge("etf", "relatedToTheme", "seed"),), PRODUCT, _within(limit))
 
 
-# Words for the two relations that have plans, and for funds.
-SUBSIDIARY_WORDS = ("subsidiary_of", "has_subsidiary", "자회사")
-HOLDING_WORDS = ("holds", "holding", "held_by", "편입", "보유")
-FUND_WORDS = ("펀드", "fund", "publicfund")
+# Words that stand for a relation and for a kind of product.
+RELATION_WORDS = {"subsidiary_of": "owns", "has_subsidiary": "owns", "자회사": "owns", "holds": "holds", "holding": "holds", "held_by": "holds", "편입": "holds", "보유": "holds"}
+KIND_WORDS = {"펀드": "PublicFund", "fund": "PublicFund", "publicfund": "PublicFund"}
+#: The plan for what a chain of relations says, by (its relations, class of the seed, kind of product); "" is any.
+READY = (
+    ({"owns", "holds"}, "", "ETF", lambda limit: subsidiary_holders(max(limit, 100))),
+    ({"owns", "holds"}, "", "", subsidiaries),
+    ({"owns"}, "", "", subsidiaries),
+    ({"holds"}, "Company", "ETF", lambda limit: holders(max(limit, 100))),
+    ({"holds"}, "Company", "PublicFund", lambda limit: holders(max(limit, 100), "PublicFund")),
+    ({"holds"}, "Security", "ETF", lambda limit: holders(max(limit, 100), "ETF", security_seed=True)),
+    ({"holds"}, "Security", "PublicFund", lambda limit: holders(max(limit, 100), "PublicFund", security_seed=True)),
+)
 
 
 def ready_plan(relations: list[str], target: str, seed_class: str = "Company", limit: int = 100) -> Plan | None:
-    """The plan for a chain of relations to a kind of product, if there is one."""
-    words = {r.casefold() for r in relations}
-    child, holding = bool(words & set(SUBSIDIARY_WORDS)), bool(words & set(HOLDING_WORDS))
-    fund, etf = target.casefold() in FUND_WORDS, "etf" in target.casefold() or (holding and not target)
-    if child:
-        return subsidiary_holders(max(limit, 100)) if holding and etf else subsidiaries(limit)
-    if holding and (etf or fund) and seed_class in ("Company", "Security"):
-        return holders(max(limit, 100), "PublicFund" if fund else "ETF", seed_class == "Security")
-    return None
+    """The plan for a chain of relations to a kind of product, if there is one; holdings without a kind are those of ETFs."""
+    said, target = {RELATION_WORDS.get(r.casefold()) for r in relations} - {None}, target.casefold()
+    kind = KIND_WORDS.get(target, "ETF" if "etf" in target or (not target and "holds" in said) else None)
+    return next((make(limit) for of, seed, product, make in READY if of == said and seed in ("", seed_class) and product in ("", kind)), None)
 
 
 def cleaned(plan: Plan) -> Plan:

@@ -47,7 +47,7 @@ def unique_hydration(ranked: DataFrame, details: DataFrame, keys: list[str]) ->
     Details are reduced to the ranked keys first, so late materialisation reads them for few rows only.
     """
     columns = [c for c in details.columns if c not in keys]
-    few = details.join(F.broadcast(ranked.select(*keys).distinct()), keys, "left_semi") if ranked.limit(10_001).count() <= 10_000 else details.join(ranked.select(*keys).distinct(), keys, "left_semi")
+    few = details.join(ranked.select(*keys), keys, "left_semi")  # adaptive execution broadcasts the keys if they are few
     one = few.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.max(F.struct(F.lit(0).alias("_"), F.col(c).alias("v"))).alias(c) for c in columns])
     picked = one.select(*keys, *[F.when(F.col("_n") == 1, F.col(f"{c}.v")).alias(c) for c in columns])
     return ranked.join(picked, keys, "left")
@@ -97,15 +97,39 @@ def same_fund(funds: DataFrame, title: str, classes: list[str], keys: list[str])
     return counted.select(status.alias("status"), *[F.when(status == "same", F.col(k)).alias(k) for k in keys])
 
 
-def provenance(rows: DataFrame, key: str, columns: list[str], documents: DataFrame, shortest_ticker: int = 3) -> DataFrame:
+def provenance(rows: DataFrame, key: str, columns: list[str], documents: DataFrame, shortest_ticker: int = 3, gram: int = 2) -> DataFrame:
     """`rows` with the document that vouches for each: a value equals its ticker, else its ISIN, else name and value
-    contain one another, longest name first. (A theta join, with the documents, one row a document, as the small side.)"""
-    values = rows.select(key, F.explode(F.array(*[F.trim(F.col(c).cast("string")) for c in columns])).alias("_v")).filter(F.length("_v") > 0).distinct()
+    contain one another, longest name first.
+
+    Distinct values are matched, then joined back. Containment is a join on blocks: whichever text is the shorter one, all
+    its `gram`-character pieces are in the longer, so also the piece that fewest documents' names have; candidates that
+    share it are verified.
+    """
+    long = rows.select(key, F.explode(F.array(*[F.trim(F.col(c).cast("string")) for c in columns])).alias("_v")).filter(F.length("_v") > 0)
+    values = long.select("_v").distinct()
     docs = documents.select("document", F.upper(F.trim("ticker")).alias("_t"), F.upper(F.trim("isin")).alias("_i"), provenance_key(F.col("name")).alias("_n"))
     upper = values.withColumn("_u", F.upper("_v")).withColumn("_k", provenance_key(F.col("_v")))
-    ticker = upper.filter(F.length("_v") >= shortest_ticker).join(docs, F.col("_u") == F.col("_t")).select(key, F.lit(1).alias("_p"), F.lit(0).alias("_l"), "document")
-    isin = upper.join(docs, F.col("_u") == F.col("_i")).select(key, F.lit(2).alias("_p"), F.lit(0).alias("_l"), "document")
-    by_name = (F.length("_k") > 0) & (F.length("_n") > 0) & (F.col("_k").contains(F.col("_n")) | F.col("_n").contains(F.col("_k")))
-    name = upper.filter(F.length("_v") >= 4).join(docs, by_name).select(key, F.lit(3).alias("_p"), (-F.length("_n")).alias("_l"), "document")
-    best = ticker.union(isin).union(name).groupBy(key).agg(F.min(F.struct("_p", "_l", "document")).alias("_b"))
-    return rows.join(best.select(key, F.col("_b.document").alias("document"), F.element_at(F.array(F.lit("ticker"), F.lit("isin"), F.lit("name")), F.col("_b._p")).alias("matched_by")), key, "left")
+    ticker = upper.filter(F.length("_v") >= shortest_ticker).join(docs, F.col("_u") == F.col("_t")).select("_v", F.lit(1).alias("_p"), F.lit(0).alias("_l"), "document")
+    isin = upper.join(docs, F.col("_u") == F.col("_i")).select("_v", F.lit(2).alias("_p"), F.lit(0).alias("_l"), "document")
+    found = _containing(upper.filter((F.length("_v") >= 4) & (F.length("_k") > 0)).select("_v", "_k"), docs.filter(F.length("_n") > 0).select("document", "_n"), gram)
+    name = found.select("_v", F.lit(3).alias("_p"), (-F.length("_n")).alias("_l"), "document")
+    best = ticker.union(isin).union(name).groupBy("_v").agg(F.min(F.struct("_p", "_l", "document")).alias("_b"))
+    by_key = long.join(best, "_v").groupBy(key).agg(F.min("_b").alias("_b"))
+    return rows.join(by_key.select(key, F.col("_b.document").alias("document"), F.element_at(F.array(F.lit("ticker"), F.lit("isin"), F.lit("name")), F.col("_b._p")).alias("matched_by")), key, "left")
+
+
+def _containing(values: DataFrame, docs: DataFrame, gram: int) -> DataFrame:
+    """(_v, document, _n) where the key _k of a value contains the name _n of a document or is contained in it."""
+    pieces = lambda c: F.when(F.length(c) >= gram, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - gram + 1), lambda i: F.substr(c, i, F.lit(gram))))).otherwise(F.array(c))
+    short = F.length("_n") < gram
+    every = docs.select("document", "_n", F.explode(pieces(F.col("_n"))).alias("_g"))
+    common = every.groupBy("_g").agg(F.count("*").alias("_c"))
+    rare = every.join(common, "_g").groupBy("document", "_n").agg(F.min(F.struct("_c", "_g")).alias("_r")).select("document", "_n", F.col("_r._g").alias("_g"))
+    asked = values.select("_v", "_k", F.explode(pieces(F.col("_k"))).alias("_g"))
+    within = asked.join(rare.filter(~short), "_g").filter(F.col("_k").contains(F.col("_n")))
+    letters = values.select("_v", "_k", F.explode(F.array_distinct(F.split("_k", ""))).alias("_g")).join(rare.filter(short), "_g").filter(F.col("_k").contains(F.col("_n")))
+    least = asked.join(common, "_g", "left").groupBy("_v", "_k").agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("_c"), "_g")).alias("_r")).filter("_r._c > 0").select("_v", "_k", F.col("_r._g").alias("_g"))
+    around = least.join(every, "_g").filter(F.col("_n").contains(F.col("_k")))
+    tiny = values.filter(F.length("_k") < gram).select("_v", "_k", F.col("_k").alias("_g")).join(docs.select("document", "_n", F.explode(F.array_distinct(F.split("_n", ""))).alias("_g")), "_g").filter(F.col("_n").contains(F.col("_k")))
+    columns = ["_v", "document", "_n"]
+    return within.select(*columns).union(letters.select(*columns)).union(around.select(*columns)).union(tiny.select(*columns)).distinct()

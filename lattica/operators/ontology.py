@@ -111,9 +111,13 @@ class Ontology:
         rows = [(c[len(self.namespace) :] if c.startswith(self.namespace) else c, label, i) for i, classes in self.individuals.items() for c in classes for label in {*self.of[i][LABEL], *self.of[i][SKOS + "altLabel"]}]
         return spark.createDataFrame(sorted(rows), "axis string, label string, uri string")
 
+    def named(self, axis: str, label: str) -> list[str]:
+        """The individuals of a class that have a label."""
+        return [i for i, classes in self.individuals.items() if self.expand(f"{self.prefix}:{axis}") in classes and label in {*self.of[i][LABEL], *self.of[i][SKOS + "altLabel"]}]
+
     def source_values(self, axis: str, label: str) -> list[str]:
         """All labels of the one individual of a class that `label` names, for a membership test in source spelling."""
-        found = [i for i, classes in self.individuals.items() if self.expand(f"{self.prefix}:{axis}") in classes and label in {*self.of[i][LABEL], *self.of[i][SKOS + "altLabel"]}]
+        found = self.named(axis, label)
         if len(found) != 1:
             raise RequestError(f"{label!r} names {len(found)} individuals of {axis}")
         return sorted({*self.of[found[0]][LABEL], *self.of[found[0]][SKOS + "altLabel"]})

@@ -16,9 +16,13 @@ from lattica.operators.joins import keyed, nested_sets
 MOST_HITS, FLOOR, MOST_IDS, MOST_QUERIES = 20, 0.45, 50, 3
 
 
-def scope(products: DataFrame, wanted: list[str], most: int = MOST_IDS) -> DataFrame:
-    """product_id of products whose key, name or short name is among up to `most` wanted values."""
-    values = list(dict.fromkeys(wanted))[:most]
+def scope(products: DataFrame, wanted: list[str]) -> DataFrame:
+    """product_id of products whose key, name or short name is among the wanted values; over MOST_IDS of them are joined."""
+    values = list(dict.fromkeys(wanted))
+    if len(values) > MOST_IDS:
+        asked = products.sparkSession.createDataFrame([(v,) for v in values], "_wanted string")
+        names = products.select("product_id", F.explode(F.array_distinct(F.array("source_key", "name", "short_name"))).alias("_name"))
+        return names.join(asked, F.col("_name") == F.col("_wanted"), "left_semi").select("product_id").distinct()
     return products.filter(F.col("source_key").isin(values) | F.col("name").isin(values) | F.col("short_name").isin(values)).select("product_id").distinct()
 
 
@@ -44,11 +48,13 @@ def top_k(chunks: DataFrame, query: list[float], k: int, sections: list[str] | N
 
 
 def search(chunks: DataFrame, queries: list[list[float]], k: int, bridge: DataFrame | None = None, sections: list[str] | None = None, floor: float = FLOOR) -> DataFrame:
-    """Hits of up to three queries, each chunk once with its best score, none below the floor, with its products nested.
+    """Hits of one to MOST_QUERIES queries (more are an error), each chunk once with its best score, none below the floor, with its products nested.
 
     Products are nested after the top-k, so that a document of many products is scored once.
     """
-    hits = reduce(DataFrame.unionByName, [top_k(chunks, q, k, sections).drop("embedding") for q in queries[:MOST_QUERIES]])
+    if not 1 <= len(queries) <= MOST_QUERIES:
+        raise RequestError(f"{len(queries)} queries; 1 to {MOST_QUERIES} are searched at a time")
+    hits = reduce(DataFrame.unionByName, [top_k(chunks, q, k, sections).drop("embedding") for q in queries])
     best = max_score(hits, "chunk_id", "score").filter(F.col("score") >= floor)
     return nested_sets(best, bridge, "document_id", "product_id", "product_ids") if bridge is not None else best
 

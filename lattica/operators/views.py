@@ -48,6 +48,21 @@ def rating(rows: DataFrame, column: str) -> Column:
     return _field(value, input_status(rows, (column,)))
 
 
+def rating_individual(rows: DataFrame, column: str, labels: DataFrame, name: str, axis: str = "CreditRating") -> DataFrame:
+    """`rows` with the one individual of the rating scale that a stored rating names, as "label (uri)"; labels are (axis, label, uri).
+
+    The label shown is the first of the individual's own; a rating that no individual or several have is unresolved.
+    """
+    own = labels.filter(F.col("axis") == axis)
+    shown = own.groupBy("uri").agg(F.min("label").alias("_shown"))
+    one = own.groupBy("label").agg(F.countDistinct("uri").alias("_n"), F.max("uri").alias("uri")).join(shown, "uri").select(F.col("label").alias("_label"), "_n", "uri", "_shown")
+    found = rows.join(one, F.trim(F.col(column)) == F.col("_label"), "left") if column in rows.columns else rows.withColumns({c: F.lit(None) for c in ("_n", "uri", "_shown")})
+    known = F.coalesce(F.col("_n") == 1, F.lit(False))
+    status = input_status(rows, (column,))
+    value = F.concat("_shown", F.lit(" ("), "uri", F.lit(")"))
+    return found.withColumn(name, _field(F.when(known, value), F.when((status == "available") & ~known, "unresolved").otherwise(status))).drop("_label", "_n", "uri", "_shown")
+
+
 def return_series(rows: DataFrame, columns: tuple[str, ...], periods: tuple[str, ...]) -> Column:
     """Periods with their values; a column that isn't there and a null differ."""
     parts = [F.concat(F.lit(f"{p}="), F.coalesce(F.col(c).cast("string"), F.lit("NULL")) if c in rows.columns else F.lit("no column")) for c, p in zip(columns, periods, strict=True)]
@@ -98,6 +113,8 @@ def derive(rows: DataFrame, name: str, view, scale: list[str] | None = None, lab
         if labels is None or key is None:
             raise RequestError(f"{name}: an axis needs its labels")
         return classification(rows, labels, view.axes, key, name)
+    if view.kind == "rating" and labels is not None:
+        return rating_individual(rows, i[0], labels, name)
     column = {
         "unsupported": lambda: unsupported(view.reason),
         "rating_order": lambda: rating_order(scale or []),

@@ -131,12 +131,10 @@ class Compiler:
         raise RequestError(f"{a.name}: unknown operator {operator!r}")
 
     def _spellings(self, a: Attribute, value: object, domain: Domain) -> list[str]:
-        """All source spellings of the one individual that a value names on the column's ontology axis; none if it names none."""
+        """All source spellings of the one individual that a value names on the column's ontology axis; none if the axis
+        knows no such label. A label of several individuals is an error: which one is meant can't be told."""
         axis = next((x for v in domain.views.values() if v.kind == "classification" for c, x in v.axes if c == a.column), None)
-        try:
-            return self.ontology.source_values(axis, str(value)) if axis else []
-        except RequestError:
-            return []
+        return self.ontology.source_values(axis, str(value)) if axis and self.ontology.named(axis, str(value)) else []
 
     @staticmethod
     def _flag(a: Attribute, c: Column, operator: str, value: object) -> Column | None:
@@ -156,14 +154,21 @@ class Compiler:
         return guarded_number(c) == F.lit(int(code)) if a.kind == "boolean" else F.trim(c) == code
 
     def identity(self, d: Domain, base: DataFrame, name: str) -> Column:
-        """Rows that a name identifies: equal in an identity column; only if no row at all is, those whose title contains it."""
+        """Rows that a name identifies: equal in an identity column; only if no row at all is, those whose title contains it.
+
+        Whether any row is equal is a subquery of the plan, no job before it. On a stream nobody can know, so a title that
+        contains the name will do.
+        """
         if not str(name).strip():
             raise RequestError("an entity without a name")
         needle = str(name).replace(" ", "").lower()
-        equal = reduce(or_, [unspaced(F.col(f"base.{c}").cast("string")) == needle for c in d.identity])
-        probe = reduce(or_, [unspaced(F.col(c).cast("string")) == needle for c in d.identity])
-        anyone = base.filter(probe).limit(1).count() > 0 if base.isStreaming is False else False
-        return F.coalesce(equal, F.lit(False)) if anyone else unspaced(F.col(f"base.{d.title}").cast("string")).contains(needle)
+        inside = F.coalesce(unspaced(F.col(f"base.{d.title}").cast("string")).contains(needle), F.lit(False))
+        if base.isStreaming:
+            return inside
+        equal = reduce(or_, [F.coalesce(unspaced(F.col(f"base.{c}").cast("string")) == needle, F.lit(False)) for c in d.identity])
+        own = base.select(*[F.col(c).alias(f"_probe_{i}") for i, c in enumerate(d.identity)])
+        anyone = own.filter(reduce(or_, [unspaced(F.col(c).cast("string")) == needle for c in own.columns])).select(F.lit(1)).exists()
+        return equal | (~anyone & inside)
 
     # --- requests
 

@@ -52,12 +52,36 @@ def cross_market(question: str) -> bool:
     return bool(re.search(r"동일|같은", question)) and "펀드" in question and "ETF" in question.upper()
 
 
+# Regions as the stored values have them, and the words that ask for exposure to them.
+REGIONS = {"미국": "미국", "중국": "중국", "일본": "일본", "인도": "인도", "유럽": "유럽", "베트남": "베트남", "글로벌": "글로벌", "아시아": "아시아"}
+EXPOSURE = r"(?:에\s*)?(?:투자하는|투자|노출)"
+#: Words that ask for a field, by the field; a domain's own names are looked for too.
+OUTPUT_WORDS = {"보수": ("총보수", "보수율", "수수료"), "순자산": ("순자산", "AUM", "규모"), "위험등급": ("위험등급", "위험 등급"), "신용등급": ("신용등급", "신용 등급"), "상장일": ("상장일",), "만기일": ("만기일", "만기가 언제")}
+
+
+def regions(question: str) -> list[str]:
+    """Regions that the question wants exposure to."""
+    return [stored for word, stored in REGIONS.items() if re.search(rf"{word}\s*(?:주식|채권|시장)?{EXPOSURE}", question)]
+
+
+def output_fields(question: str) -> list[str]:
+    """Fields that the question asks to be shown."""
+    asked = re.search(r"(.*?)(?:알려|보여|함께|비교|얼마|언제|몇)", question, re.S)
+    return [f for f, words in OUTPUT_WORDS.items() if asked and any(w in asked[1] for w in words)]
+
+
 def restored(intent: dict, question: str, today: date) -> dict:
-    """The intent with all of this; what it already holds on years, classes and alternatives stays."""
+    """The intent with all of this; what it already holds on years, classes, alternatives, regions and fields stays."""
     out = dict(intent)
     if out.get("conditions"):
         out["conditions"] = with_comparators(out["conditions"], question)
     for name, found in (("full_years", full_years(question)), ("class_suffixes", classes(question)), ("any_relation", any_relation(question)), ("window", window(question, today)), ("cross_market", cross_market(question))):
         if found and not out.get(name):
             out[name] = found
+    etfs = [d.get("domain") for d in out.get("product_domain", ()) if d.get("domain") == "국내ETF"]
+    if etfs and not any(c.get("attribute") == "투자지역" for c in out.get("conditions", ())):
+        if found := regions(question):
+            out["conditions"] = [*out.get("conditions", ()), {"attribute": "투자지역", "operator": "in" if len(found) > 1 else "eq", "value": found if len(found) > 1 else found[0], "domain": "국내ETF"}]
+    if not (out.get("output_requirements") or {}).get("fields") and out.get("product_domain") and (found := output_fields(question)):
+        out["output_requirements"] = {**(out.get("output_requirements") or {}), "fields": found}
     return out

@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; where a session has none (as in tests), one is made and set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        found = found or "file://" + tempfile.mkdtemp(prefix="lattica-")
+        spark.sparkContext.setCheckpointDir(found)
+    return (found or held.get()).rstrip("/")
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "lattica", **conf: str) -> SparkSession:
     """A local session with UTC time, AQE and Arrow on; `conf` overrides any of it."""
     settings = {

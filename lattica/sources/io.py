@@ -9,14 +9,12 @@ import time
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lattica.errors import ContractError, RequestError
+from lattica.errors import ContractError, RequestError, Truncated
 from lattica.operators.federate import capped
 
 MOST_ROWS = 10_000
-READING = ("select", "with", "explain", "values")
-#: Words of statements that write, wherever they stand outside text.
-WRITING = ("insert", "update", "delete", "merge", "create", "drop", "alter", "truncate", "grant", "revoke", "call", "set", "use", "refresh", "cache", "load", "copy", "replace table", "msck", "add jar")
 #: Statements of graph queries that read, and what they may not hold.
 GRAPH_READING = ("select", "ask", "construct", "describe")
 GRAPH_BARRED = ("insert", "delete", "load", "clear", "drop", "create", "add", "move", "copy", "service", "with")
@@ -27,15 +25,27 @@ def stripped(sql: str) -> str:
     return re.sub(r"/\*.*?\*/|--[^\n]*|\$(\w*)\$.*?\$\1\$|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`[^`]*`", " ", sql, flags=re.S)
 
 
-def assert_reading(sql: str) -> str:
-    """`sql` if it is one statement that only reads."""
+#: Nodes of a parsed statement that do something else than read, by their class.
+COMMANDS = r"Command|^Insert|^Create|^Drop|^Alter|^Replace|^Delete|^Update|^Merge|^Truncate|^Add|^Rename|^Set|^Reset|^Cache|^Uncache|^Refresh|^Load|^Describe|^Show|^Repair|^Recover|^Analyze|^Comment|^Call|^Execute|^Compound|^Use|Write|^Unresolved(?:Procedure|DbObject)"
+
+
+def assert_reading(sql: str, spark: SparkSession | None = None) -> str:
+    """`sql` if it is one statement that only reads, as Spark's own parser sees it: names of columns don't matter."""
     plain = stripped(sql).strip().rstrip(";").strip()
     if ";" in plain:
         raise RequestError("one statement at a time")
-    if not plain.lower().startswith(READING) and not plain.startswith("("):
-        raise RequestError("only reading statements are run")
-    if found := [w for w in WRITING if re.search(rf"\b{w}\b(?!\s*\()", plain, re.I)]:
-        raise RequestError(f"a reading statement doesn't hold {found[0]!r}")
+    spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    try:
+        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.strip().rstrip(";"))
+    except Exception as e:  # the parser's own exceptions, whatever their class
+        raise RequestError("not a statement: " + str(e).strip().splitlines()[0]) from None
+    todo = [parsed]
+    while todo:
+        node = todo.pop()
+        if re.search(COMMANDS, node.nodeName()):
+            raise RequestError(f"only reading statements are run, not {node.nodeName()}")
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
     return sql
 
 
@@ -51,7 +61,7 @@ def assert_reading_graph(query: str, only: tuple[str, ...] = ("select", "ask"))
 
 def run_sql(spark: SparkSession, sql: str, args: dict | list | None = None, most: int | None = MOST_ROWS) -> DataFrame:
     """A reading statement over registered views, values as parameters; more than `most` rows are an error."""
-    rows = spark.sql(assert_reading(sql), args=args)
+    rows = spark.sql(assert_reading(sql, spark), args=args)
     return rows if most is None else capped(rows, most)
 
 
@@ -62,11 +72,28 @@ def register(tables: dict[str, DataFrame]) -> None:
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, str], partition: tuple[str, int, int, int] | None = None) -> DataFrame:
-    """A relational table; `partition` (column, lower, upper, number) reads it in parallel."""
-    if partition:
-        column, low, high, n = partition
-        return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=n, properties=properties)
-    return spark.read.jdbc(url, table, properties=properties)
+    """A relational table; `partition` (column, lower, upper, number) reads it in parallel. The connection that finds the
+    schema is tried again while it fails in passing."""
+    options = {"column": partition[0], "lowerBound": partition[1], "upperBound": partition[2], "numPartitions": partition[3]} if partition else {}
+
+    def call() -> DataFrame:
+        try:
+            return spark.read.jdbc(url, table, properties=properties, **options)
+        except Exception as e:
+            if re.search("Connection (?:refused|reset)|timed? ?out|CommunicationsException|SQLTransient", str(e)):
+                raise ConnectionError(str(e).splitlines()[0]) from e
+            raise
+
+    return with_retries(call)
+
+
+def read_tables(spark: SparkSession, env: dict[str, str], names: list[str], views: dict[str, DataFrame] | None = None, properties: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Tables by the way that is configured: over JDBC if `env` names a database, else the session's views or those given."""
+    url = dsn_from_env(env)
+    if url:
+        return {n: read_jdbc(spark, url, n, {**({"user": env["PGUSER"]} if "PGUSER" in env else {}), **({"password": env["PGPASSWORD"]} if "PGPASSWORD" in env else {}), **(properties or {})}) for n in names}
+    register(views or {})
+    return {n: spark.table(n.replace(".", "_")) for n in names}
 
 
 def dsn_from_env(env: dict[str, str]) -> str | None:
@@ -102,11 +129,19 @@ SIDECAR = "ticker string, isin string, name string, document string, as_of strin
 
 
 def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
-    """Provenance documents from JSON; a file that isn't there is an empty table, not an error."""
+    """Provenance documents from JSON: a list of them, or an object whose `entries` has one by key. A file that isn't there
+    or isn't JSON is an empty table, not an error."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
         return spark.createDataFrame([], SIDECAR)
-    return spark.read.schema(SIDECAR).json(path, multiLine=True)
+    text = spark.read.text(path, wholetext=True)
+    keyed = F.map_values(F.from_json("value", f"struct<entries:map<string,struct<{_struct(SIDECAR)}>>>")["entries"])
+    rows = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<struct<{_struct(SIDECAR)}>>")).otherwise(keyed)
+    return text.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def _struct(schema: str) -> str:
+    return ",".join(f"{c.split()[0]}:{c.split()[1]}" for c in schema.split(", "))
 
 
 TRIPLES = "s string, p string, o string, kind string, lang string"
@@ -117,8 +152,8 @@ def triples_table(spark: SparkSession, triples: list[tuple]) -> DataFrame:
 
 
 def write_triples(triples: DataFrame, path: str) -> None:
-    """By predicate, so that a pattern reads one directory."""
-    triples.write.mode("overwrite").partitionBy("p").parquet(path)
+    """By predicate, so that a pattern reads one directory; large predicates are split, small ones stay one file."""
+    triples.hint("rebalance", "p").write.mode("overwrite").partitionBy("p").parquet(path)
 
 
 # --- schema snapshots
@@ -131,6 +166,21 @@ def snapshot(tables: dict[str, DataFrame], release: str = "") -> dict:
     return {"release_id": release or digest[:16], "fetched_at": datetime.now(UTC).isoformat(), "fingerprint": digest, "tables": schema}
 
 
+def catalog_snapshot(spark: SparkSession, databases: list[str] | None = None, release: str = "", most: int = MOST_ROWS) -> dict:
+    """A snapshot of the session's catalog: tables and views of databases with their columns. More than `most` entries are
+    refused, since a cut list would look like a schema."""
+    wanted = databases or [spark.catalog.currentDatabase()]
+    tables, n = {}, 0
+    for d in wanted:
+        for t in spark.catalog.listTables(d):
+            name = ".".join([*(t.namespace or []), t.name])
+            tables[name] = spark.table(name)
+            n += len(tables[name].columns)
+            if n > most:
+                raise Truncated(f"over {most} columns: the schema would be cut")
+    return snapshot(tables, release)
+
+
 def stable_snapshot(read, release) -> dict:
     """A snapshot between two equal releases; a redeployment while reading is an error."""
     before = release()

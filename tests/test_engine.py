@@ -5,13 +5,14 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.catalogue_queries import CATALOG, fixture_graph
+from lattica.catalogue_queries import CATALOG, NAMESPACE, TYPE, fixture_graph
 from lattica.errors import ContractError, RequestError, Truncated
 from lattica.operators import evidence, federate, joins, vector, views
+from lattica.operators.graph import Graph
 from lattica.plans import planner
 from lattica.plans.engine import Engine
 from lattica.session import table
-from lattica.sources import io
+from lattica.sources import io, stores
 
 TODAY = date(2026, 8, 24)
 
@@ -71,7 +72,7 @@ def test_tables_after_a_graph(engine):
     intent = {"product_domain": [{"domain": "orders"}], "relations": [{"id": "r", "relation": "holds", "object_entity": "NATION_3", "entity_role": "company", "subject_domain": "etf"}], "conditions": [{"attribute": "priority", "operator": "gte", "value": "2-HIGH"}]}
     intent["relations"][0]["subject_domain"] = "anything"
     route, done, rows = engine.run(intent, TODAY)
-    assert done["graph_r"].status in ("ok", "abstain_schema_unresolved")
+    assert done["graph_r"].status == "abstain_schema_unresolved"  # nothing holds anything of that kind
     intent["relations"][0]["subject_domain"] = ""
     route, done, rows = engine.run(intent, TODAY)
     codes = {int(r.code) for r in done["graph_r"].codes.collect()}
@@ -80,6 +81,23 @@ def test_tables_after_a_graph(engine):
     assert rows.select("_domain").distinct().count() == 2 and "_domain" not in federate.public(rows).columns
 
 
+def test_all_holders_are_ranked(spark, engine):
+    """300 holders, more than a plan's limit: the best of all of them, not of some."""
+    ns = NAMESPACE
+    triples = [("c", TYPE, ns + "Company"), ("c", ns + "organizationName", "Big"), ("s", TYPE, ns + "Security"), ("s", ns + "issuedByCompany", "c")]
+    for i in range(300):
+        triples += [(f"e{i}", TYPE, ns + "ETF"), (f"e{i}", ns + "productCode", str(i)), (f"e{i}", ns + "productShortName", f"E{i}"), (f"e{i}", ns + "hasHolding", f"h{i}"), (f"h{i}", ns + "holdingSecurity", "s"), (f"h{i}", ns + "asOf", "2026-01-01"), (f"h{i}", ns + "sourceId", "x"), (f"h{i}", ns + "weight", str(i))]
+    orders = spark.createDataFrame([(i, float(i), "F", "1-URGENT", 1) for i in range(400)], "o_orderkey long, o_totalprice double, o_orderstatus string, o_orderpriority string, o_custkey long")
+    own = Engine(CATALOG, {**engine.compiler.tables, "orders": orders}, Graph(spark.createDataFrame(triples, "s string, p string, o string"), engine.graph.ontology))
+    intent = {"product_domain": [{"domain": "orders"}], "relations": [{"id": "r", "relation": "holds", "object_entity": "Big", "entity_role": "company"}], "sort": {"attribute": "price", "order": "desc", "limit": 3}}
+    _, done, _ = own.run(intent, TODAY)
+    assert [r.code for r in done["tables_orders"].rows.collect()] == [299, 298, 297]
+    assert (done["graph_r"].count, done["graph_r"].shown, done["graph_r"].rows.count()) == (300, 100, 100)
+    undated = Engine(CATALOG, own.compiler.tables, Graph(spark.createDataFrame([t for t in triples if t[:2] != ("h7", ns + "asOf")], "s string, p string, o string"), engine.graph.ontology))
+    _, done, _ = undated.run(intent, TODAY)
+    assert [o.status for o in done.values()] == ["abstain_evidence_missing", "blocked_upstream"] and "1 of 300" in done["graph_r"].notes[-1]
+
+
 def test_unknown_entities_and_values_stop_a_step(engine):
     _, done, _ = engine.run({"product_domain": [{"domain": "orders"}], "relations": [{"id": "r", "relation": "holds", "object_entity": "NOWHERE", "entity_role": "company"}]}, TODAY)
     assert done["graph_r"].status == "abstain_entity_not_found" and done["tables_orders"].status == "blocked_upstream"
@@ -92,7 +110,7 @@ def test_merged_domains_and_documents(engine):
     route, done, rows = engine.run(intent, TODAY)
     got = [r.sort_value for r in rows.collect()]
     assert route.merged == ["tables_customers", "tables_suppliers"] and len(got) == 7 and got == sorted(got, reverse=True)
-    assert done["vectors"].status in ("ok", "topic_not_covered")
+    assert done["vectors"].status == "low_confidence" and done["vectors"].rows is None  # hits, none near enough
 
 
 # --- federation
@@ -222,3 +240,51 @@ def test_snapshots(spark, tmp_path):
     cache.get()
     release[0] = "s"
     assert cache.get() == {"n": 3}
+
+
+def test_a_graph_behind_an_endpoint(spark):
+    import json
+    import re
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    triples = [(f"http://x/{i}", f"http://p/{i % 2}", f"v{i}") for i in range(25)]
+    asked, failed = [], []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            query = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            asked.append(query)
+            if len(asked) == 2 and not failed:
+                failed.append(1)
+                self.send_response(503)
+                self.end_headers()
+                return
+            if query.startswith("ASK"):
+                out = {"boolean": True}
+            elif "DISTINCT" in query:
+                out = {"results": {"bindings": [{"p": {"value": p}} for p in sorted({p for _, p, _ in triples})]}}
+            else:
+                p, limit, offset = re.search(r"<(.*?)>.*LIMIT (\d+) OFFSET (\d+)", query).groups()
+                rows = sorted((s, o) for s, q, o in triples if q == p)[int(offset) : int(offset) + int(limit)]
+                out = {"results": {"bindings": [{"s": {"value": s}, "o": {"value": o}} for s, o in rows]}}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(out).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    try:
+        assert stores.remote_alive(url)
+        found = stores.read_sparql(spark, url, page="5")
+        assert {tuple(r) for r in found.collect()} == set(triples) and failed
+        asked.clear()
+        assert found.filter("p = 'http://p/1'").count() == 12 and not any("http://p/0" in q for q in asked)
+        store = stores.first_available({"none": lambda: spark.read.parquet("/nowhere"), "remote": lambda: stores.remote_alive(url) and Graph(found, None)})
+        assert store().count() == 25
+    finally:
+        server.shutdown()

@@ -2,6 +2,7 @@
 
 import pytest
 
+import lattica.engine_queries  # noqa: F401  registers more
 from lattica.catalogue_queries import FLAGSHIP, ORACLE_SQL, QUERIES
 from tools.parity import compare
 
