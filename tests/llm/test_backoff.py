@@ -33,12 +33,12 @@ def brute(rows, order, alpha=backoff.ALPHA):
     return out
 
 
-@pytest.mark.parametrize("order, block_words", [(1, 1000), (2, 10**6), (3, 700)])
-def test_scores_by_hand(spark, sf_dir, order, block_words):
+@pytest.mark.parametrize("order, block_words, ranges, held", [(1, 1000, 256, 10**6), (2, 10**6, 256, 10**6), (3, 700, 256, 10**6), (3, 700, 3, 2500), (2, 3000, 2, 1200)])
+def test_scores_by_hand(spark, sf_dir, order, block_words, ranges, held):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(120).collect()]
     rows += [(1000, None), (1001, ""), (None, "the the the of"), (1002, " \n"), (1003, "unseen-word-here"), (1004, "of the"), (1004, "of the")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, words string").repartition(5)
-    got = sorted(backoff.score(df, order=order, block_words=block_words).collect(), key=lambda r: (str(r.doc_id), r.log_prob))
+    got = sorted(backoff.score(df, order=order, block_words=block_words, ranges=ranges, held=held).collect(), key=lambda r: (str(r.doc_id), r.log_prob))
     want = sorted(brute(rows, order), key=lambda r: (str(r[0]), r[2]))
     assert [(r.doc_id, r.n_words, r.n_backoff) for r in got] == [(i, n, b) for i, n, _, b in want]
     assert [r.log_prob for r in got] == pytest.approx([x for _, _, x, _ in want])
@@ -67,3 +67,19 @@ def test_query_scores_trigrams(spark, tmp_path):
 def test_empty(spark):
     assert backoff.score(spark.createDataFrame([], "doc_id string, text string")).count() == 0
     assert backoff.score(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()[0].log_prob == 0
+
+
+@pytest.mark.parametrize("ranges, held", [(16, 10**6), (4, 500)])
+def test_rows_exchanged_follow_the_input(spark, sf_dir, ranges, held):
+    """Rows that blocks send to the table, at an input and at four times that."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    sent = []
+    for times in (1, 4):
+        four = docs.crossJoin(spark.range(times)).drop("id").coalesce(1)
+        blocks = backoff.explode(four, block_words=2000)
+        n, words = blocks.count(), blocks.groupBy().sum("n").first()[0]
+        groups = max(1, -(-3 * words // (ranges * held)))
+        rows = backoff.asked(blocks, 3, backoff.hash_bits(3, words), ranges, groups)
+        sent.append(rows.count())
+        assert sent[-1] <= n * ranges and rows.select("range", "team").distinct().count() <= ranges * groups
+    assert sent[1] <= 1.05 * 4 * sent[0]
