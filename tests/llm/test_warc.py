@@ -48,7 +48,7 @@ def test_payloads_and_predicates(spark, compression):
     one = all_of.filter((F.col("target_uri") == "w") & F.col("record_type").isin("response", "metadata"))
     assert "Filter (" not in one._jdf.queryExecution().executedPlan().toString()  # both predicates are the reader's
     assert [r.payload_bytes for r in one.collect()] == [len(PAGES[6][2])]
-    assert all_of.filter("target_uri is null").count() == 2
+    assert all_of.filter("target_uri is null").count() == 2 and all_of.count() == len(PAGES)
     assert all_of.filter("payload_bytes > 1000 and record_type is not null").count() == 2
 
 
