@@ -37,8 +37,8 @@ SEED = 17
 #: Chunks of up to so many characters are encoded in arrays; their steps, at most 3 (SHORT - 1), are bits of a number.
 SHORT = 21
 #: Nodes of chunks' trees that a worker keeps from part to part, and characters in a part.
-KEPT = 1_000_000
-PART_CHARS = 4_000_000
+KEPT = 700_000
+PART_CHARS = 2_000_000
 
 SPACE = "▁"
 LITERAL = "\0▁"
