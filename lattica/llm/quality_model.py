@@ -3,13 +3,15 @@
 The model is trained on trusted positives and on unlabelled documents; negative labels are never training examples. It
 minimises the non-negative unbiased risk  p * E_P[l(g)] + max(0, E_U[l(-g)] - p * E_P[l(-g)])  with the sigmoid loss;
 where the bracket falls below zero the step goes against its gradient, which is what keeps a flexible model from
-overfitting the unlabelled part. The class prior p is estimated over all labelled rows of the training folds.
+overfitting the unlabelled part. The class prior p is estimated from positives and unlabelled documents alone: on the half
+of both that a first model wasn't fitted on, it is the least ratio, over thresholds, of the unlabelled share above the
+threshold to the positives' share, each with its confidence bound. Rows labelled 0 are never read.
 
 Features describe the form of a whole text: frequencies of character-class pairs, repetition, compressibility, shape of
 words and lines. Samples for training are bounded by parameters; every document is scored.
 
 Defined results: null and empty texts get the score of the empty text; repeated rows get equal rows; ids may be null;
-without usable labels every score is the prior (0.5 if there is none); an empty table gives an empty result.
+without usable labels every score is 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.labelled import fold, one_label, sampled
+from lattica.llm.common import own_columns
+from lattica.llm.labelled import fold, sampled
 
 FOLDS, HELD = 3, 1
 POSITIVES, UNLABELLED = 4000, 8000
@@ -120,26 +123,44 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
     return Model(mean, scale, prior, w)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, seed: int = 7) -> float:
+    """The share of positives among the unlabelled, from held-out scores; 0.5 if there is too little to tell."""
+    if len(positive) < 20 or len(unlabelled) < 20:
+        return 0.5
+    rng = np.random.default_rng(seed)
+    p, u = positive[rng.permutation(len(positive))], unlabelled[rng.permutation(len(unlabelled))]
+    model = fit(p[::2], u[::2], 0.5, epochs=60)
+    sp, su = np.sort(model.score(p[1::2])), np.sort(model.score(u[1::2]))
+    above = lambda s: 1 - np.searchsorted(s, sp, side="left") / len(s)  # noqa: E731  of each threshold
+    share_p, share_u = above(sp), above(su)
+    slack = np.sqrt(np.log(4 / delta) / (2 * len(sp))) + np.sqrt(np.log(4 / delta) / (2 * len(su)))
+    best = np.argmin((share_u + slack) / np.maximum(share_p, 1e-9))
+    return float(np.clip(share_u[best] / share_p[best], 0.01, 0.99))
+
+
 def _featured(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(x.as_py()).tobytes() for x in b.column(1)], pa.binary())], ["part", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(x.as_py()).tobytes() for x in b.column(2)], pa.binary())], ["part", "id", "x"])
 
-    return docs.select("part", F.col("text").cast("binary").alias("text")).mapInArrow(run, "part int, x binary")
+    kind = docs.schema["_id"].dataType.simpleString()
+    return docs.select("part", F.col("_id").alias("id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, f"part int, id {kind}, x binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """A model from at most `positives` trusted and `unlabelled` other documents of the training folds."""
-    known = one_label(labels, "quality").filter(~fold(F.col("doc_id"), FOLDS, HELD))
-    counts = known.agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("p"), F.count("*").alias("n")).first()
-    prior = min(max((counts.p or 0) / counts.n, 0.01), 0.99) if counts.n else 0.5
-    trusted = sampled(known.filter("label = 1").select("doc_id"), positives, 1).withColumn("part", F.lit(1))
+    """A model from at most `positives` trusted and `unlabelled` other documents of the training folds.
+
+    Trusted are ids with a label 1. Of texts that share an id the least features count.
+    """
+    known = own_columns(labels, doc_id="doc_id", label="quality").filter("label = 1 and doc_id is not null").select("doc_id").distinct()
+    trusted = sampled(known.filter(~fold(F.col("doc_id"), FOLDS, HELD)), positives, 1).withColumn("part", F.lit(1))
     free = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~fold(F.col("doc_id"), FOLDS, HELD))
     web = sampled(free.distinct(), unlabelled, 2).withColumn("part", F.lit(0))
     chosen = F.broadcast(trusted.unionByName(web).withColumnRenamed("doc_id", "_id"))  # positives + unlabelled rows at most
-    rows = _featured(docs.join(chosen, F.col("doc_id") == F.col("_id"))).limit(4 * (positives + unlabelled)).collect()  # ids that repeat
+    found = _featured(docs.join(chosen, F.col("doc_id") == F.col("_id")))
+    rows = found.groupBy("part", "id").agg(F.min("x").alias("x")).orderBy("part", "id").collect()  # one a part and id
     x = [np.array([np.frombuffer(r.x, np.float32) for r in rows if r.part == k]) for k in (1, 0)]
-    return fit(*x, prior)
+    return fit(*x, class_prior(*x))
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:

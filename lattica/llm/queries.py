@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lattica.llm import backoff, exact_dedup, mixing, pieces, quality_model, quality_rules, simhash, toxicity, training_order, warc
 from lattica.session import table
@@ -37,7 +38,9 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.score(table(spark, sf_dir, "documents"))
+    """Scores to six places, so that the order in which logarithms are summed doesn't show."""
+    scored = backoff.score(table(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("log_prob", "mean_log_prob")})
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,5 +142,28 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id IS DISTINCT FROM least AND least IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id IS DISTINCT FROM least AND least IS NOT NULL THEN least END AS refers_to
 FROM base
+""",
+    "op8_stupid_backoff": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), pos AS (
+  SELECT row, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM docs
+), grams AS (
+  SELECT row, i, w, lag(w) OVER (PARTITION BY row ORDER BY i) AS v, lag(w, 2) OVER (PARTITION BY row ORDER BY i) AS u FROM pos
+), others AS (
+  SELECT row, i, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY row, w) AS c1,
+    CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY row, v, w) ELSE 0 END AS c2,
+    CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY row, u, v, w) ELSE 0 END AS c3
+  FROM grams
+), context AS (
+  SELECT *, lag(c1) OVER (PARTITION BY row ORDER BY i) AS b1, lag(c2) OVER (PARTITION BY row ORDER BY i) AS b2, count(*) OVER () - count(*) OVER (PARTITION BY row) AS rest FROM others
+), scored AS (
+  SELECT row, least(i, 3) AS top, CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 ELSE 1 END AS used,
+    CASE WHEN c3 > 0 THEN ln(c3 / b2) WHEN c2 > 0 THEN ln(c2 / b1) WHEN c1 > 0 THEN ln(c1 / rest) ELSE ln(1 / (rest + 1)) END AS score
+  FROM context
+), summed AS (
+  SELECT row, count(*) AS n, sum(score + (top - used) * ln(0.4)) AS log_prob, count(*) FILTER (WHERE used < top) AS n_backoff FROM scored GROUP BY row
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, round(coalesce(log_prob, 0.0), 6) AS log_prob, round(log_prob / n, 6) AS mean_log_prob, CAST(coalesce(n_backoff, 0) AS BIGINT) AS n_backoff FROM docs LEFT JOIN summed USING (row)
 """,
 }

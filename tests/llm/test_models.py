@@ -56,6 +56,25 @@ def test_tokens():
     assert all(len(t) <= toxicity.PIECE for t in long) and any("insult" in t for t in long)
 
 
+def test_long_rows_of_marks_take_no_time():
+    import time
+
+    began = time.time()
+    for text in ("Name: " + "_" * 10_000 + "ab", "a" + " _" * 10_000 + "!", "i-" * 10_000 + "d", "x" + "_" * 200_000):
+        toxicity.tokens(text)
+    assert time.time() - began < 1
+    assert "^idiot" in toxicity.tokens("i_d_i_o_t") and "^idiot" in toxicity.tokens("what an i__d i--o t")
+
+
+def test_training_takes_one_text_an_id(spark):
+    rows = [(i, "you stupidhead go away " + "filler" * (i % 3)) for i in range(30)] + [(100 + i, f"kind words number {i} of a friend") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, toxic int")
+    again = docs.union(docs.withColumn("text", F.concat(F.lit("~ "), "text")))
+    score = lambda d: [round(x, 9) for x in toxicity.train(d, labels).probability(np.eye(7))]
+    assert score(docs) == score(again) == score(again.repartition(7))
+
+
 def test_toxicity_held_out(spark, tables):
     docs, labels = tables
     model = toxicity.train(docs, labels)
@@ -85,6 +104,28 @@ def test_quality_held_out(spark, tables):
     assert quality_model.classify(docs.limit(0), labels).count() == 0
 
 
+def test_rows_labelled_0_change_no_score(spark, tables):
+    docs, labels = tables
+    few = docs.filter("doc_id < 60")
+    score = lambda x: sorted((r.doc_id, r.score) for r in quality_model.score_quality(few, quality_model.train(docs, x, 300, 400)).collect())
+    want = score(labels)
+    assert want == score(labels.filter("quality = 1")) == score(labels.withColumn("quality", F.when(F.col("quality") == 1, 1)))
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_class_prior_from_positives_and_unlabelled(share):
+    rng = np.random.default_rng(2)
+    good, bad = rng.normal(1.2, 1, (4000, 6)).astype(np.float32), rng.normal(-1.2, 1, (2000, 6)).astype(np.float32)
+    n = int(2000 * share)
+    assert quality_model.class_prior(good[:2000], np.concatenate([good[2000 : 2000 + n], bad[: 2000 - n]])) == pytest.approx(share, abs=0.08)
+    assert quality_model.class_prior(good[:5], bad) == 0.5
+
+
+def test_very_long_and_odd_texts_have_features():
+    for text in (b"word " * 400_000, b"\0" * 10, "é\u2028".encode() * 1000, b" \n\t"):
+        assert np.isfinite(quality_model.features(text)).all()
+
+
 def test_risk_uses_no_negative_labels():
     rng = np.random.default_rng(1)
     good, bad = rng.normal(1.5, 1, (2000, 5)).astype(np.float32), rng.normal(-1.5, 1, (600, 5)).astype(np.float32)
