@@ -8,9 +8,10 @@ id, so runs agree, and each occurrence of a word is cut by draws of its own. Any
 
 No symbol reaches over certain borders (before a space, around characters that no symbol holds), so a text is encoded
 in chunks between them. What a chunk gives depends on its skipped steps alone, so a worker remembers a tree for each
-distinct chunk: its root is the chunk without skips, a node's children are the next step that is skipped. An occurrence
-walks down by its own draws; nodes that aren't there yet are made for a whole batch together, in arrays. Chunks of over
-SHORT characters are merged one by one with a heap.
+chunk that it meets again: its root is the chunk without skips, a node's children are the next step that is skipped. An
+occurrence walks down by its own draws; nodes that aren't there yet are made for a whole batch together, in arrays, and
+so are chunks that are met for the first time, straight by their draws. Chunks of over SHORT characters are merged one by
+one with a heap.
 
 Defined results: a null text has null ids and no tokens, an empty text has no tokens; a null id is a key like any other;
 repeated rows get equal rows; an empty table gives an empty result. Memory is bounded by the batch, not by the corpus.
@@ -20,9 +21,10 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -185,10 +187,11 @@ class Codec:
 
     def together(self, symbols: np.ndarray, keys: np.ndarray, rate: float) -> list[bytes]:
         """As `agenda`, for rows of one length of two at least; ids as 32-bit integers in bytes."""
-        return self.merged(symbols, (lambda row, step: _skipped(keys[row], step, rate)) if rate else None)[0]
+        ids, counts, _ = self.merged(symbols, (lambda row, step: _skipped(keys[row], step, rate)) if rate else None)
+        return [x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])]
 
-    def merged(self, symbols: np.ndarray, skipped) -> tuple[list[bytes], np.ndarray]:
-        """Ids of each row, and its steps; `skipped` says of rows and their steps which ones are skipped.
+    def merged(self, symbols: np.ndarray, skipped) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all rows, how many each row has, and its steps; `skipped` says of rows and their steps which ones are skipped.
 
         Symbols stay where their first character is; `after` and `before` link those that are left.
         """
@@ -231,8 +234,7 @@ class Codec:
             where = np.concatenate([at[inner], previous])
             new = self._merge_of(np.concatenate([m[inner], sym[previous]]), np.concatenate([sym[right], m[has]]))
             made[where], flat[where] = new, np.where(new >= 0, self.rank[new], NONE)
-        data, ends = sym[left].tobytes(), (4 * np.cumsum(left.reshape(rows, n).sum(1))).tolist()
-        return [data[i:k] for i, k in zip([0, *ends[:-1]], ends, strict=True)], steps
+        return sym[left], left.reshape(rows, n).sum(1), steps
 
     def rows_of(self, chunks: list[str]) -> np.ndarray:
         """Symbols of chunks of one length, of 2 to SHORT characters; these hold no character outside the vocabulary."""
@@ -250,10 +252,6 @@ class Codec:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, np.int32).tobytes()
-
-
 def occurrence_keys(document: np.ndarray, place: np.ndarray) -> np.ndarray:
     """The keys of chunks at places of texts whose documents have the keys `document`."""
     with np.errstate(over="ignore"):
@@ -273,10 +271,10 @@ def codec(path: str | None = None) -> Codec:
 
 
 class Encoder:
-    """Texts to ids; holds the trees of distinct chunks, within a bound.
+    """Texts to ids; holds the trees of chunks that came again, and those that came once (`seen`), within a bound.
 
-    Node i gives the ids `out[i]` in `steps[i]` steps; `root[i]` is its chunk, `mask[i]` the steps skipped in it.
-    `child[64 * i + t]` is the node where step t is skipped too.
+    Node i gives the `count[i]` ids from `ids[start[i]]` on, in `steps[i]` steps; `root[i]` is its chunk, of `size[i]`
+    characters, `mask[i]` the steps skipped in it. `child[64 * i + t]` is the node where step t is skipped too.
     """
 
     def __init__(self, own: Codec, seed: int = SEED, rate: float = DROPOUT, kept: int = KEPT):
@@ -287,44 +285,66 @@ class Encoder:
 
     def _clear(self) -> None:
         self.chunk: dict[str, int] = {}
+        self.seen: set[str] = set()
         self.child: dict[int, int] = {}
-        self.out: list[bytes] = []
         self.root: list[str] = []
-        self.steps, self.mask = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint64)
+        self.n = self.filled = 0
+        self.ids, (self.start, self.count, self.size, self.steps) = np.zeros(1 << 17, np.int32), (np.zeros(1 << 16, np.int64) for _ in range(4))
+        self.mask = np.zeros(1 << 16, np.uint64)
+
+    def _add(self, n: int) -> int:
+        """Room for n more nodes; the first one's number."""
+        first, self.n = self.n, self.n + n
+        while self.n > len(self.mask):
+            for name in ("start", "count", "size", "steps", "mask"):
+                own = getattr(self, name)
+                setattr(self, name, np.concatenate([own, np.zeros_like(own)]))
+        return first
+
+    def _put(self, nodes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        end = self.filled + len(ids)
+        while end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.filled : end] = ids
+        self.start[nodes], self.count[nodes], self.filled = self.filled + np.cumsum(counts) - counts, counts, end
+
+    def _merged(self, first: int, chunks: list[str], skipped) -> np.ndarray:
+        """Fills nodes from `first` on with those of `chunks` that go into arrays; `skipped` (places to what `merged` takes).
+
+        Returns the chunks' lengths, 0 for those that don't."""
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        self.size[first : first + len(chunks)] = lengths
+        lengths[(lengths < 2) | (lengths > SHORT)] = 0
+        if LITERAL in chunks:
+            lengths[[i for i, c in enumerate(chunks) if c == LITERAL]] = 0
+        for n in np.unique(lengths[lengths > 0]).tolist():
+            places = np.flatnonzero(lengths == n)
+            for part in np.split(places, range(8192, len(places), 8192)):
+                ids, counts, self.steps[first + part] = self.codec.merged(self.codec.rows_of([chunks[i] for i in part.tolist()]), skipped(part))
+                self._put(first + part, ids, counts)
+        return lengths
+
+    def _one(self, node: int, ids: list[int]) -> None:
+        self._put(np.array([node]), np.array(ids, np.int32), np.array([len(ids)]))
 
     def _nodes(self, roots: list[str], masks: np.ndarray) -> None:
         """Adds nodes for chunks with the steps of their masks skipped."""
-        first = len(self.out)
-        while first + len(roots) > len(self.steps):
-            self.steps, self.mask = np.concatenate([self.steps, np.zeros_like(self.steps)]), np.concatenate([self.mask, np.zeros_like(self.mask)])
-        out: list = [None] * len(roots)
-        lengths = np.fromiter(map(len, roots), np.int64, len(roots))
-        for n in np.unique(lengths).tolist():
-            places = np.flatnonzero(lengths == n)
-            if n == len(LITERAL):
-                places = np.array([i for i in places.tolist() if roots[i] != LITERAL], np.int64)
-            for part in np.split(places, range(8192, len(places), 8192)) if 1 < n <= SHORT else ():
-                own = masks[part]
-                if len(part):
-                    skipped = (lambda row, step, own=own: (own[row] >> step.astype(np.uint64)) & np.uint64(1) == 1) if own.any() else None
-                    at = part.tolist()
-                    ids, self.steps[first + part] = self.codec.merged(self.codec.rows_of([roots[i] for i in at]), skipped)
-                    for i, x in zip(at, ids, strict=True):
-                        out[i] = x
-        for i, x in enumerate(out):
-            if x is None:  # one character, or many: no skips here, occurrences of long chunks are merged one by one
-                symbols = self.codec.symbols(roots[i])
-                found = self.codec.agenda(symbols, 0, 0.0)
-                out[i], self.steps[first + i] = _packed(self.codec._spelled(found)), len(symbols) - len(found)
+        first = self._add(len(roots))
+        by_mask = lambda own: (lambda row, step: (own[row] >> step.astype(np.uint64)) & np.uint64(1) == 1) if own.any() else None
+        lengths = self._merged(first, roots, lambda part: by_mask(masks[part]))
+        for i in np.flatnonzero(lengths == 0).tolist():  # no skips here: long chunks' occurrences are merged one by one
+            symbols = self.codec.symbols(roots[i])
+            found = self.codec.agenda(symbols, 0, 0.0)
+            self.steps[first + i] = len(symbols) - len(found)
+            self._one(first + i, self.codec._spelled(found))
         self.mask[first : first + len(roots)] = masks
-        self.out += out
         self.root += roots
 
     def _children(self, keys: list[int]) -> None:
         """Adds the nodes of child keys."""
         at = [k >> 6 for k in keys]
         masks = self.mask[at] | (np.uint64(1) << (np.array(keys, np.uint64) & np.uint64(63)))
-        self.child.update(zip(keys, range(len(self.out), len(self.out) + len(keys)), strict=True))
+        self.child.update(zip(keys, range(self.n, self.n + len(keys)), strict=True))
         self._nodes([self.root[i] for i in at], masks)
 
     def _walked(self, node: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -351,43 +371,56 @@ class Encoder:
             if len(going):
                 wanted, place = np.unique(node[going] * 64 + step[going] - 1, return_inverse=True)
                 self._children(wanted.tolist())
-                node[going] = np.arange(len(self.out) - len(wanted), len(self.out))[place]
+                node[going] = np.arange(self.n - len(wanted), self.n)[place]
         return node
 
-    def encode(self, doc_ids: list, texts: list[str | None]) -> list[np.ndarray | None]:
-        if len(self.out) > self.kept:
-            self._clear()
-        chunked = [self.codec.chunks(t) if t else [] for t in texts]
-        sizes = np.array([len(c) for c in chunked], np.int64)
-        flat = [x for c in chunked for x in c]
+    def _found(self, flat: list[str]) -> np.ndarray:
+        """The roots of chunks; -1 for one that occurs once here and never did before."""
         node = np.fromiter(map(self.chunk.get, flat, repeat(-1)), np.int64, len(flat))
         if len(unknown := np.flatnonzero(node < 0)):
             chunks = [flat[i] for i in unknown.tolist()]
-            new = list(dict.fromkeys(chunks))
-            self.chunk.update(zip(new, range(len(self.out), len(self.out) + len(new)), strict=True))
+            times = Counter(chunks)
+            once = {c for c, n in times.items() if n == 1 and 1 < len(c) <= SHORT and c != LITERAL}.difference(self.seen) if self.rate else set()
+            new = [c for c in times if c not in once]
+            self.chunk.update(zip(new, range(self.n, self.n + len(new)), strict=True))
             self._nodes(new, np.zeros(len(new), np.uint64))
-            node[unknown] = np.fromiter(map(self.chunk.__getitem__, chunks), np.int64, len(chunks))
-        long: dict[int, bytes] = {}
+            node[unknown] = np.fromiter(map(self.chunk.get, chunks, repeat(-1)), np.int64, len(chunks))
+            self.seen.difference_update(new)
+            self.seen |= once
+        return node
+
+    def encode(self, doc_ids: list, texts: list[str | None]) -> list[np.ndarray | None]:
+        if self.n + len(self.seen) > self.kept:
+            self._clear()
+        chunked = [self.codec.chunks(t) if t else [] for t in texts]
+        sizes = np.array([len(c) for c in chunked], np.int64)
+        flat, ends = list(chain.from_iterable(chunked)), np.cumsum(sizes)
+        node = self._found(flat)
+        n, filled = self.n, self.filled
         if self.rate and len(flat):
             document = np.repeat(np.array([self.hash(f"{self.seed}:{i}") for i in doc_ids], np.uint64), sizes)
-            ends = np.cumsum(sizes)
             keys = occurrence_keys(document, np.arange(len(flat)) - np.repeat(ends - sizes, sizes))
-            some = np.flatnonzero(self.steps[node] > 0)
-            lengths = np.fromiter(map(len, flat), np.int64, len(flat))
-            for i in some[lengths[some] > SHORT].tolist():
-                if _skipped(keys[i], np.arange(self.steps[node[i]]), self.rate).any():
-                    long[i] = _packed(self.codec._spelled(self.codec.agenda(self.codec.symbols(flat[i]), keys[i], self.rate)))
-            some = some[lengths[some] <= SHORT]
+            some = np.flatnonzero((node >= 0) & (self.steps[node] > 0))
+            long = some[self.size[node[some]] > SHORT]
+            some = some[self.size[node[some]] <= SHORT]
             node[some] = self._walked(node[some], keys[some])
-        pieces = list(map(self.out.__getitem__, node.tolist()))
-        for i, ids in long.items():
-            pieces[i] = ids
-        out: list[np.ndarray | None] = []
-        at = 0
-        for t, n in zip(texts, sizes.tolist(), strict=True):
-            out.append(None if t is None else np.frombuffer(b"".join(pieces[at : at + n]), np.int32))
-            at += n
-        return out
+            n, filled = self.n, self.filled  # what follows is for these texts alone
+            for i in long.tolist():
+                if _skipped(keys[i], np.arange(self.steps[node[i]]), self.rate).any():
+                    ids = self.codec._spelled(self.codec.agenda(self.codec.symbols(flat[i]), keys[i], self.rate))
+                    node[i] = self._add(1)
+                    self._one(node[i], ids)
+            once = np.flatnonzero(node < 0)
+            first, own = self._add(len(once)), keys[once]
+            draws = lambda part: lambda row, step, k=own[part]: _skipped(k[row], step, self.rate)
+            self._merged(first, [flat[i] for i in once.tolist()], draws)
+            node[once] = np.arange(first, self.n)
+        counts = self.count[node]
+        upto = np.cumsum(counts)
+        ids = self.ids[np.repeat(self.start[node] - upto + counts, counts) + np.arange(upto[-1] if len(upto) else 0)]
+        self.n, self.filled = n, filled
+        cuts = np.concatenate([[0], upto])[np.concatenate([[0], ends])]
+        return [None if t is None else ids[a:b] for t, a, b in zip(texts, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
