@@ -109,11 +109,11 @@ def request_merged_and_hydrated(spark, d):
 
 @query("""
 SELECT o_orderkey AS code, field, CASE field WHEN 'customer' THEN c_name WHEN 'segment' THEN c_mktsegment WHEN 'priority' THEN o_orderpriority END AS value, CASE WHEN field = 'gone' THEN 'unmapped' ELSE 'available' END AS status
-FROM orders JOIN customer ON c_custkey = o_custkey, (VALUES ('customer'), ('segment'), ('priority')) f(field) WHERE o_totalprice > 400000
+FROM orders JOIN customer ON c_custkey = o_custkey, (VALUES ('customer'), ('segment'), ('priority'), ('gone')) f(field) WHERE o_totalprice > 400000
 """)
 def request_contract(spark, d):
     """Evidence by field of a request, a field of two names split in two."""
-    intent = {"product_domain": [{"domain": "orders"}], "conditions": [{"attribute": "total", "operator": "gt", "value": "400,000"}], "output_requirements": {"fields": ["customer·segment", "priority"]}}
+    intent = {"product_domain": [{"domain": "orders"}], "conditions": [{"attribute": "total", "operator": "gt", "value": "400,000"}], "output_requirements": {"fields": ["customer·segment", "priority", "gone"]}}
     return _engine(spark, d).answer(intent, today=TODAY).contracts["tables_orders"].select("code", "field", "value", "status")
 
 
@@ -138,7 +138,7 @@ def _standin(domain: Domain, rows: DataFrame, **given: Column | str) -> DataFram
 
 
 def _bonds(spark: SparkSession, d: str) -> DataFrame:
-    scale = [x.strip() for x in RATINGS.split(",")]
+    scale = RATINGS
     key = F.col("o_orderkey")
     return _standin(
         PRODUCTS["채권"], _bond_orders(spark, d), pd_no=key.cast("string"), pd_nm=F.concat(F.lit("bond "), key), pd_pbcm=F.concat(F.lit("(주) "), "n_name"), crd_grd=F.element_at(F.array(*map(F.lit, scale)), (key % len(scale) + 1).cast("int")),
@@ -364,7 +364,7 @@ def intent_guards(spark, d):
     })
 
 
-@query(_values(empty_value="RequestError", unknown_category="RequestError", text_range="RequestError", text_sort="RequestError", unknown_kind="RequestError", view_filter="RequestError", view_unknown="RequestError", bad_limit="RequestError", off_scale="RequestError", open_range="RequestError", no_name="RequestError", no_such_concept="RequestError", empty_vector="RequestError", many_queries="RequestError", named_kind="ok", too_many="Truncated", no_label="ok", two_labels="RequestError", lineage="o_totalprice orders.o_totalprice", dated="출처기준일(o_orderdate)"))
+@query(_values(empty_value="RequestError", unknown_category="RequestError", text_range="RequestError", text_sort="RequestError", unknown_kind="RequestError", view_filter="RequestError", view_unknown="RequestError", bad_limit="RequestError", off_scale="RequestError", open_range="RequestError", no_name="RequestError", no_such_concept="RequestError", empty_vector="RequestError", many_queries="RequestError", named_kind="ok", too_many="Truncated", all_named="3", left_out="not shown", no_label="ok", two_labels="RequestError", lineage="o_totalprice orders.o_totalprice", dated="출처기준일(o_orderdate)"))
 def request_errors(spark, d):
     """What fails closed, and what only leaves a note."""
     from dataclasses import replace
@@ -379,12 +379,16 @@ def request_errors(spark, d):
     made = Compiler(viewed, c.tables).compile({"domain": "orders", "conditions": [{"attribute": "price", "operator": "gt", "value": "1"}]})
     about = next(x for x in made.lineage if x["key"] == TESTED.format("price"))
     io.register({"raw.cases": table(spark, d, "part")})
+    try:
+        several = c.compile({"domain": "orders", "conditions": [{"attribute": "colour", "value": "x"}, {"attribute": "priority", "value": " "}], "sort": {"attribute": "segment"}}) and ""
+    except RequestError as e:
+        several = str(e)
     return _cases(spark, {
         "empty_value": on("priority", "eq", " "), "unknown_category": on("segment", "eq", "NONE"), "text_range": on("customer", "gt", "a"), "text_sort": _error(lambda: c.compile({"domain": "orders", "sort": {"attribute": "segment"}})), "unknown_kind": _error(lambda: c.compile({"domain": "parts", "subtypes": ["none"]})),
         "view_filter": _error(lambda: Compiler(viewed, c.tables).compile({"domain": "orders", "conditions": [{"attribute": "v", "operator": "eq", "value": "x"}]})), "view_unknown": _error(lambda: views.derive(table(spark, d, "part"), "x", OutputView("none"))), "bad_limit": _error(lambda: literals.row_limit("0")),
         "off_scale": on("priority", "gte", "6-NEVER"), "open_range": on("price", "between", "1"), "no_name": _error(lambda: c.compile({"domain": "parts", "entity": " "})), "no_such_concept": on("colour", "eq", "red"), "empty_vector": _error(lambda: vector.top_k(table(spark, d, "embeddings"), [], 5)),
         "many_queries": _error(lambda: vector.search(table(spark, d, "embeddings"), [[1.0]] * 4, 5)), "named_kind": _error(lambda: c.compile({"domain": "parts", "subtypes": ["none"], "entity": "red"})), "too_many": _error(lambda: io.run_sql(spark, "SELECT * FROM raw_cases", most=3)),
-        "no_label": label("MACHINERY"), "two_labels": label("BUILDING"), "lineage": f"o_totalprice {about['column']}", "dated": next(x["key"] for x in made.lineage if x["key"].startswith("출처")),
+        "all_named": len(several.split("; ")), "left_out": c.compile({"domain": "orders", "fields": ["colour"]}).notes[0].partition(":")[0], "no_label": label("MACHINERY"), "two_labels": label("BUILDING"), "lineage": f"o_totalprice {about['column']}", "dated": next(x["key"] for x in made.lineage if x["key"].startswith("출처")),
     })
 
 
@@ -419,8 +423,8 @@ def graph_decisions(spark, d):
 
 
 @query("""
-SELECT 'triples' AS item, 6 * (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM lineitem) + 3 * (SELECT count(*) FROM orders) + 3 * (SELECT count(*) FROM supplier) + 4 * (SELECT count(*) FROM nation) + 3 * (SELECT count(*) FROM nation) + (SELECT count(*) FROM nation WHERE n_nationkey % 4 > 0) + 2 * (SELECT count(*) FROM region)
-  + (SELECT 3 * sum(len(string_split(p_name, ' '))) + 2 * count(*) FROM part) AS n
+SELECT 'triples' AS item, (SELECT 2 * count(DISTINCT h) + count(DISTINCT (h, l_extendedprice)) + count(DISTINCT (h, strftime(l_shipdate, '%Y-%m-%d'))) + count(DISTINCT (h, l_linestatus)) FROM (SELECT *, (l_orderkey, l_partkey, l_suppkey, l_linenumber) AS h FROM lineitem)) + 3 * (SELECT count(*) FROM orders) + 3 * (SELECT count(*) FROM supplier) + 4 * (SELECT count(*) FROM nation) + 3 * (SELECT count(*) FROM nation) + (SELECT count(*) FROM nation WHERE n_nationkey % 4 > 0) + 2 * (SELECT count(*) FROM region)
+  + (SELECT sum(len(list_distinct(string_split(p_name, ' ')))) + 2 * count(*) FROM part) + 2 * (SELECT count(DISTINCT w) FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)) AS n
 UNION ALL SELECT 'members', count(*) FROM orders
 UNION ALL SELECT 'exists', 1 UNION ALL SELECT 'not there', 0
 UNION ALL SELECT 'codes', (SELECT count(DISTINCT l_orderkey) FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey = 7)
@@ -453,7 +457,7 @@ def resolution_ladder(spark, d):
     names = [r.r_name for r in table(spark, d, "region").orderBy("r_regionkey").collect()]  # five regions
     themes = spark.createDataFrame([(f"theme/{n}", p, x) for n in names for p, x in ((graph.TYPE, NAMESPACE + "Theme"), (NAMESPACE + "themeName", f"all/{n} x/more"))], "s string, p string, o string")
     forms = [lambda n: n, lambda n: f"주식회사 {n[:2]}·{n[2:]}", lambda n: f"{n.lower()[:3]}_{n.lower()[3:]}"]
-    companies = Graph(g.triples.select("s", "p", "o").filter(F.col("p").isin(graph.TYPE, NAMESPACE + "organizationName")), g.ontology).resolved([(3 * i + k, f(n), "Company") for i, n in enumerate(names) for k, f in enumerate(forms)])
+    companies = g.resolved([(3 * i + k, f(n), "Company") for i, n in enumerate(names) for k, f in enumerate(forms)])
     found = companies.unionByName(Graph(themes, g.ontology).resolved([(100 + 3 * i, f"{n}x", "Theme") for i, n in enumerate(names)]))
     name = F.element_at(F.array(*map(F.lit, names)), (F.floor(F.col("number") % 100 / 3) + 1).cast("int"))
     level = F.when((F.col("level") == "organisation") & (F.col("number") % 3 == 2), "key").otherwise(F.col("level"))  # a key's form is an organisation's too

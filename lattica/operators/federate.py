@@ -40,10 +40,13 @@ def merge_rank_hydrate(parts: list[DataFrame], order: str, limit: int, details:
 
 
 def capped(rows: DataFrame, most: int) -> DataFrame:
-    """`rows` if there are no more than `most`; an error instead of a silent cut."""
-    if rows.limit(most + 1).count() > most:
+    """`rows` if there are no more than `most`; an error instead of a silent cut. Computed once: what was counted, most + 1
+    rows at most, is kept and returned."""
+    found = rows.limit(most + 1).cache()
+    if found.count() > most:
+        found.unpersist()
         raise Truncated(f"over {most} rows")
-    return rows
+    return found
 
 
 def truncated(rows: DataFrame, limit: int) -> bool:

@@ -105,8 +105,8 @@ class Graph:
     # --- the store
 
     def store(self, path: str) -> None:
-        """Triples by predicate, names by level and bucket of their keys, and how many triples each predicate has."""
-        write_triples(self.triples, f"{path}/triples")
+        """Triples (each once) by predicate, names by level and bucket of their keys, and how many triples each predicate has."""
+        write_triples(self.triples.distinct(), f"{path}/triples")
         stored = Graph(self.triples.sparkSession.read.parquet(f"{path}/triples"), self.ontology)
         stored.index().write.mode("overwrite").partitionBy("level", "bucket").parquet(f"{path}/names")
         stored.triples.groupBy("p").agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")

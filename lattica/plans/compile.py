@@ -175,6 +175,9 @@ class Compiler:
     def compile(self, request: dict, merge: bool = False, limit: bool = True) -> Compiled:
         """Rows of one domain. With `merge` the common shape code, name, domain, sort_value for a union of domains.
 
+        Whatever in conditions, kinds and sort can't be resolved blocks, all of it named in one error; a field to show that
+        can't be is left out with a note.
+
         A request holds domain, and any of: entity, subtypes, conditions (attribute, operator, value, value_2, group, domain),
         fields, sort (attribute, order, limit), on_sale, class_suffixes.
         """
@@ -188,11 +191,16 @@ class Compiler:
             touched.add(a.column)
             return a
 
+        problems: list[str] = []
         for condition in request.get("conditions", ()):
             if condition.get("domain") not in (None, "", d.name):
                 continue  # it is another domain's
-            a = use(self.attribute(d, condition["attribute"]))
-            term = self.predicate(a, condition.get("operator", "eq"), condition.get("value"), condition.get("value_2"), d)
+            try:
+                a = use(self.attribute(d, condition["attribute"]))
+                term = self.predicate(a, condition.get("operator", "eq"), condition.get("value"), condition.get("value_2"), d)
+            except RequestError as e:
+                problems.append(str(e))
+                continue
             tested.append(a)
             if a.currency and str(condition.get("value", "")).strip().lower().endswith(literals.DOLLAR_NAMES[0::2]):
                 terms.append(F.col(f"base.{a.currency[0]}") == a.currency[1])
@@ -204,7 +212,8 @@ class Compiler:
             rule = d.subtype(value)
             if rule is None:
                 if not request.get("entity"):
-                    raise RequestError(f"{d.name}: unknown kind {value!r}")
+                    problems.append(f"{d.name}: unknown kind {value!r}")
+                    continue
                 notes.append(f"{d.name}: kind {value!r} couldn't be verified for a named product")
                 continue
             own = next((a for a in d.attributes.values() if a.column == rule.column), Attribute(value, rule.column))
@@ -235,10 +244,16 @@ class Compiler:
         if sort and sort.get("domains") and d.name not in sort["domains"]:
             sort = None
         if sort:
-            a = use(self.attribute(d, sort["attribute"]))
-            sort_value, direction = self.sorting(a, d), str(sort.get("order") or "asc").lower()
-            if direction not in ("asc", "desc"):
-                raise RequestError(f"sorting is asc or desc, not {direction!r}")
+            try:
+                a = use(self.attribute(d, sort["attribute"]))
+                sort_value, direction = self.sorting(a, d), str(sort.get("order") or "asc").lower()
+                if direction not in ("asc", "desc"):
+                    raise RequestError(f"sorting is asc or desc, not {direction!r}")
+            except RequestError as e:
+                problems.append(str(e))
+        if problems:
+            raise RequestError("; ".join(dict.fromkeys(problems)))
+        if sort:
             terms.append(sort_value.isNotNull())
             order = [getattr(sort_value, f"{direction}_nulls_last")(), F.col(f"base.{d.code}").asc_nulls_last()]
 
@@ -248,7 +263,10 @@ class Compiler:
                 if view := d.view(concept):
                     outputs += [(c, Attribute(c, c)) for c in view[1].inputs]
                 else:
-                    outputs.append((concept, use(self.attribute(d, concept))))
+                    try:
+                        outputs.append((concept, use(self.attribute(d, concept))))
+                    except RequestError as e:
+                        notes.append(f"not shown: {e}")
             outputs = [("name", Attribute("name", d.title)), ("code", Attribute("code", d.code)), *outputs]
             if sort:
                 outputs.append((SORTED.format(sort["attribute"]), a))

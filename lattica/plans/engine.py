@@ -22,6 +22,7 @@ from lattica.plans import wording
 from lattica.plans.catalog import Catalog, Domain
 from lattica.plans.compile import COMPARISONS, Compiler
 from lattica.plans.planner import Route, Step, plan, ready
+from lattica.session import shared_dir
 
 #: Core evidence of a relation: when, and from where.
 CORE = ("_as_of", "_source")
@@ -106,8 +107,10 @@ class Engine:
         for g in groups:
             of = [done[n] for n in g]
             good = [o for o in of if o.status == "ok"]
+            if any(o.status not in ("ok", "empty") for o in of):  # an alternative that isn't known may hold what is missing
+                return "blocked_upstream", []
             if not good:
-                return "blocked_empty" if all(o.status == "empty" for o in of) else "blocked_upstream", []
+                return "blocked_empty", []
             have = [("codes", o.codes) if o.codes is not None else ("names", o.names) for o in good if o.codes is not None or o.names is not None]
             if not have:
                 return "blocked_upstream", []
@@ -208,6 +211,7 @@ class Engine:
         notes = [f"evidence: {', '.join(held)}" if held else "; ".join(f"{p} from {t}.{c}" for p, t, c in self.graph.sources(chosen))]
         out = self._decided(step, rows, [c for c in held if c.endswith(CORE)], chosen.limit, codes, notes)
         if out.status == "ok":
+            rows = out.rows
             named = [x.alias for x in chosen.outputs if x.property == "organizationName"]
             if named and not codes:
                 every = [F.col(a) for a in named] + ([F.lit(text)] if any(x.get("with_root") for x in links) else [])
@@ -223,7 +227,12 @@ class Engine:
         return generated_plan(self.graph, entity, fragment, self.generator)
 
     def _decided(self, step: Step, rows: DataFrame, core: list[str], limit: int | None, codes: str | None, notes: list[str] | None = None) -> Outcome:
-        """A graph step's outcome: one job counts its rows and what evidence they lack; one gap voids the step."""
+        """A graph step's outcome: one job counts its rows and what evidence they lack; one gap voids the step.
+
+        Rows are kept in the shared folder, since the gate, what is handed on and what is shown all read them.
+        """
+        shared_dir(rows.sparkSession)
+        rows = rows.checkpoint()
         gate = evidence.evidence_gate(rows, core).first()
         status = "empty" if not gate["rows"] else gate.status if core else "ok"
         if status != "ok":
@@ -308,6 +317,11 @@ class Engine:
             preview = federate.fair_preview(own, "_domain", [*[c.desc_nulls_last() for c in first], *[F.col(f"`{c}`") for c in own.columns if not c.startswith("_") and c != "sort_value" and dict(own.dtypes)[c] in ("string", "bigint", "int", "double")]], shown)
             counted = {r["_domain"]: r.n for r in own.groupBy("_domain").agg(F.count("*").alias("n")).collect()}  # a row a domain
             texts = [evidence.line(federate.public(preview), r) for r in federate.public(preview).collect()]  # `shown` rows, one a domain at least
+        for o in done.values():  # documents by their quotes: MOST_HITS hits a topic or subject
+            if o.step.engine == "vectors" and o.rows is not None and "chunk_text" in o.rows.columns:
+                scored = o.rows if "score" in o.rows.columns else o.rows.withColumn("score", F.lit(0.0))
+                quoted = vector.quotes(scored, "chunk_text").orderBy(F.desc("score"), "chunk_id").select("document_id", "quote").collect()
+                texts += [f"[{r.document_id}] {r.quote}" for r in quoted if r.quote]
         steps = [{"dataset": o.step.domain or o.step.engine, "as_of": today.isoformat(), "status": o.status, "rows": o.count if o.count is not None else counted.get(o.step.domain or o.step.engine, counted.get("merged", 0))} for o in done.values()]
         context = evidence.context(steps)
         text = "\n".join([*texts, *gone]) or "no answer"

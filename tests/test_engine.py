@@ -288,3 +288,41 @@ def test_a_graph_behind_an_endpoint(spark):
         assert store().count() == 25
     finally:
         server.shutdown()
+
+
+def test_provenance_against_a_plain_reading(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda low, high: "".join(rng.choice("ABC") for _ in range(rng.randint(low, high)))
+    rows = [(i, word(1, 9), rng.choice([None, "", word(3, 6)])) for i in range(120)] + [(500, None, " "), (501, "abca", "X (b)")]
+    docs = [(f"d{i:02}", rng.choice([None, word(2, 4)]), rng.choice([None, word(5, 6)]), rng.choice([None, "", word(1, 7)])) for i in range(40)]
+
+    def plain(values):
+        best = []
+        for v in filter(None, (x and x.strip() for x in values)):
+            k = "".join(c for c in v.upper() if c not in " []()-·")
+            for doc, ticker, isin, name in docs:
+                n = (name or "").upper()
+                if len(v) >= 3 and ticker and v.upper() == ticker:
+                    best.append((1, 0, doc))
+                if isin and v.upper() == isin:
+                    best.append((2, 0, doc))
+                if len(v) >= 4 and n and k and (n in k or k in n):
+                    best.append((3, -len(n), doc))
+        return min(best, default=(None, None, None))
+
+    df, known = spark.createDataFrame(rows, "k int, a string, b string"), spark.createDataFrame(docs, "document string, ticker string, isin string, name string")
+    want = {i: plain(v) for i, *v in rows}
+    found = joins.provenance(df, "k", ["a", "b"], known)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: r.document for r in found.collect()} == {i: d for i, (_, _, d) in want.items()}
+
+
+def test_an_answer_holds_quotes_and_statuses(spark, engine):
+    chunks = engine.chunks.withColumn("chunk_text", F.concat(F.lit("text of "), "chunk_id"))
+    own = Engine(CATALOG, engine.compiler.tables, chunks=chunks, bridge=engine.bridge, embed=lambda t: [0.1] * 64, floor=-1.0)
+    out = own.answer({"product_domain": [{"domain": "orders"}], "conditions": [{"attribute": "priority", "operator": "eq", "value": "1-URGENT"}, {"attribute": "total", "operator": "gt", "value": "1"}], "output_requirements": {"narrative_topics": ["a"]}}, "why?", TODAY, "7")
+    assert out.outcomes["vectors"].status == "ok" and "] text of " in out.record and not out.abstained
+    assert "orders · 2026-08-24 · " in out.context and out.contracts["tables_orders"].filter("field = 'name' and status = 'available'").count() > 0
+    assert own.answer({"product_domain": [{"domain": "orders"}], "full_years": [2026]}, today=TODAY).abstained == ["the year 2026 isn't over"]
