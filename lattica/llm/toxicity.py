@@ -7,13 +7,16 @@ joined, each with a mark for its start. Kernel values to the landmarks, whitened
 are the features of a token. Landmarks are beginnings of tokens that are far likelier in toxic documents, unlike each
 other, and random other tokens.
 
-Labels come by document; the sentences of documents not labelled toxic are negative, those of toxic documents are
-positive where they hold a token that is likelier there, which is settled again in rounds with the trained machine. A
-document's score is a logistic function, fitted on training documents, of its three highest tokens and its length: one
-doubtful token tells more about a short text than about a long one.
+The machine's examples are labelled sentences, as bags of tokens: a negative sentence is one whose tokens are all
+negative, a positive sentence is represented by its most toxic token, which is settled again in rounds with the trained
+machine. Labels come by document: all sentences of documents not labelled toxic are negative, those of toxic documents
+are positive where they hold a token that is likelier there. A document's score is a logistic function, fitted on
+training documents, of its three highest tokens and how many it has: one doubtful token tells more about a short text
+than about a long one.
 
-Samples for training are bounded by parameters; every document is scored over its whole text. Long tokens are scored
-in overlapping pieces, never cut short.
+Samples for training are bounded by parameters (documents, and characters of a training document, which bound the
+driver's memory); every document is scored over its whole text. Long tokens are scored in overlapping pieces, never cut
+short.
 
 Defined results: null and empty texts have no sentence and get the score of a document without toxic tokens; repeated
 rows get equal rows; ids may be null; without labelled documents of both kinds every score is 0; an empty table gives
@@ -36,9 +39,9 @@ from pyspark.sql import functions as F
 from lattica.llm.labelled import fold, one_label, sampled
 
 FOLDS, HELD = 5, 0
-#: Documents to train on: toxic ones, others, and the longest in characters.
+#: Documents to train on: toxic ones, others, and the most characters of one that is trained on.
 TOXIC, CLEAN, LONGEST = 1500, 3000, 50_000
-LANDMARKS = 32
+LANDMARKS = 40
 DECAY = 0.7
 PIECE = 24
 #: Margins below it tell nothing about a document.
@@ -48,7 +51,7 @@ CACHE = 200_000
 
 TOKEN = re.compile(r"\w(?:\S*\w)?")
 INNER = re.compile(r"[\W_]+")
-LETTERS = re.compile(r"(?<!\w)\w(?:[\W_]+\w){2,}(?!\w)")
+LETTERS = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]+[^\W_]){2,}(?![^\W_])")  # marks and letters share no character
 
 
 def tokens(text: str) -> set[str]:
@@ -240,7 +243,11 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds:
     if not toxic or not clean:
         return None
     rng = np.random.default_rng(seed)
-    bags, others = [[tokens(s) for s in sentences(t)] for t in toxic], [tokens(t) for t in clean]
+    bags, others, said = [[tokens(s) for s in sentences(t)] for t in toxic], [], Counter()
+    for t in clean:
+        own = [tokens(s) for s in sentences(t)]
+        others.append(set().union(*own))
+        said.update(w for s in own for w in s)  # in how many negative sentences
     whole = [set().union(*b) for b in bags]
     hot, cold = Counter(w for b in whole for w in b), Counter(w for b in others for w in b)
     stems, usual_stems = (Counter(x for b in docs for x in {y for w in b for y in _beginnings(w)}) for docs in (whole, others))
@@ -259,11 +266,13 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds:
     whiten = ((vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T).astype(np.float32)
     negative, every = sorted(cold), sorted(hot)
     low, high = kernel.values(negative) @ whiten, kernel.values(every) @ whiten
-    rates = np.array([cold[w] for w in negative]) / len(clean)
+    rates = np.array([said[w] for w in negative]) / len(clean)
     place = {w: i for i, w in enumerate(every)}
     positive, model = {w for w in every if _beginnings(w) & set(chosen)}, None
+    worth = {w: max((odds.get(x, 0.0) for x in _beginnings(w)), default=0.0) for w in positive}
     for _ in range(rounds):
-        at = [place[w] for b in bags for s in b for w in s & positive]  # a sentence counts by its toxic tokens
+        found = [s & positive for b in bags for s in b]
+        at = [place[max(f, key=lambda w: (worth[w], w))] for f in found if f]  # a positive sentence is its most toxic token
         if not at:
             break
         x, y = np.concatenate([high[at], low]), np.concatenate([np.ones(len(at), np.float32), -np.ones(len(low), np.float32)])
@@ -271,6 +280,7 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds:
         model = Model(kernel, (whiten @ w).astype(np.float32), bias)
         margin = high @ w + bias
         positive = {t for t, m in zip(every, margin, strict=True) if m > 0 and hot[t] / len(toxic) > cold[t] / len(clean)}
+        worth = {t: float(m) for t, m in zip(every, margin, strict=True) if t in positive}
     if model is None:
         return None
     model.outer = _logistic(model.summaries(whole + others), np.concatenate([np.ones(len(whole)), np.zeros(len(others))]))
@@ -278,12 +288,15 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Model | None:
-    """A machine from at most `toxic` and `clean` labelled documents of the training folds."""
+def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, longest: int = LONGEST) -> Model | None:
+    """A machine from at most `toxic` and `clean` labelled documents of the training folds, of at most `longest` characters.
+
+    Of texts that share an id the least one counts.
+    """
     known = one_label(labels, "toxic").filter(~fold(F.col("doc_id"), FOLDS, HELD))
     chosen = sampled(known.filter("label = 1"), toxic, 3).unionByName(sampled(known.filter("label = 0"), clean, 4)).withColumnRenamed("doc_id", "_id")
-    own = docs.filter(F.char_length("text") <= LONGEST).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # toxic + clean rows at most
-    rows = own.select("label", "text").limit(2 * (toxic + clean)).collect()
+    own = docs.filter(F.char_length("text") <= longest).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # toxic + clean rows at most
+    rows = own.groupBy("_id").agg(F.min(F.struct("text", "label")).alias("x")).select("x.label", "x.text").orderBy("text").collect()  # one an id
     return fit([r.text for r in rows if r.label == 1], [r.text for r in rows if r.label == 0])
 
 
