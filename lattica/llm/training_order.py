@@ -7,8 +7,9 @@ shard, written in slot order, and slot s lies at byte (s mod per_shard) * stride
 knows how many sequences it has used resumes by one seek.
 
 Blocks of sequences are kept in the shared folder once, as tokenised; numbering them needs one row a partition. Sequences move
-in one shuffle, grouped by map task and shard and compressed. Shards are written under a temporary name and moved, so a
-task that runs twice writes the same file.
+in one shuffle, grouped by map task and shard and compressed. A task writes a run of shards, one in memory at a time, so
+that tasks stay as many as the session's shuffle partitions call for, however many shards there are. Shards are written
+under a temporary name and moved, so a task that runs twice writes the same file.
 
 Defined results: a null or empty text is an end mark alone; a null id stays null in the index; repeated rows are
 sequences of their own; the last sequence of an input partition is filled up with PAD; an empty table has no shards.
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, fresh_path, own_columns
+from lattica.llm.common import cut, fresh_path, own_columns, shuffle_partitions
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Ids are 16 bits wide; the end mark is the first id after the vocabulary.
@@ -43,9 +44,11 @@ LENGTH = 1024
 PER_SHARD = 8192
 SEED = 23
 ROUNDS = 6
-#: Sequences in a block, and bytes that a map task groups before it hands them on.
+#: Sequences in a block, bytes that a map task groups before it hands them on, and writing tasks from which on a task
+#: writes more than one shard (or the session's shuffle partitions, if they are more).
 BLOCK = 256
 HELD = 32 << 20
+TASKS = 2048
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -200,7 +203,7 @@ def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     return own.mapInArrow(run, f"part int, start bigint, n int, data binary, docs array<{kind}>")
 
 
-def materialise(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = SEED, vocabulary: str | None = None) -> DataFrame:
+def materialise(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = SEED, vocabulary: str | None = None, tasks: int | None = None) -> DataFrame:
     """Writes the shards and their index under `path` and returns the index: slot, shard, byte_offset, doc_id, n_tokens, crc32."""
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -246,12 +249,25 @@ def materialise(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
             yield hand_on()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One shard a partition."""
+        """The shards of a partition one after another; rows come by shard."""
         shard, own_type, ids, owners = None, None, None, None
+
+        def written() -> pa.RecordBatch:
+            _write(f"{path}/shard-{shard:08d}.bin", ids)
+            slots = shard * per_shard + np.arange(len(ids))
+            sums = [zlib.crc32(row) for row in ids]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(slots), pa.array(np.full(len(ids), shard, np.int32)), pa.array((slots - shard * per_shard) * stride), pa.array(owners, own_type), pa.array((ids != PAD).sum(1).astype(np.int32)), pa.array(sums, pa.int64())],
+                ["slot", "shard", "byte_offset", "doc_id", "n_tokens", "crc32"],
+            )
+
         for batch in batches:
             own_type = batch.column(2).type.value_type
-            for s, slots, ds, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if shard is None:
+            for k in range(batch.num_rows):
+                s, slots, ds, data = (batch.column(i)[k].as_py() for i in range(4))
+                if s != shard:
+                    if shard is not None:
+                        yield written()
                     shard = s
                     ids = np.full((min(per_shard, total - shard * per_shard), length), PAD, np.uint16)
                     owners = [None] * len(ids)
@@ -259,19 +275,14 @@ def materialise(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                 ids[at] = np.frombuffer(_unpack(data), np.uint16).reshape(-1, length)
                 for i, d in zip(at.tolist(), ds, strict=True):
                     owners[i] = d
-        if shard is None:
-            return
-        _write(f"{path}/shard-{shard:08d}.bin", ids)
-        slots = shard * per_shard + np.arange(len(ids))
-        sums = [zlib.crc32(row) for row in ids]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(slots), pa.array(np.full(len(ids), shard, np.int32)), pa.array((slots - shard * per_shard) * stride), pa.array(owners, own_type), pa.array((ids != PAD).sum(1).astype(np.int32)), pa.array(sums, pa.int64())],
-            ["slot", "shard", "byte_offset", "doc_id", "n_tokens", "crc32"],
-        )
+        if shard is not None:
+            yield written()
 
     numbered = made.join(F.broadcast(offsets.select("part", "base")), "part").select((F.col("base") + F.col("start")).alias("start"), "n", "data", "docs")
     routed = numbered.mapInArrow(route, f"shard int, slots array<bigint>, docs array<{kind}>, data binary")
-    routed.repartitionById(shards, F.col("shard")).mapInArrow(write, index).write.mode("overwrite").parquet(f"{path}/index")
+    each = -(-shards // max(tasks or TASKS, shuffle_partitions(spark) if tasks is None else 1))  # shards a task
+    dealt = routed.repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("shard")
+    dealt.mapInArrow(write, index).write.mode("overwrite").parquet(f"{path}/index")
     _write(f"{path}/meta.json", meta)  # last: shards without it aren't whole
     return spark.read.parquet(f"{path}/index")
 

@@ -25,13 +25,13 @@ def test_permutation_depends_on_the_key_and_mixes():
     assert (a == b).mean() < 0.01 and abs(np.corrcoef(a, np.arange(5000))[0, 1]) < 0.1
 
 
-@pytest.mark.parametrize("length, per_shard", [(7, 5), (64, 1000)])
-def test_round_trip(spark, sf_dir, length, per_shard):
+@pytest.mark.parametrize("length, per_shard, tasks", [(7, 5, None), (64, 1000, None), (64, 20, 3)])
+def test_round_trip(spark, sf_dir, length, per_shard, tasks):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60)
     odd = spark.createDataFrame([(900, None), (901, ""), (None, "null id"), (902, "same"), (902, "same")], "doc_id long, text string")
     all_docs = docs.union(odd).repartition(3)
     path = "file://" + tempfile.mkdtemp()
-    index = t.materialise(all_docs, path, length=length, per_shard=per_shard).orderBy("slot").collect()
+    index = t.materialise(all_docs, path, length=length, per_shard=per_shard, tasks=tasks).orderBy("slot").collect()
     sequences = list(t.read_slots(path))
     assert [r.slot for r in index] == list(range(len(sequences)))
     assert all(zlib.crc32(s) == r.crc32 and (s != t.PAD).sum() == r.n_tokens for s, r in zip(sequences, index))
