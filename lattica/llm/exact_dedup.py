@@ -2,7 +2,7 @@
 
 Normalised texts are range-partitioned by sampled splitters, sorted externally, and each text is compared in full with
 its neighbour: adjacent equals form a run, whose best row stays. Splitters are pairs (first characters, hash of the
-id), so that many copies of one text spread over several ranges; only texts whose first characters are those of a
+row), so that many copies of one text spread over several ranges; only texts whose first characters are those of a
 splitter can lie in two ranges, and only their runs, one row a range, are merged afterwards.
 
 Defined results: a null text counts as empty, and all empty texts are equal; a null id comes after all others; rows
@@ -68,7 +68,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     """
     spark = docs.sparkSession
     n = min(ranges or shuffle_partitions(spark), RANGES)
-    base = own_columns(docs, doc_id=doc_id, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("salt"))
+    base = own_columns(docs, doc_id=doc_id, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("salt"))
     head = F.substring(without_white(F.substring("text", 1, 3 * PREFIX)), 1, PREFIX)
     bounds = _splitters(base.select(head.alias("prefix"), "salt"), n)
     keyed = base.select("doc_id", "salt", text_key(F.col("text")).alias("text_key"), F.char_length("text").alias("len"), without_white(F.col("text")).alias("norm")).withColumn("prefix", F.substring("norm", 1, PREFIX))
