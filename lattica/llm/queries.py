@@ -112,8 +112,12 @@ WITH docs AS (
   FROM (SELECT row, source, text, unnest(string_split(text, chr(10))) AS raw FROM docs) WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')
 ), dups AS (
   SELECT row, count(*) - count(DISTINCT raw) AS n_dup_lines FROM lines GROUP BY row
+), pos AS (
+  SELECT row, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM docs
+), grams AS (
+  SELECT row, i, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o, lead(w, 5) OVER o, lead(w, 6) OVER o, lead(w, 7) OVER o) AS g, lead(w, 7) OVER o AS last FROM pos WINDOW o AS (PARTITION BY row ORDER BY i)
 ), windows AS (
-  SELECT row, i, count(*) OVER (PARTITION BY row, array_to_string(words[i:i + 7], ' ')) AS n FROM (SELECT row, words, unnest(range(1, len(words) - 6)) AS i FROM docs WHERE len(words) >= 8)
+  SELECT row, i, count(*) OVER (PARTITION BY row, g) AS n FROM grams WHERE last IS NOT NULL
 ), repeats AS (
   SELECT row, count(DISTINCT j) AS n_repeat_words FROM (SELECT row, unnest(range(i, i + 8)) AS j FROM windows WHERE n > 1) GROUP BY row
 ), base AS (
