@@ -423,14 +423,14 @@ def graph_decisions(spark, d):
 
 
 @query("""
-SELECT 'triples' AS item, (SELECT 2 * count(DISTINCT h) + count(DISTINCT (h, l_extendedprice)) + count(DISTINCT (h, strftime(l_shipdate, '%Y-%m-%d'))) + count(DISTINCT (h, l_linestatus)) FROM (SELECT *, (l_orderkey, l_partkey, l_suppkey, l_linenumber) AS h FROM lineitem)) + 3 * (SELECT count(*) FROM orders) + 3 * (SELECT count(*) FROM supplier) + 4 * (SELECT count(*) FROM nation) + 3 * (SELECT count(*) FROM nation) + (SELECT count(*) FROM nation WHERE n_nationkey % 4 > 0) + 2 * (SELECT count(*) FROM region)
+SELECT item, CAST(n AS BIGINT) AS n FROM (SELECT 'triples' AS item, (SELECT 2 * count(DISTINCT h) + count(DISTINCT (h, l_extendedprice)) + count(DISTINCT (h, strftime(l_shipdate, '%Y-%m-%d'))) + count(DISTINCT (h, l_linestatus)) FROM (SELECT *, (l_orderkey, l_partkey, l_suppkey, l_linenumber) AS h FROM lineitem)) + 3 * (SELECT count(*) FROM orders) + 3 * (SELECT count(*) FROM supplier) + 4 * (SELECT count(*) FROM nation) + 3 * (SELECT count(*) FROM nation) + (SELECT count(*) FROM nation WHERE n_nationkey % 4 > 0) + 2 * (SELECT count(*) FROM region)
   + (SELECT sum(len(list_distinct(string_split(p_name, ' ')))) + 2 * count(*) FROM part) + 2 * (SELECT count(DISTINCT w) FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)) AS n
 UNION ALL SELECT 'members', count(*) FROM orders
 UNION ALL SELECT 'exists', 1 UNION ALL SELECT 'not there', 0
 UNION ALL SELECT 'codes', (SELECT count(DISTINCT l_orderkey) FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey = 7)
 UNION ALL SELECT 'rows over the limit', 501
 UNION ALL SELECT 'securities', (SELECT count(*) FROM supplier)
-UNION ALL SELECT 'ambiguous', 21 UNION ALL SELECT 'unfiltered partitions', 1
+UNION ALL SELECT 'ambiguous', 21 UNION ALL SELECT 'unfiltered partitions', 1)
 """)
 def graph_counts(spark, d):
     """Counts, existence, handed-on codes, a cut that shows, ambiguity; a predicate's filter prunes the store to its partition."""
@@ -499,7 +499,7 @@ def excerpts(spark, d):
 
 
 @query("""
-SELECT n_nationkey, (n_nationkey + 1) * 1000000000000.0 AS won, n_nationkey * 365.0 AS days, n_nationkey / 10.0 AS percent, (n_nationkey + 1) * 100000000.0 AS dollars, '2024' || lpad(CAST(n_nationkey % 12 + 1 AS VARCHAR), 2, '0') || '05' AS day,
+SELECT n_nationkey, CAST((n_nationkey + 1) * 1000000000000.0 AS DOUBLE) AS won, CAST(n_nationkey * 365 AS DOUBLE) AS days, CAST(n_nationkey AS DOUBLE) / 10 AS percent, CAST((n_nationkey + 1) * 100000000.0 AS DOUBLE) AS dollars, '2024' || lpad(CAST(n_nationkey % 12 + 1 AS VARCHAR), 2, '0') || '05' AS day,
   strftime(DATE '2026-08-24' - to_months(CAST(n_nationkey + 1 AS INTEGER)), '%Y-%m-%d') AS since, 2010 + n_nationkey >= 2026 AS unfinished, n_nationkey + 1 AS top FROM nation
 """)
 def request_literals(spark, d):
