@@ -352,6 +352,7 @@ class Graph:
         index, asked = self.index(), self.triples.sparkSession.createDataFrame(probes, "place int, number int, cls string, family int, level string, wanted string, run string")
         keys = sorted({p[5] for p in probes if p[5] is not None})
         buckets = sorted({zlib.crc32(k.encode()) % BUCKETS for k in keys})
+        index = index.filter(F.col("family").isin(sorted({p[3] for p in probes})))  # other families' names aren't read
         equal = index.filter(F.col("level").isin(sorted({p[4] for p in probes} - {PARTIAL})) & F.col("bucket").isin(buckets) & F.col("key").isin(keys)).withColumnRenamed("level", "_level").withColumnRenamed("family", "_family")
         found = equal.join(F.broadcast(asked), (F.col("_family") == F.col("family")) & (F.col("_level") == F.col("level")) & (F.col("key") == F.col("wanted")) & (F.col("run").isNull() | F.col("path").contains(F.col("run")))).select("number", "place", "cls", "s")
         for place, number, cls, family, level, _, run in probes:  # containment needs all keys of the family
