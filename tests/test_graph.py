@@ -166,3 +166,43 @@ def test_ready_plans():
 
 def test_type_is_rdf_type():
     assert TYPE == g.TYPE
+
+
+def test_large_graph_is_stored_and_read_without_whole_exchanges(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lattica.catalogue_queries import HOLDERS
+
+    n = 2000
+    at = lambda kind, k="id": F.concat(F.lit(f"{kind}/"), F.col(k).cast("string"))
+    rows = spark.range(n).withColumns({"etf": F.col("id") % 500, "of": F.col("id") % 40})
+    holdings = [("hasHolding", at("e", "etf"), at("h")), ("holdingSecurity", at("h"), at("s", "of")), ("weight", at("h"), F.col("id").cast("string")), ("asOf", at("h"), F.lit("2026-01-01")), ("type", at("e", "etf"), F.lit(NAMESPACE + "ETF")), ("productCode", at("e", "etf"), F.concat(F.lit("E"), "etf")), ("productShortName", at("e", "etf"), F.lit("One/Two A")), ("issuedByCompany", at("s", "of"), at("c", "of")), ("organizationName", at("c", "of"), at("Name", "of")), ("type", at("c", "of"), F.lit(NAMESPACE + "Company"))]
+    triples = [rows.select(s.alias("s"), F.lit(TYPE if p == "type" else NAMESPACE + p).alias("p"), o.alias("o")) for p, s, o in holdings]
+    triples = [t.union(t.limit(7)) for t in triples]  # repeated ones of each predicate
+    every = triples[0]
+    for t in triples[1:]:
+        every = every.union(t)
+    ontology, found = Ontology(parse(FIXTURE_TTL), NAMESPACE), {}
+    for large in (1 << 22, 10):
+        monkeypatch.setattr(g, "LARGE", large)
+        path = str(tmp_path / str(large))
+        g.Graph(every, ontology).store(path)
+        stored = g.Graph.stored(spark, path, ontology)
+        plan, _ = stored.run(HOLDERS, stored.resolve("name/3", "Company"), capped=False)
+        found[large] = stored.counts(), sorted(map(tuple, stored.triples.select("s", "p", "o").collect())), sorted(map(tuple, plan.collect())), sorted(map(str, stored.index().distinct().collect()))
+        cut = stored.cut(HOLDERS, plan).count()
+        assert cut == 50 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    assert found[10] == found[1 << 22] and len(found[10][2]) == 50 and found[10][0][NAMESPACE + "weight"] == n
+    # rows are exchanged after a look at bits: the plan probes a table of them before each join with a large predicate
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("getbit") >= 5
+
+
+def test_bits_let_every_key_through(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(g, "BITS", 1 << 10)
+    every = spark.range(5000).select(F.xxhash64("id").alias("_h"))
+    bits = g._bits(every.limit(300))
+    assert bits.count() <= 16
+    in_, out = (g._marked(every, F.col("_h"), bits, how) for how in ("left_semi", "left_anti"))
+    assert not every.limit(300).join(in_, "_h", "left_anti").count() and in_.count() + out.count() == 5000 and out.count() > 3000
